@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules
+from . import common, mixing, rules, tokens
 from .common import documents
 
 
@@ -27,6 +27,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The word tokenizer of the contract, found where its package is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = tokens.write(documents(spark, sf_dir), tokenizer_path(), common.Stage(spark, "tokens"))
+    return tokens.read(chunks, with_ids=False).drop("ids")
+
+
 _MIX_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -79,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op5_quality_rules": op5_quality_rules,
+        "op7_token_ids": op7_token_ids,
     }
 
 
