@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, rules, tokens
+from . import common, lines, mixing, rules, tokens
 from .common import documents
 
 
@@ -17,6 +17,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    kept = lines.dedup(pages, common.Stage(spark, "lines"))
+    return kept.select(
+        "page_id", F.col("ln_host").alias("host"), F.size("ln_lines").cast("long").alias("n_lines"),
+        (F.size("ln_lines") - F.size("ln_kept")).cast("long").alias("n_dropped"), F.md5(F.array_join("ln_kept", "\n")).alias("kept_md5"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rules.apply_policy(rules.ledger(documents(spark, sf_dir).select("doc_id", "text")))
     base_failed = F.col("ql_failed").bitwiseAND(F.lit(rules.mask("base"))) != 0
@@ -60,6 +69,25 @@ select doc_id, size, source_size, target,
 from d join r on d.source is not distinct from r.source
 """
 
+def _lines_sql() -> str:
+    body = "coalesce(html, '')"
+    for pattern, by in ((lines.HIDDEN, "''"), (lines.BLOCK, "chr(10)"), ("<[^>]*>", "''")):
+        body = f"regexp_replace({body}, '{pattern}', {by}, 'g')"
+    for entity, character in lines.ENTITIES:
+        body = f"replace({body}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return f"""
+with p as (
+  select page_id, lower(regexp_extract(coalesce(url, ''), '{lines.HOST}', 1)) as host,
+         list_filter(list_transform(regexp_split_to_array({body}, '[\\n\\r]+'), lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), lambda x: x <> '') as lines
+  from pages
+), t as (select host, count(*) as pages from p group by host),
+d as (select host, line from (select host, unnest(list_distinct(lines)) as line from p) join t using (host) group by host, line, pages having count(*) >= {lines.LEAST} and count(*) > pages * {lines.RATIO}),
+a as (select host, list(line) as dropped from d group by host),
+k as (select page_id, host, lines, case when dropped is null then lines else list_filter(lines, lambda x: not list_contains(dropped, x)) end as kept from p left join a using (host))
+select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(kept))::bigint as n_dropped, md5(array_to_string(kept, chr(10))) as kept_md5 from k
+"""
+
+
 _RULES_SQL = """
 with d as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
@@ -90,10 +118,11 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_line_dedup": op3_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_ids": op7_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX_SQL, "op5_quality_rules": _RULES_SQL}
+    return {"op1_mix_sources": _MIX_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL}
