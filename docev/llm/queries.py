@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, mixing, rules, tokens
+from . import common, lines, mixing, rules, substrings, tokens
 from .common import documents
 
 
@@ -48,6 +48,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(chunks, with_ids=False).drop("ids")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir), common.Stage(spark, "substrings"), with_text=False).drop("kept")
+
+
 _MIX_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -115,14 +119,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_SUBSTRINGS_SQL = """
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+), w as (
+  select doc_id, i, array_to_string(words[i:i + 12], ' ') as window_text from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from d)
+), r as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by window_text) as least from w) where least < doc_id
+), c as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p from r
+), k as (
+  select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n
+  from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from d) anti join c using (doc_id, p) group by doc_id
+)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_line_dedup": op3_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_ids": op7_token_ids,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL}
+    return {"op1_mix_sources": _MIX_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL, "op8_substring_dedup": _SUBSTRINGS_SQL}
