@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, mixing, rules, substrings, tokens
+from . import common, lines, lm, mixing, rules, substrings, tokens
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), common.Stage(spark, "lm")).drop("mean")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     kept = lines.dedup(pages, common.Stage(spark, "lines"))
@@ -119,6 +123,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_LM_SQL = """
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+), t as (
+  select doc_id, unnest(words) as w, unnest(list_concat([null], words[:len(words) - 1])) as v, unnest(range(1, len(words) + 1)) as p from d where len(words) > 0
+), c1 as (select w, count(*) as n from t group by w), c2 as (select v, w, count(*) as n from t where v is not null group by v, w),
+s as (
+  select doc_id, coalesce(c2.n, 0) < 2 and t.v is not null as backed,
+         case when t.v is null then ln(a.n / (select count(*) from t)) when c2.n >= 2 then ln(c2.n / b.n) else ln(0.4::double * a.n / (select count(*) from t)) end as l
+  from t join c1 a on t.w = a.w left join c1 b on t.v = b.w left join c2 on t.v = c2.v and t.w = c2.w
+), g as (select doc_id, sum(backed::bigint)::bigint as n_backoff, sum(round(l * 1000000)::bigint)::bigint as score_micro from s group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_backoff, 0) as n_backoff, coalesce(score_micro, 0) as score_micro from d left join g using (doc_id)
+"""
+
 _SUBSTRINGS_SQL = """
 with d as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
@@ -139,6 +157,7 @@ select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::big
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_lm_score": op2_lm_score,
         "op3_line_dedup": op3_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_ids": op7_token_ids,
@@ -147,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL, "op8_substring_dedup": _SUBSTRINGS_SQL}
+    return {"op1_mix_sources": _MIX_SQL, "op2_lm_score": _LM_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL, "op8_substring_dedup": _SUBSTRINGS_SQL}
