@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lines, lm, mixing, rules, substrings, tokens
+from . import common, jaccard, lines, lm, mixing, rules, substrings, tokens
 from .common import documents
 
 
@@ -47,6 +47,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), common.Stage(spark, "jaccard"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = tokens.write(documents(spark, sf_dir), tokenizer_path(), common.Stage(spark, "tokens"))
     return tokens.read(chunks, with_ids=False).drop("ids")
@@ -160,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": op2_lm_score,
         "op3_line_dedup": op3_line_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_token_ids": op7_token_ids,
         "op8_substring_dedup": op8_substring_dedup,
     }
