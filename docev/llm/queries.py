@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, lines, lm, mixing, rules, substrings, tokens
+from . import classifier, common, jaccard, lines, lm, mixing, rules, substrings, tokens
 from .common import documents
 
 
@@ -40,6 +40,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = classifier.measure(documents(spark, sf_dir), common.Stage(spark, "classifier"))
+    trees = classifier.train(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = classifier.score(measured, trees)
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classifier.CUT).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     """The word tokenizer of the contract, found where its package is installed."""
     import public_tokenizers
@@ -167,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard_join": op6_jaccard_join,
         "op7_token_ids": op7_token_ids,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_quality_score": op9_quality_score,
     }
 
 
