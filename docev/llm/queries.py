@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, jaccard, lines, lm, mixing, rules, substrings, tokens
+from . import classifier, common, jaccard, lines, lm, mixing, pii, rules, substrings, tokens
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rules.apply_policy(rules.ledger(documents(spark, sf_dir).select("doc_id", "text")))
     base_failed = F.col("ql_failed").bitwiseAND(F.lit(rules.mask("base"))) != 0
@@ -170,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_lm_score": op2_lm_score,
         "op3_line_dedup": op3_line_dedup,
+        "op4_pii_spans": op4_pii_spans,
         "op5_quality_rules": op5_quality_rules,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_token_ids": op7_token_ids,
