@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, jaccard, lines, lm, mixing, pii, rules, substrings, tokens
+from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, rules, substrings, tokens
 from .common import documents
 
 
@@ -71,6 +71,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir), common.Stage(spark, "substrings"), with_text=False).drop("kept")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.find(documents(spark, sf_dir), benchmark, common.Stage(spark, "decontam"))
+
+
 _MIX_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -180,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_ids": op7_token_ids,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_score": op9_quality_score,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
