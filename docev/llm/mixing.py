@@ -7,7 +7,8 @@ from a hash of its id with probability equal to the fraction. Only DataFrame fun
 Defined results: a null text has size 0; sources are ordered by code point with null last and null is
 a source of its own; a source of size 0 has target 0 and rate 0; rows that repeat a doc_id draw alike,
 and each of them counts; a null doc_id draws as the empty string; an empty table gives no rows. Extra
-columns pass through ``emit``; names beginning with ``mix_`` are the operator's own.
+columns pass through ``emit``; names beginning with ``mix_`` are the operator's own, and such extra
+columns are left out.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     after = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
     table = table.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    open_level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)
-    target = F.least(F.col("cap"), F.coalesce(open_level * F.col("w"), F.col("cap")))
+    # Levels rise while the next source is capped and fall after: the highest is the one that holds.
+    target = F.least(F.col("cap"), F.max("level").over(everything) * F.col("w"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     return table.withColumn("mix_target", target).select("mix_source", "mix_source_size", "mix_target", rate.alias("mix_rate"))
 
@@ -59,6 +60,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
          doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every row of ``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
     common.shared_dir(docs.sparkSession)
+    docs = common.without(docs, "mix_")
     sized = docs.withColumn("mix_size", common.n_words(F.col(text)))
     table = targets(sized.select(F.col(source).alias("mix_source"), "mix_size"), weights, share, cap).checkpoint()
     joined = common.join_small(sized, table.withColumnRenamed("mix_source", source), source, table.count())

@@ -88,7 +88,7 @@ with d as (
   select *, (total - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
          / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as level from w
 ), t as (
-  select source, source_size, least(cap, coalesce(min(case when level * w <= cap then level end) over () * w, cap)) as target from l
+  select source, source_size, least(cap, max(level) over () * w) as target from l
 ), r as (
   select source, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate from t
 )
