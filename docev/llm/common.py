@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: The bytes that separate words in every contract: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only after it has been counted and found to have no more rows.
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS = 100_000
 #: Arrow batches handed to Python hold at most so many bytes, whatever the length of a row.
 BATCH_BYTES = "8m"
 
@@ -50,6 +50,9 @@ class Stage:
     def table(self, name: str, frame: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.option("compression", codec).mode("overwrite").parquet(path)
+        # The shuffles behind a written table are not read again; the cleaner deletes their files once
+        # the driver collects the plans that hold them.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -76,6 +79,23 @@ def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, salts: int
     return left.join(right, on, "left").drop("__key", "__s1", "__s2")
 
 
+def without(frame: DataFrame, prefix: str) -> DataFrame:
+    """The rows without extra columns whose names begin with an operator's own prefix."""
+    return frame.drop(*[c for c in frame.columns if c.lower().startswith(prefix)])
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str, few: bool = False, doc_id: str = "doc_id") -> DataFrame:
+    """Semi or anti join of the rows with a table of ids, null-safe. ``few``: the ids are counted, and
+    broadcast while they are at most ``BROADCAST_ROWS`` longs."""
+    right = ids.select(F.col("doc_id").alias("__id")).distinct()
+    if few:
+        right = right.checkpoint()
+        right = F.broadcast(right) if right.count() <= BROADCAST_ROWS else right.hint("merge")
+    else:
+        right = right.hint("merge")
+    return docs.join(right, docs[doc_id].eqNullSafe(right["__id"]), how)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ its hash with a boilerplate line of its own host to be dropped.
 Defined results: a null or empty html has no lines; a null or unparsable url has the host ''; a line
 on fewer than ``least`` pages is always kept, hence every line of a host of one page; repeated rows
 count as pages of their own; an empty table gives no rows. Extra columns pass through; names
-beginning with ``ln_`` are the operator's own.
+beginning with ``ln_`` are the operator's own, and such extra columns are left out.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def boilerplate(lined: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
 
 def dedup(pages: DataFrame, stage: common.Stage, ratio: float = RATIO, least: int = LEAST, url: str = "url", html: str = "html") -> DataFrame:
     """The pages with ln_host, ln_lines (all text lines) and ln_kept (those kept)."""
-    lined = pages.withColumn("ln_host", host(F.col(url))).withColumn("ln_lines", text_lines(F.col(html))).drop(html)
+    lined = common.without(pages, "ln_").withColumn("ln_host", host(F.col(url))).withColumn("ln_lines", text_lines(F.col(html))).drop(html)
     lined = stage.table("lines", lined)
     hashed = lined.select("ln_host", F.transform("ln_lines", lambda line: F.xxhash64(line)).alias("ln_hashes"))
     dropped = boilerplate(hashed, ratio, least).checkpoint()
