@@ -1,15 +1,67 @@
-"""A training-corpus pipeline: each stage calls one operator on all rows its predecessor kept."""
+"""A training-corpus pipeline: each stage calls one operator on all rows its predecessor kept.
+
+Stages take (spark, docs, sf_dir) and return the rows kept, with the columns of documents; the last
+returns what its files hold. Rows without a doc_id pass the near-duplicate stage, which tells rows by
+id; where one of them holds a benchmark passage, none of them can be told clean and all go.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from docev.llm import common, decontam, jaccard, mixing, queries, rules, tokens
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the production policy."""
+    return rules.apply_policy(rules.ledger(docs)).where("ql_kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest id; one row of rows that share it."""
+    stage = common.Stage(spark, "near")
+    classes = stage.table("classes", jaccard.join(docs, stage))
+    kept = common.by_id(docs.where("doc_id is not null"), classes.where("doc_id = class_id"), "left_semi")
+    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), common.Stage(spark, "leaks"))
+    return common.by_id(docs, found, "left_anti", few=True)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture's rates give them."""
+    return mixing.emit(mixing.plan(docs)).select(docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's token files, read back: doc_id, start, n_tokens and ids_crc32."""
+    chunks = tokens.write(docs, queries.tokenizer_path(), common.Stage(spark, "corpus"))
+    return tokens.read(chunks, with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token files", token_files),
+]
+
+#: Tokens, latent vectors and the forest aren't SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each writes a table that the next reads."""
+    stage = common.Stage(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage.table(str(k), docs)
     return docs
