@@ -222,7 +222,8 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     placed = stage.table("placed", placed)
     total = placed.agg(F.sum(F.size("meetings"))).first()[0] or 0
 
-    wanted = rows.join(placed.select(F.col("rid").alias("doc_id"), "node"), "doc_id").select("node", "text")
+    # The join of all texts is dealt by id at every size, however few the candidates.
+    wanted = rows.join(placed.select(F.col("rid").alias("doc_id"), "node").hint("merge"), "doc_id").select("node", "text")
     shingled = stage.table("shingled", wanted.mapInArrow(_shingle(size), SHINGLED))
     dealt = placed.join(shingled, "node").select("node", "copies", "shingles", F.explode("meetings").alias("m")).select("node", "copies", "shingles", "m.meeting", "m.side")
     buckets = max(1, -(-int(total) // BUCKET))
