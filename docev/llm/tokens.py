@@ -19,9 +19,11 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,12 @@ BUCKET_CHARS = 10_000_000
 CHUNK_TOKENS = 4_000_000
 #: More buckets would make the quantiles themselves large; chunks bound the memory in any case.
 MOST_BUCKETS = 20_000
-#: Words whose ids a worker remembers between batches.
-CACHED_WORDS = 200_000
+#: Lower-cased words whose ids a worker remembers between batches.
+CACHED_WORDS = 700_000
+#: A word of Latin letters, lower-cased, and the marks after it, which are a piece of their own for a
+#: tokenizer that splits letters from marks. Here lower-casing and composing commute. Not among the
+#: marks is the apostrophe, which begins contractions.
+PLAIN = r"^(?P<head>[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f]+)(?P<tail>[.,;:!?|*#$%&()\x22-]*)$".encode().decode("unicode_escape")
 
 TOKENISED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 CHUNK = T.StructType([
@@ -78,55 +84,84 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of words by a tokenizer file, with a bounded memory of words seen before."""
+    """Ids of words by a tokenizer file, with a bounded memory of words seen before.
+
+    A word of Latin letters and marks is two pieces, its letters in lower case and its marks; letters
+    are remembered, so that a word costs one encoding however it is written. Any other word goes
+    through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.seen: dict[str, bytes] = {}
-        with open(path, encoding="utf-8") as f:
-            normalizer = json.load(f).get("normalizer") or {}
+        normalizer = spec.get("normalizer") or {}
         steps = [s.get("type") for s in normalizer.get("normalizers", [normalizer])]
         #: A lower-casing word tokenizer that collapses white space treats each word alone.
         self.by_word = "Replace" in steps and "Lowercase" in steps
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
+        if self.by_word:
+            # The same vocabulary and merges for pieces that are normal and split already.
+            bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            self.pieces = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bytes_only, "added_tokens": []}))
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str], tokenizer=None) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), 10_000):
-            out += [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+        for k in range(0, len(texts), 5_000):
+            out += [np.array(e.ids, self.type).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[k : k + 5_000], add_special_tokens=False)]
         return out
 
-    def words(self, words: list[str]) -> list[bytes]:
-        seen = self.seen
-        found = [seen.get(w) for w in words]
+    def looked_up(self, pieces: list[str], memory: dict[str, bytes]) -> list[bytes]:
+        found = [memory.get(piece) for piece in pieces]
         missing = [k for k, b in enumerate(found) if b is None]
-        for k, b in zip(missing, self.encoded([words[k] for k in missing]), strict=True):
+        told = self.encoded([pieces[k] for k in missing], self.pieces)
+        for k, b in zip(missing, told, strict=True):
             found[k] = b
-            if len(seen) < CACHED_WORDS:
-                seen[words[k]] = b
+        room = max(0, CACHED_WORDS - len(memory))  # what comes first is the commonest
+        memory.update((pieces[k], b) for k, b in zip(missing[:room], told, strict=False))
         return found
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and the offsets of the words."""
+        split = pc.extract_regex(pc.utf8_lower(words), PLAIN)
+        dotted = pc.match_substring(words, "\u0130")  # lower-cases to a letter and a combining dot
+        odd = pc.or_(pc.is_null(split), dotted).to_numpy(zero_copy_only=False)
+        heads, tails = (pc.fill_null(pc.struct_field(split, name), "").dictionary_encode() for name in ("head", "tail"))
+        parts = [*self.looked_up(heads.dictionary.to_pylist(), self.letters), *self.looked_up(tails.dictionary.to_pylist(), self.marks), *self.encoded(words.filter(pa.array(odd)).to_pylist())]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.type.itemsize
+        flat, starts = np.frombuffer(b"".join(parts), self.type), np.cumsum(sizes) - sizes
+        n = len(heads.dictionary)
+        of = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + n], 1).astype(np.int64)
+        none = len(parts)  # an odd word is one piece, and an empty one
+        of[odd] = np.stack([np.arange(none - odd.sum(), none), np.full(odd.sum(), none)], 1)
+        sizes, starts = np.append(sizes, 0)[of], np.append(starts, 0)[of]
+        return flat[common.ranges(starts.reshape(-1), sizes.reshape(-1))], np.concatenate([[0], np.cumsum(sizes.sum(1))])
+
     def batch(self, texts: pa.Array) -> pa.Array:
         """The ids of every text, as binary."""
         if not self.by_word:
             return pa.array(self.encoded([t or "" for t in texts.to_pylist()]), pa.binary())
         codes, distinct, offsets = common.coded_words(texts)
-        parts = self.words(distinct.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.frombuffer(b"".join(parts), self.type)
-        width = self.type.itemsize
-        lengths = sizes[codes] // width
-        starts = (np.cumsum(sizes) - sizes)[codes] // width
-        ids = flat[common.ranges(starts, lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets] * width
+        flat, bounds = self.words(distinct)
+        lengths = np.diff(bounds)[codes]
+        ids = flat[common.ranges(bounds[codes], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets] * self.type.itemsize
         return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def _tokenise(path: str, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -186,7 +221,7 @@ def write(docs: DataFrame, tokenizer: str, stage: common.Stage, doc_id: str = "d
     n = max(1, min(MOST_BUCKETS, -(-size // BUCKET_CHARS)))
     cuts = [k / n for k in range(1, n)]
     bounds = (docs.agg(F.percentile_approx("doc_id", cuts, 10 * n)).first()[0] or []) if cuts else []
-    kind = WordEncoder(tokenizer).type
+    kind = encoder_of(tokenizer).type
     tokenised = docs.mapInArrow(_tokenise(tokenizer, np.array(sorted(set(bounds)), np.int64)), TOKENISED)
     dealt = tokenised.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     return stage.table("chunks", dealt.mapInArrow(_encode(kind), CHUNK))
