@@ -27,45 +27,48 @@ PART_KEYS = 2_000_000
 #: Stands for a null doc_id: after all others.
 NULL_ID = np.int64(2**63 - 1)
 
-BLOCK = T.StructType([
-    T.StructField("block", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("doc_ids", T.BinaryType()),
-    T.StructField("offsets", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("words", T.StringType()),
-])
+BLOCK = T.StructType([T.StructField("block", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
 REQUEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("payload", T.BinaryType())])
 _REQUEST = pa.schema([("part", pa.int32()), ("block", pa.string()), ("payload", pa.binary())])
-_BLOCK = pa.schema([("block", pa.string()), ("n_words", pa.int64()), ("doc_ids", pa.binary()), ("offsets", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary()), ("words", pa.large_string())])
-
-
-def _prepare(with_words: bool):
-    def block(ids: list[np.ndarray], texts: list[pa.Array]) -> pa.RecordBatch:
-        codes, distinct, offsets = common.coded_words(pa.concat_arrays(texts))
-        return pa.RecordBatch.from_arrays([
-            pa.array([uuid.uuid4().hex]), pa.array([len(codes)], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()),
-            pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-            pa.array([common.hash_words(distinct).astype("<u8").tobytes()], pa.binary()), pa.array([" ".join(distinct.to_pylist()) if with_words else None], pa.large_string()),
-        ], schema=_BLOCK)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids.append(part.column("doc_id").fill_null(int(NULL_ID)).to_numpy())
-                texts.append(part.column("text").cast(pa.large_string()))
-                size += texts[-1].nbytes // 6
-                if size >= BLOCK_WORDS:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts)
-
-    return run
-
-
-def prepare(docs: DataFrame, stage: common.Stage, with_words: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+_BLOCK = pa.schema([("block", pa.string()), ("n_words", pa.int64()), ("payload", pa.binary())])
+_ARRAYS = pa.schema([("doc_ids", pa.binary()), ("offsets", pa.binary()), ("codes", pa.binary()), ("words", pa.binary())])
+
+
+def _packed(ids: list[np.ndarray], texts: list[pa.Array]) -> pa.RecordBatch:
+    """One block: its arrays as a compressed Arrow stream, so that a shuffle moves few bytes. Codes go
+    by falling frequency, as planes of bytes."""
+    codes, distinct, offsets = common.coded_words(pa.concat_arrays(texts))
+    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+    place = np.empty(len(order), "<u4")
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    planes = np.ascontiguousarray(place[codes].view(np.uint8).reshape(-1, 4).T)
+    words = " ".join(distinct.take(pa.array(order)).to_pylist()).encode()
+    arrays = [np.concatenate(ids).astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), planes.tobytes(), words]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _ARRAYS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], schema=_ARRAYS))
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(codes)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_BLOCK)
+
+
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            ids.append(part.column("doc_id").fill_null(int(NULL_ID)).to_numpy())
+            texts.append(part.column("text").cast(pa.large_string()))
+            size += texts[-1].nbytes // 6
+            if size >= BLOCK_WORDS:
+                yield _packed(ids, texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield _packed(ids, texts)
+
+
+def prepare(docs: DataFrame, stage: common.Stage, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stage.table("blocks", rows.mapInArrow(_prepare(with_words), BLOCK))
+    return stage.table("blocks", rows.mapInArrow(_prepare, BLOCK), codec="none")
 
 
 class Block:
@@ -73,10 +76,13 @@ class Block:
 
     def __init__(self, row: dict):
         self.name = row["block"]
-        self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
-        self.offsets = np.frombuffer(row["offsets"], "<i8")
-        self.codes = np.frombuffer(row["codes"], "<i4")
-        self.vocabulary = np.frombuffer(row["hashes"], "<u8")
+        held = pa.ipc.open_stream(row["payload"]).read_next_batch().to_pylist()[0]
+        self.doc_ids = np.frombuffer(held["doc_ids"], "<i8")
+        self.offsets = np.frombuffer(held["offsets"], "<i8")
+        planes = np.frombuffer(held["codes"], np.uint8).reshape(4, -1)
+        self.codes = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+        self.words = held["words"].decode().split(" ") if held["words"] else []
+        self.vocabulary = common.hash_words(pa.array(self.words, pa.string()))
         self.hashes = self.vocabulary[self.codes]
         self.lengths = np.diff(self.offsets)
         #: The index of each word's document.

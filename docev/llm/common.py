@@ -7,6 +7,7 @@ Every cut of lineage goes through a folder that all executors see: the one the c
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,8 +52,10 @@ class Stage:
         path = f"{self.root}/{name}"
         frame.write.option("compression", codec).mode("overwrite").parquet(path)
         # The shuffles behind a written table are not read again; the cleaner deletes their files once
-        # the driver collects the plans that hold them.
-        self.spark.sparkContext._jvm.System.gc()
+        # the driver collects the plans that hold them, which some thread still does just after a write.
+        for _ in range(2):
+            time.sleep(0.25)
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks, common
@@ -202,7 +201,7 @@ def _finish(with_text: bool):
         for row in blocks.rows(batches):
             block = blocks.Block(row)
             gone = removed(block, row["replies"])
-            words = row["words"].split(" ")
+            words = block.words
             codes = block.codes[~gone].tolist()
             n_gone = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
             lost = np.diff(n_gone)
@@ -218,11 +217,10 @@ def _finish(with_text: bool):
 
 def dedup(docs: DataFrame, stage: common.Stage, with_text: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by a space) per row of ``docs``."""
-    held = blocks.prepare(docs, stage, with_words=True, doc_id=doc_id, text=text)
-    slim = held.drop("words").withColumn("words", F.lit(None).cast("string"))
+    held = blocks.prepare(docs, stage, doc_id=doc_id, text=text)
     key_parts, parts = blocks.parts_for(held, KEYS_A_WORD), blocks.parts_for(held, WINDOWS_A_WORD)
-    keys = blocks.answered(slim.mapInArrow(_ask_keys(key_parts), blocks.REQUEST), _shared, stage, "keys")
-    asked = blocks.with_replies(slim, keys).mapInArrow(_ask_windows(key_parts, parts), blocks.REQUEST)
+    keys = blocks.answered(held.mapInArrow(_ask_keys(key_parts), blocks.REQUEST), _shared, stage, "keys")
+    asked = blocks.with_replies(held, keys).mapInArrow(_ask_windows(key_parts, parts), blocks.REQUEST)
     windows = blocks.answered(asked, _smallest, stage, "windows")
     stage.drop("keys")
     return blocks.with_replies(held, windows).mapInArrow(_finish(with_text), RESULT)
