@@ -36,16 +36,15 @@ def _beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(300):
-        m = i // 2
-        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + step * d or 1e-30)
-        c = 1 + step / c or 1e-30
-        f *= c * d
-        if abs(1 - c * d) < 1e-12:
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    total = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            total *= c * d
+        if abs(c * d - 1) < 1e-13:
             break
-    return front * f
+    return front * total
 
 
 def t_two_sided(t: float, n: int) -> float:

@@ -19,7 +19,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def files(spark: SparkSession, roots: Sequence[str], kinds: Sequence[str] = ("md", "txt", "json", "pdf"), most_pdf: int = 8 << 20) -> DataFrame:
     """path, kind, length and content of every file under the roots; PDFs up to a size; one row a
-    path whatever its case, the first in order."""
+    path whatever its case, the first in order. Spark's scans pass over files of no bytes."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
     rows = read.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).where(F.col("kind").isin(*kinds))
     rows = rows.where((F.col("kind") != "pdf") | (F.col("length") <= most_pdf))
