@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars, in DataFrame joins.
 
-Every round is written to the checkpoint folder; the stars' centres are spread by AQE's skew joins and
-their minima are aggregated before the shuffle. The number of rounds grows with the logarithm of the
-longest chain.
+Every round is written to the checkpoint folder, and so are the minima before they are joined back: a
+join of two plain exchanges is one that AQE can split where a star's centre has many rows. Minima are
+aggregated before the shuffle. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(pairs)
     while state[0]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         before, state = state, _state(pairs)

@@ -198,7 +198,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     nodes = stage.table("nodes", copies)
 
     prefixes = nodes.where("rid is not null").select("node", F.explode("keys").alias("prefix"))
-    hubs = prefixes.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("prefix", "hub")
+    hubs = prefixes.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("prefix", "hub").checkpoint()  # plain, so that the join can split
     stars = prefixes.join(hubs, "prefix").where("node != hub").select("node", "hub").distinct()
     candidates = stage.table("candidates", graph.components(stars, "node", "hub"))
 
@@ -207,7 +207,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")
     members = candidates.join(nodes.select("node", "rid", "copies", "n"), "node").withColumn("band", band)
     bands = members.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("cells"))
-    listed = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells"))
+    listed = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells")).checkpoint()
     placed = members.join(listed, "root").withColumn("own", F.col("cells")[F.col("band")])
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
     name = lambda b1, c1, b2, c2: F.concat_ws(",", F.hex("root"), b1, c1, b2, c2)
@@ -235,7 +235,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     roots = graph.components(verified.select("node", "root"), "node", "root")
     told = nodes.select("node", "rid", "copies").join(links, "node", "left").join(roots, "node", "left")
     told = told.withColumn("root", F.coalesce("root", "node"))
-    named = told.groupBy("root").agg(F.min("rid").alias("class_id"))
+    named = told.groupBy("root").agg(F.min("rid").alias("class_id")).checkpoint()
     told = told.join(named, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     with_words = signed.where("n > 0").select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links")
     without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
