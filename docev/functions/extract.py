@@ -196,3 +196,26 @@ def with_cited(xs: Column, answer: Column) -> Column:
     """The codes, then those and the titles that the answer cites."""
     cited = F.concat(F.regexp_extract_all(answer, F.lit(r"([A-Z]{2}\d+[0-9./-]*)"), F.lit(1)), F.regexp_extract_all(answer, F.lit(r"《([^》]+)》"), F.lit(1)))
     return F.array_distinct(F.concat(xs, cited))
+
+
+def project_id(path: Column) -> Column:
+    """A pair's name in a path, else a 32-digit or dashed hexadecimal id."""
+    found = [F.regexp_extract(path, r"(pair_\d+)", 1), F.regexp_extract(path, r"(?i)([a-f0-9]{32}|[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12})", 1)]
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit(""))
+
+
+def standard_code(x: Column) -> Column:
+    """The first code as it is written, a dated one before one without a year."""
+    stem = r"(?:GB|HJ|DB\d{2}|GB/T|HJ/T|DB\d{2}/T)\s*[\d.]+"
+    return F.coalesce(*[F.nullif(F.regexp_extract(x, f"(?i)({p})", 1), F.lit("")) for p in (rf"{stem}[-—]\s*\d{{4}}", stem)], F.lit(""))
+
+
+def loose_codes(x: Column) -> Column:
+    """Everything that looks like a dated code, sorted; the class of letters over-matches."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"([GBDHJ][A-Z0-9/.\-]*-\d{4})"), F.lit(1))))
+
+
+def routes_differ(answer: Column, evidence: Column, pattern: str = config.DISCHARGE, size: int = 8) -> Column:
+    """Both name a discharge route, and the first ones begin differently."""
+    first = lambda x: F.substring(F.regexp_extract(x, pattern, 1), 1, size)
+    return (first(answer) != "") & (first(evidence) != "") & (first(answer) != first(evidence))

@@ -129,3 +129,39 @@ def banded(x: Column, bands: Sequence[tuple[float, str]], otherwise: str) -> Col
 def reasons(checks: Sequence[tuple[Column, str | Column]]) -> Column:
     """The codes of the checks that hold, in order: the shape of every audit here."""
     return present([F.when(check, F.lit(code) if isinstance(code, str) else code) for check, code in checks])
+
+
+def industry(codes: Column, x: Column, by_code: Mapping[str, str], by_keyword: Sequence[tuple[Sequence[str], str]], otherwise: str = "其他") -> Column:
+    """The industry of the first code whose base is known, else of the first keyword group."""
+    bases = F.transform(codes, lambda c: F.regexp_replace(c, r"-\d{4}$", ""))
+    out = ladder(x, by_keyword, otherwise)
+    if by_code:
+        table = F.create_map(*[F.lit(v) for kv in by_code.items() for v in kv])
+        out = F.coalesce(F.get(F.filter(F.transform(bases, lambda b: F.try_element_at(table, b)), lambda v: v.isNotNull()), F.lit(0)), out)
+    return out
+
+
+def outdated(x: Column, versions: Sequence[tuple[str, str]]) -> Column:
+    """struct(risk, warning): the first superseded version that is cited."""
+    pick = lambda risk, warning: F.struct(F.lit(risk).alias("risk"), F.lit(warning).alias("warning"))
+    found = F.when(F.contains(x, F.lit(versions[0][0])), pick("outdated", versions[0][1]))
+    for code, warning in versions[1:]:
+        found = found.when(F.contains(x, F.lit(code)), pick("outdated", warning))
+    return found.otherwise(pick("none", ""))
+
+
+def risks(x: Column, rules: Sequence[tuple[str, str | None, str]]) -> Column:
+    """Warnings whose pattern is found and whose excuse, if any, is not."""
+    return reasons([(x.rlike(p) if excuse is None else x.rlike(p) & ~x.rlike(excuse), warning) for p, excuse, warning in rules])
+
+
+def preview(x: Column, report: Sequence[str], approval: Sequence[str], public: Sequence[str]) -> Column:
+    """The type of a preview by doubled hits in windows of its start; a weak decision is a candidate."""
+    a, r, p = hit_count(F.substring(x, 1, 1500), approval) * 2, hit_count(F.substring(x, 1, 2000), report) * 2, hit_count(F.substring(x, 1, 1000), public) * 2
+    return F.when((a >= 4) & (a > r), "approval").when(r >= 4, "report").when(p >= 4, "public_participation").when(a > 0, "approval_candidate").otherwise("unknown")
+
+
+def potential(strong: Column, one: Column, comments: Column) -> Column:
+    """struct(potential, use) of a package as a benchmark source."""
+    pick = lambda p, u: F.struct(F.lit(p).alias("potential"), F.lit(u).alias("use"))
+    return F.when(strong & (comments >= 10), pick("high", "real_error_benchmark")).when(one & (comments >= 5), pick("medium", "real_error_benchmark")).when(comments >= 3, pick("low", "experience_rule_source")).otherwise(pick("low", "metadata_only"))

@@ -119,3 +119,18 @@ def decoded(content: Column) -> Column:
     """Bytes as UTF-8, else as GB18030, without a byte-order mark."""
     text = content.cast("string")
     return F.ltrim(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "GB18030")), F.lit("\ufeff"))
+
+
+def rewritten(old: Column, new: Column) -> Column:
+    """struct(question, original_question, changed)."""
+    return F.struct(new.alias("question"), old.alias("original_question"), (~old.eqNullSafe(new)).alias("changed"))
+
+
+def context(ident: Column, report: Column, approval: Column, standard: Column, history: Column) -> Column:
+    """The input context of a sample: texts cut to 5000, 3000, 2000 and 3000 characters, and a mark where
+    the report is not loaded."""
+    missing = F.concat(F.lit("[PLACEHOLDER: "), ident, F.lit(" report text — not yet loaded]"))
+    return F.struct(
+        F.coalesce(F.nullif(F.substring(report, 1, 5000), F.lit("")), missing).alias("report_text"), default(F.substring(approval, 1, 3000)).alias("approval_text"),
+        default(F.substring(standard, 1, 2000)).alias("standard_text"), default(F.substring(history, 1, 3000)).alias("historical_case_context"),
+    )

@@ -217,3 +217,34 @@ def orphans(rules: DataFrame, sources: DataFrame, array: str, key: str) -> DataF
     """Ids that rules cite and no source has."""
     cited = rules.select("rule_id", F.explode(array).alias(key))
     return cited.join(sources.select(key).distinct(), key, "left_anti")
+
+
+def self_evidence(rows: DataFrame) -> DataFrame:
+    """Rows (company, report, approval, evidence, terms) with what their own texts support: the company's
+    first CJK characters on both sides, the evidence's start in the report, any term in the decision."""
+    key = F.substring(text.cjk_only(F.col("company")), 1, 6)
+    rows = rows.withColumn("company_found", (key != "") & F.contains("report", key) & F.contains("approval", key))
+    rows = rows.withColumn("evidence_found", found(F.substring("evidence", 1, 50), F.col("report")))
+    return rows.withColumn("terms_found", F.exists("terms", lambda t: F.contains(F.col("approval"), t)))
+
+
+def heuristics(question: Column, answer: Column, n_codes: Column, n_evidence: Column, validation: Column) -> dict[str, Column]:
+    """Five scores of a row, each a base and what is added up to 100, and their mean."""
+    q, a = (lambda t: F.contains(question, F.lit(t))), (lambda t: F.contains(answer, F.lit(t)))
+    coded = n_codes > 0
+    scores = {
+        "grounding": added([(F.length(answer) > 50, 15), (coded, 20), (n_evidence > 0, 25), ((n_evidence > 0) & coded, 10)], 30),
+        "specificity": added([(q("标准"), 10), (q("多少") | q("类别") | q("类标准"), 10), (q("排放") | q("去向") | q("限值"), 10), (F.length(question) > 30, 10), (a("标准"), 10), (answer.rlike(r"(?U)[GBDB]\w+"), 20)], 30),
+        "professional": added([(coded, 40), (a("执行"), 10), (a("排放"), 10), (a("标准"), 10)], 30),
+        "generalization": F.when(validation == "已验证", 90).when(F.contains(validation, F.lit("参考")), 60).otherwise(50),
+        "usefulness": added([*[(q(t), 7) for t in ("标准", "排放", "限值", "处理", "措施", "总量", "识别", "因子", "监测", "验收")], (coded, 15), (F.length(answer) > 100, 10)], 30),
+    }
+    total = F.lit(0)
+    for s in scores.values():
+        total = total + s
+    return scores | {"overall": total / len(scores)}
+
+
+def foreign_inputs(frame: DataFrame, allowed: Sequence[str]) -> list[str]:
+    """The files a frame reads that lie under none of the allowed folders."""
+    return sorted(f for f in frame.inputFiles() if not any(a in f for a in allowed))

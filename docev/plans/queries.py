@@ -660,3 +660,47 @@ def event_windows(spark, sf_dir):
 def event_sessions(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return stats.sessions(rows, "user_id", "ts", 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, case p_brand when 'Brand#1' then 'B1' when 'Brand#2' then 'B2' else case when contains(p_name, 'a') then 'A' when contains(p_name, 'e') then 'E' else 'other' end end as industry from part")
+def industry_guess(spark, sf_dir):
+    """A known code decides, else the first keyword group."""
+    found = match.industry(F.array(F.concat("p_brand", F.lit("-2001"))), F.col("p_name"), {"Brand#1": "B1", "Brand#2": "B2"}, [(["a"], "A"), (["e"], "E")], "other")
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("industry"))
+
+
+@query("""select doc_id, case when contains(text, 'License') then 'outdated' when contains(text, 'Copyright') then 'outdated' else 'none' end as risk,
+  concat_ws(';', case when regexp_matches(text, '[0-9]{6,}') then 'number' end, case when regexp_matches(text, '@') and not regexp_matches(text, 'License') then 'mail' end) as warnings from documents""")
+def risk_flags(spark, sf_dir):
+    x = F.col("text")
+    old = match.outdated(x, [("License", "a"), ("Copyright", "b")])
+    return table(spark, sf_dir, "documents").select("doc_id", old["risk"].alias("risk"), text.joined(match.risks(x, [("[0-9]{6,}", None, "number"), ("@", "License", "mail")])).alias("warnings"))
+
+
+@query("select page_id, case when regexp_extract(url, '([a-f0-9]{32})', 1) <> '' then regexp_extract(url, '([a-f0-9]{32})', 1) else '' end as id, length(html) > 5000 and length(url) > 40 as long from pages")
+def path_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract.project_id(F.col("url")).alias("id"), ((F.length("html") > 5000) & (F.length("url") > 40)).alias("long"))
+
+
+@query("with d as (select conv_id, max(case when turn = 0 then text end) as a, max(case when turn = 1 then text end) as b from conversations group by conv_id) select conv_id, coalesce(regexp_extract(a, '([a-z]+tion)', 1)[1:4] <> '' and regexp_extract(b, '([a-z]+tion)', 1)[1:4] <> '' and regexp_extract(a, '([a-z]+tion)', 1)[1:4] <> regexp_extract(b, '([a-z]+tion)', 1)[1:4], false) as differ from d")
+def route_mismatch(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
+    return rows.select("conv_id", F.coalesce(extract.routes_differ(F.col("a"), F.col("b"), "([a-z]+tion)", 4), F.lit(False)).alias("differ"))
+
+
+@query("select conv_id, turn, text <> coalesce(prev, '') as changed, case when prev is null then '[PLACEHOLDER: ' || conv_id || ' report text — not yet loaded]' else prev[1:5000] end as report_text, text[1:3000] as approval_text from (select conv_id, turn, text, nullif(lag(text) over (partition by conv_id order by turn), '') as prev from conversations)")
+def sample_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    told = text.context(F.col("conv_id").cast("string"), F.col("prev"), F.col("text"), F.lit(""), F.lit(""))
+    asked = text.rewritten(F.coalesce("prev", F.lit("")), F.col("text"))
+    return rows.select("conv_id", "turn", asked["changed"].alias("changed"), told["report_text"].alias("report_text"), told["approval_text"].alias("approval_text"))
+
+
+@query("""with r as (select conv_id, turn, text, (least(100, 30 + (length(text) > 50)::int * 15 + (turn > 0)::int * 20 + (turn > 1)::int * 25 + (turn > 1)::int * 10))::int as grounding,
+  (case when role = 'user' then 90 else 50 end)::int as generalization, (least(100, 30 + (turn > 0)::int * 15 + (length(text) > 100)::int * 10))::int as usefulness from conversations) select conv_id, turn, grounding, generalization, usefulness from r""")
+def heuristic_scores(spark, sf_dir):
+    valid = F.when(F.col("role") == "user", "已验证").otherwise("")
+    found = audit.heuristics(F.col("text"), F.col("text"), F.col("turn"), F.greatest(F.col("turn") - 1, F.lit(0)), valid)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("grounding", "generalization", "usefulness")])

@@ -169,3 +169,23 @@ def test_ratios():
 def test_similarity_of_columns(value):
     assert value(fuzzy.similarity(F.lit("某某 五金（有限）公司"), X), "某某五金有限公司") == 100.0
     assert list(itertools.chain([value(fuzzy.similarity(F.lit(None).cast("string"), X), "a")])) == [0.0]
+
+
+def test_guesses_and_risks(value):
+    codes = F.array(F.lit("GB999-2020"), F.lit("GB4287-2012"))
+    assert value(match.industry(codes, X, {"GB4287": "C1713"}, config.INDUSTRY_KEYWORDS), "塑料") == "C1713"
+    assert value(match.industry(codes, X, {}, config.INDUSTRY_KEYWORDS), "五金塑料") == "C2929" and value(match.industry(codes, X, {}, config.INDUSTRY_KEYWORDS), "无") == "其他"
+    assert value(match.outdated(X, config.OUTDATED), "执行DB44/26-2001").risk == "outdated" and value(match.outdated(X, config.OUTDATED), "").risk == "none"
+    assert value(match.risks(X, config.RISKS), "VOCs 待定") == ["描述不明确需要核实", "VOCs无收集/处理措施说明"] and value(match.risks(X, config.RISKS), "VOCs 收集") == []
+    assert value(match.preview(X, ["r1", "r2"], ["a1", "a2"], ["p1", "p2"]), "a1") == "approval_candidate" and value(match.preview(X, ["r1", "r2"], ["a1", "a2"], ["p1", "p2"]), "r1 r2 a1") == "report"
+    assert tuple(value(match.potential(F.lit(True), F.lit(True), F.lit(10)))) == ("high", "real_error_benchmark") and value(match.potential(F.lit(False), F.lit(False), F.lit(9))).use == "experience_rule_source"
+
+
+def test_ids_routes_and_contexts(value):
+    assert value(extract.project_id(X), "/x/pair_00012/a.md") == "pair_00012" and value(extract.project_id(X), "/x/" + "ab" * 16) == "ab" * 16 and value(extract.project_id(X), "/x") == ""
+    assert value(extract.standard_code(X), "GB 123 与 HJ 55-2000") == "HJ 55-2000" and value(extract.loose_codes(X), "GB1-2000 DB2-2001 GB1-2000") == ["DB2-2001", "GB1-2000"]
+    assert value(extract.routes_differ(X, F.lit("排入乙镇污水厂")), "排入甲镇污水厂") and not value(extract.routes_differ(X, F.lit("没有")), "排入甲镇污水厂")
+    told = value(text.context(F.lit("p"), X, F.lit(None).cast("string"), F.lit("s" * 3000), F.lit("")), "")
+    assert told.report_text.startswith("[PLACEHOLDER: p") and told.approval_text == "" and len(told.standard_text) == 2000
+    assert value(text.rewritten(X, F.lit("b")), "a").changed and not value(text.rewritten(X, F.lit("a")), "a").changed
+    assert [c.claim_type for c in value(extract.claims(X, config.CLAIM_PATTERNS), "建设地点位于某某路一号。执行某某排放标准")] == ["项目基本信息", "标准依据", "标准依据"][: len(value(extract.claims(X, config.CLAIM_PATTERNS), "建设地点位于某某路一号。执行某某排放标准"))]

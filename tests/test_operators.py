@@ -339,3 +339,11 @@ def test_streams(spark, tmp_path):
 def test_config_terms_are_distinct():
     for table in (config.AUDIT_KEYWORDS, config.SUPPORT_TERMS, config.REQUIREMENTS):
         assert all(len(v) == len(set(v)) for v in table.values())
+
+
+def test_self_evidence_and_lineage(spark, tmp_path):
+    rows = spark.createDataFrame([("甲辰五金有限公司", "甲辰五金有限公司 证据原文", "甲辰五金有限公司 隔油", "证据原文", ["隔油"]), ("乙", "", "", "x", ["y"])], "company string, report string, approval string, evidence string, terms array<string>")
+    assert [(r.company_found, r.evidence_found, r.terms_found) for r in audit.self_evidence(rows).collect()] == [(True, True, True), (False, False, False)]
+    rows.write.parquet(f"file://{tmp_path}/clean_pairs/x")
+    held = spark.read.parquet(f"file://{tmp_path}/clean_pairs/x")
+    assert audit.foreign_inputs(held, ["clean_pairs"]) == [] and audit.foreign_inputs(held, ["other"])
