@@ -40,8 +40,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's token files, read back: doc_id, start, n_tokens and ids_crc32."""
-    chunks = tokens.write(docs, queries.tokenizer_path(), common.Stage(spark, "corpus"))
-    return tokens.read(chunks, with_ids=False).drop("ids")
+    written = tokens.write(docs, queries.tokenizer_path(), common.Stage(spark, "corpus"))
+    return tokens.read(*written, with_ids=False).drop("ids")
 
 
 STAGES = [

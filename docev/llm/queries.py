@@ -63,8 +63,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = tokens.write(documents(spark, sf_dir), tokenizer_path(), common.Stage(spark, "tokens"))
-    return tokens.read(chunks, with_ids=False).drop("ids")
+    written = tokens.write(documents(spark, sf_dir), tokenizer_path(), common.Stage(spark, "tokens"))
+    return tokens.read(*written, with_ids=False).drop("ids")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operator 7: token-id output in a binary format with frequency-ranked ids.
 
-Texts are encoded with a public tokenizer, dealt to buckets by quantiles of doc_id, sorted, and
-written as chunks. A chunk ranks its ids by frequency (the rank table is in its header), and codes
-each rank in 1 to 4 bytes whose lengths stand in separate control bytes, 2 bits a value. Decoding is
-numpy table lookup. A chunk is one row of a Parquet table in the shared folder, so that Spark's
-commit protocol covers lost executors and any store that Spark can write will do.
+Texts are encoded with a public tokenizer and written; ids are counted over all of them and ranked by
+falling frequency, equal counts by id. Texts are then dealt to buckets by quantiles of doc_id, sorted,
+and written as chunks that code each id's rank in 1 to 4 bytes, whose lengths stand in separate control
+bytes, 2 bits a value. Decoding is numpy table lookup. A chunk is one row of a Parquet table in the
+shared folder, and the rank table is one beside it, so that Spark's commit protocol covers lost
+executors and any store that Spark can write will do.
 
 The tokenizer drops white space, so a text's ids are those of its words one after another; each batch
 encodes its distinct words only. Tokenizers that keep white space are encoded text by text.
@@ -48,7 +49,7 @@ TOKENISED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructFiel
 CHUNK = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("doc_ids", T.BinaryType()), T.StructField("null_ids", T.LongType()), T.StructField("lengths", T.BinaryType()),
-    T.StructField("ranked", T.BinaryType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType()),
+    T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType()),
 ])
 DECODED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -172,30 +173,44 @@ def _tokenise(path: str, bounds: np.ndarray):
     return run
 
 
-def _chunk(bucket: int, chunk: int, doc_ids: list, ids: list[bytes], kind: np.dtype) -> dict:
+def _counts(kind: np.dtype):
+    """(id, n) of a task's texts, end ids included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for part in batch.column("ids").to_pylist():
+                found = np.bincount(np.frombuffer(part, kind), minlength=END_ID + 1)
+                found[END_ID] += 1
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+                total[: len(found)] += found
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    return run
+
+
+def _chunk(bucket: int, chunk: int, doc_ids: list, ids: list[bytes], kind: np.dtype, rank_of: np.ndarray) -> dict:
     end = np.array([END_ID], kind).tobytes()
     flat = np.frombuffer(end.join(ids) + end, kind)
     lengths = np.array([len(b) // kind.itemsize + 1 for b in ids], "<u4")
-    counts = np.bincount(flat)
-    ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-    rank_of = np.zeros(len(counts), np.uint32)
-    rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     control, data = encode_ranks(rank_of[flat])
     return {
         "bucket": bucket, "chunk": chunk, "n_tokens": len(flat), "doc_ids": np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        "null_ids": sum(d is None for d in doc_ids), "lengths": lengths.tobytes(), "ranked": ranked.astype("<u4").tobytes(), "control": control, "data": data,
+        "null_ids": sum(d is None for d in doc_ids), "lengths": lengths.tobytes(), "control": control, "data": data,
     }
 
 
-_ARROW_CHUNK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.int64()), ("lengths", pa.binary()), ("ranked", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
+_ARROW_CHUNK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.int64()), ("lengths", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 
 
-def _encode(kind: np.dtype):
+def _encode(kind: np.dtype, rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, chunk, doc_ids, ids, size = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([_chunk(bucket, chunk, doc_ids, ids, kind)], _ARROW_CHUNK)
+            return pa.RecordBatch.from_pylist([_chunk(bucket, chunk, doc_ids, ids, kind, rank_of)], _ARROW_CHUNK)
 
         for batch in batches:
             for b, d, i in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -212,8 +227,8 @@ def _encode(kind: np.dtype):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, stage: common.Stage, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise and write; the table of chunks, read back from its files."""
+def write(docs: DataFrame, tokenizer: str, stage: common.Stage, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Tokenise and write; the tables of chunks and of ranks (rank, id), read back from their files."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -223,15 +238,23 @@ def write(docs: DataFrame, tokenizer: str, stage: common.Stage, doc_id: str = "d
     bounds = (docs.agg(F.percentile_approx("doc_id", cuts, 10 * n)).first()[0] or []) if cuts else []
     kind = encoder_of(tokenizer).type
     tokenised = docs.mapInArrow(_tokenise(tokenizer, np.array(sorted(set(bounds)), np.int64)), TOKENISED)
-    dealt = tokenised.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    return stage.table("chunks", dealt.mapInArrow(_encode(kind), CHUNK))
-
-
-def _decode(with_ids: bool):
+    held = stage.table("tokens", tokenised)
+    counted = held.mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    order = F.row_number().over(W.orderBy(F.desc("n"), "id")) - 1  # rows as many as the vocabulary
+    ranks = stage.table("ranks", counted.select(order.alias("rank"), "id"))
+    pairs = ranks.collect()
+    rank_of = np.zeros(max((r["id"] for r in pairs), default=0) + 1, np.uint32)
+    rank_of[[r["id"] for r in pairs]] = [r["rank"] for r in pairs]
+    dealt = held.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    chunks = stage.table("chunks", dealt.mapInArrow(_encode(kind, rank_of), CHUNK))
+    stage.drop("tokens")
+    return chunks, ranks
+
+
+def _decode(ranked: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ranked = np.frombuffer(row["ranked"], "<u4")
                 flat = ranked[decode_ranks(row["control"], row["data"], row["n_tokens"])]
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
@@ -246,14 +269,15 @@ def _decode(with_ids: bool):
     return run
 
 
-def read(chunks: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) from the chunks.
+def read(chunks: DataFrame, ranks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) from the files.
 
     Bases are summed over one small row a chunk; null ids come first in a bucket, hence in a chunk.
     """
+    ranked = np.array([r["id"] for r in ranks.orderBy("rank").collect()], np.uint32)
     sizes = chunks.select("bucket", "chunk", "n_tokens")
     before = W.orderBy("bucket", "chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("bucket", "chunk", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
     if sizes.count() <= common.BROADCAST_ROWS:
         bases = F.broadcast(bases)
-    return chunks.join(bases, ["bucket", "chunk"]).mapInArrow(_decode(with_ids), DECODED)
+    return chunks.join(bases, ["bucket", "chunk"]).mapInArrow(_decode(ranked, with_ids), DECODED)

@@ -301,7 +301,7 @@ def test_token_files(spark, docs, none):
     tokenizer = Tokenizer.from_file(path)
     odd = [(60, "It's <|endoftext|> Ünïcödé, İstanbul H̱ello ΣΑΣ don't U.S.A. 3.14 x2y -- ... K ẞ ª²³", None, None), (61, "a b c\x1cd\x85e", None, None)]
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, SCHEMA).select("doc_id", "text"))
-    rows = [r for r in tokens.read(tokens.write(frame, path, stage(spark))).collect()]
+    rows = [r for r in tokens.read(*tokens.write(frame, path, stage(spark))).collect()]
     texts = collections.defaultdict(list)
     for i, t, *_ in [*ROWS, *odd]:
         texts[i].append([*tokenizer.encode(t or "", add_special_tokens=False).ids, tokens.END_ID])
@@ -312,14 +312,21 @@ def test_token_files(spark, docs, none):
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert ids in texts[r.doc_id] and r.start == at and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
-    assert tokens.read(tokens.write(none, path, stage(spark))).count() == 0
+    assert tokens.read(*tokens.write(none, path, stage(spark))).count() == 0
+
+
+def test_ids_are_ranked_over_all_texts(spark):
+    rows = [(k, f"alpha beta alpha word{k} alpha") for k in range(40)]
+    chunks, ranks = tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), queries.tokenizer_path(), stage(spark))
+    counts = collections.Counter(x for r in tokens.read(chunks, ranks).collect() for x in np.frombuffer(r.ids, "<u4").tolist())
+    assert [r.id for r in ranks.orderBy("rank").collect()] == sorted(counts, key=lambda x: (-counts[x], x))
 
 
 def test_chunks_are_cut(spark, monkeypatch):
     kind = np.dtype("<u2")
     monkeypatch.setattr(tokens, "CHUNK_TOKENS", 10)
     held = pa.RecordBatch.from_pydict({"bucket": [0] * 5 + [1] * 2, "doc_id": list(range(7)), "ids": [np.arange(k, dtype=kind).tobytes() for k in range(7)]})
-    chunks = [r for b in tokens._encode(kind)(iter([held])) for r in b.to_pylist()]
+    chunks = [r for b in tokens._encode(kind, np.arange(10, dtype=np.uint32))(iter([held])) for r in b.to_pylist()]
     assert [(c["bucket"], c["chunk"]) for c in chunks] == [(0, 0), (0, 1), (1, 0)] and sum(c["n_tokens"] for c in chunks) == 21 + 7
 
 
