@@ -161,6 +161,22 @@ def title_lookup(left: DataFrame, right: DataFrame, left_title: str, right_title
     return found.select(*left.columns, "m", "how").unionByName(hit)
 
 
+def containing(texts: DataFrame, x: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows of texts that hold a needle, with the needle's row. A needle's longest inner word stands
+    between blanks wherever the needle does, so texts meet only needles whose word they have; needles
+    without an inner word meet all texts. The needles are a query set and are broadcast; give a larger
+    one in blocks."""
+    words = F.split(needle, " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    held = needles.withColumn("__key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keyed = held.where("__key is not null")
+    keys = keyed.agg(F.collect_set("__key").alias("__keys"))
+    found = texts.crossJoin(F.broadcast(keys)).withColumn("__key", F.explode(F.array_intersect(F.split(x, " "), "__keys"))).drop("__keys")
+    hit = found.join(F.broadcast(keyed), "__key").where(F.contains(x, F.col(needle))).drop("__key")
+    rest = texts.join(F.broadcast(held.where("__key is null").drop("__key")), F.contains(x, F.col(needle)))
+    return hit.unionByName(rest)
+
+
 def last_by(frame: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row a key, the last in order: what a dictionary filled in that order holds."""
     columns = [c for c in frame.columns if c != key]

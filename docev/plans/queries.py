@@ -181,7 +181,7 @@ def prefix_until_cap(spark, sf_dir):
 def evidence_span(spark, sf_dir):
     """Where the first 40 characters of each item stand: the items are a stated query set."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("needle"))
-    hits = table(spark, sf_dir, "documents").join(F.broadcast(items), F.contains("text", F.col("needle")))
+    hits = link.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "needle")
     found = spans.anchor_search(F.col("text"), F.col("needle"), F.array().cast("array<string>"))
     return hits.select("doc_id", "item_id", found.alias("s")).select("doc_id", "item_id", "s.char_start", "s.char_end")
 

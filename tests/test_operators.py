@@ -100,6 +100,13 @@ def test_block_keys_and_candidates(spark):
     assert {(x.l, x.r) for x in link.candidates(left, right, "k", fallback=False).collect()} == {(1, 10)}
 
 
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "xa long word here"), (2, "a longer word"), (3, "word"), (4, None), (5, "a  long  word")], "id int, x string")
+    needles = spark.createDataFrame([(1, "a long wo"), (2, "word"), (3, "a  long"), (4, "")], "k int, needle string")
+    expected = {(i, k) for i, x in ((1, "xa long word here"), (2, "a longer word"), (3, "word"), (5, "a  long  word")) for k, n in ((1, "a long wo"), (2, "word"), (3, "a  long"), (4, "")) if n in x}
+    assert {(r.id, r.k) for r in link.containing(texts, "x", needles, "needle").collect()} == expected
+
+
 def test_one_sided_takes_in_order(spark):
     rows = [(1, 1, 5.0), (1, 2, 9.0), (2, 2, 9.5), (2, 1, 1.0), (3, 1, 9.0)]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "a long, b long, s double, block string")
