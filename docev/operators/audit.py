@@ -185,12 +185,19 @@ def chain(claims: DataFrame, rows: DataFrame, placeholders: Sequence[str] = ("
 
 
 def traced(claims: DataFrame, lines: DataFrame, priority: Mapping[str, int], guarded: Sequence[str] = ("report", "approval"), least: int = 2) -> DataFrame:
-    """Each claim with the first line that supports it, by source priority, file and line. Claims meet
-    lines through the pieces they share, not all lines; the full test follows."""
+    """Each claim with the first line that supports it, by source priority, file and line. A piece that a
+    line holds begins with one of the line's runs of four characters, so claims meet lines by those; the
+    full test follows. Claims under four characters can only be supported with ``least`` 1, and then
+    meet all lines."""
     piece = lambda x: F.filter(F.split(x, r"[，。；、：,.;:()（）\s]+"), lambda p: F.length(p) >= 4)
-    asked = claims.withColumn("piece", F.explode(F.array_distinct(piece(F.col("claim")))))
-    held = lines.withColumn("order", text.looked_up(F.col("source_type"), {k: str(v) for k, v in priority.items()}).cast("int")).withColumn("piece", F.explode(F.array_distinct(piece(F.col("text")))))
-    pairs = asked.join(held.select("piece", "order", "source_type", "source_file", F.col("project_id").alias("line_project"), "line_start", F.col("text").alias("quote")), "piece").drop("piece").distinct()
+    pieces = F.when(F.size(piece(F.col("claim"))) > 0, piece(F.col("claim"))).otherwise(F.array(F.substring("claim", 1, 10)))
+    asked = claims.withColumn("run", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.substring(p, 1, 4)))))
+    held = lines.withColumn("order", text.looked_up(F.col("source_type"), {k: str(v) for k, v in priority.items()}).cast("int"))
+    held = held.select("order", "source_type", "source_file", F.col("project_id").alias("line_project"), "line_start", F.col("text").alias("quote"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("quote") - 3, F.lit(1))), lambda i: F.substring("quote", i, 4)))
+    pairs = asked.join(held.withColumn("run", F.explode(runs)), "run").drop("run").distinct()
+    if least <= 1:
+        pairs = pairs.unionByName(asked.where("length(run) < 4").drop("run").crossJoin(held))
     own = ~F.col("source_type").isin(*guarded) | F.col("project_id").eqNullSafe(F.col("line_project"))
     good = pairs.where(own & match.supported(F.col("claim"), F.col("quote"), least))
     first = good.groupBy("qa_id", "claim").agg(F.min_by(F.struct("source_type", "source_file", "line_start", "quote"), F.struct("order", "source_file", "line_start")).alias("s"))

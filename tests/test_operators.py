@@ -211,6 +211,10 @@ def test_traces(spark):
     lines = spark.createDataFrame([("approval", "f2", "p1", 3, text), ("report", "f1", "p1", 9, text), ("report", "f1", "p2", 1, text)], "source_type string, source_file string, project_id string, line_start int, text string")
     found = {r.qa_id: (r.support, r.source_type, r.line_start) for r in audit.traced(claims, lines, {"report": 1, "approval": 2}).collect()}
     assert found == {"q1": ("direct", "report", 9), "q2": ("unsupported", None, None)}
+    inside = spark.createDataFrame([("report", "f", "p1", 1, "该项目废水经隔油处理后再排入市政管网中，达标")], lines.schema)
+    assert {r.qa_id: r.support for r in audit.traced(claims, inside, {"report": 1}).collect()} == {"q1": "direct", "q2": "unsupported"}
+    short = spark.createDataFrame([("q3", "达标", "p1")], claims.schema)
+    assert audit.traced(short, inside, {"report": 1}, least=1).first().support == "direct" and audit.traced(short, inside, {"report": 1}).first().support == "unsupported"
 
 
 def test_scores(spark):
