@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 
 def counts(frame: DataFrame, key: Column | str, name: str = "k") -> DataFrame:
     """Counts by key, the most frequent first, then by key."""
@@ -125,6 +127,19 @@ def distributions(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
 
 
+def numbered(frame: DataFrame, name: str, pattern: str, *order: Column) -> DataFrame:
+    """Ids such as F000001 in a total order without a global window: rows are sorted into ranges and
+    written; each takes its place in its range plus the sizes of the ranges before it."""
+    placed = session.checkpointed(frame.orderBy(*order))
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = placed.withColumn("__part", part).withColumn("__place", place)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("__part", before.alias("__base"))
+    number = F.format_string(pattern, F.col("__place") + F.col("__base") + 1)
+    return rows.join(F.broadcast(bases), "__part").withColumn(name, number).drop("__part", "__place", "__base")
+
+
 def running_until(frame: DataFrame, keys: Sequence[str], size: Column, order: Sequence[Column], cap: int, gap: int = 1) -> DataFrame:
     """Rows of each group until the joined size of those before reaches the cap; the first always."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config, session
 from ..functions import extract, match, spans, text
-from ..operators import segment
+from ..operators import aggregate, segment
 
 
 def validity(body: Column) -> Column:
@@ -45,12 +45,13 @@ def doc_type(body: Column) -> Column:
 
 def inventory(bodies: DataFrame) -> DataFrame:
     """One row a text (path, body): its type, fields and validity."""
-    rows = bodies.withColumn("body", text.clean_text(text.repaired(F.col("body"), config.VALID_KEYWORDS))).withColumn("v", validity(F.col("body"))).withColumn("t", doc_type(F.col("body")))
+    rows = aggregate.numbered(bodies, "approval_id", "APPROVAL_%05d", F.col("path"))
+    rows = rows.withColumn("body", text.clean_text(text.repaired(F.col("body"), config.VALID_KEYWORDS))).withColumn("v", validity(F.col("body"))).withColumn("t", doc_type(F.col("body")))
     shown = lambda field, other: F.when(F.col("v.valid"), F.col(f"t.{field}")).otherwise(other)
     body = F.col("body")
     tail = text.tail(body, 1000)
     return rows.select(
-        text.numbered("APPROVAL_%05d", [F.col("path")]).alias("approval_id"), F.col("path").alias("source_md"), shown("type", F.col("v.type")).alias("doc_type"), extract.title_by_pattern(body).alias("approval_title"),
+        "approval_id", F.col("path").alias("source_md"), shown("type", F.col("v.type")).alias("doc_type"), extract.title_by_pattern(body).alias("approval_title"),
         extract.doc_no(body).alias("approval_doc_no"), extract.date(tail, F.col("path")).alias("approval_date"), extract.first_match(F.substring(body, 1, 6000), config.AUTHORITY_PATTERNS).alias("approval_authority"),
         extract.company(body).alias("company"), extract.project_name(body).alias("project_name"), extract.report_type(F.substring(body, 1, 8000), "未知").alias("report_type_referenced"),
         shown("mode", F.lit("未知")).alias("approval_mode"), shown("conclusion", F.lit("未知")).alias("approval_conclusion"), F.length(body).alias("text_length"), F.col("v.valid").alias("valid_approval_text"), "body",

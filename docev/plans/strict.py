@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config, session
 from ..functions import extract, match, spans, text
-from ..operators import audit, link, rules, segment
+from ..operators import aggregate, audit, link, rules, segment
 
 PREFIX = "批复要求："
 
@@ -22,14 +22,14 @@ def classified(bodies: DataFrame) -> DataFrame:
     around = lambda terms: spans.around_first(F.col("head"), terms)
     evidence = F.when(F.col("k.type") == "public_participation", around(config.PUBLIC_KEYWORDS)).when(F.col("k.type") == "approval", around(config.APPROVAL_KEYWORDS)).when(F.col("k.type") == "report", around(config.REPORT_KEYWORDS)).otherwise(F.substring("head", 1, 300))
     rows = rows.withColumn("evidence_text", evidence).withColumn("kind", F.col("k.type")).withColumn("confidence", F.col("k.confidence"))
-    return rows.withColumn("file_id", text.numbered("F%06d", [F.col("path")])).drop("head", "k")
+    return aggregate.numbered(rows.drop("head", "k"), "file_id", "F%06d", F.col("path"))
 
 
 def report_records(files: DataFrame) -> DataFrame:
     body = F.col("body")
-    rows = files.where("kind = 'report'")
+    rows = aggregate.numbered(files.where("kind = 'report'"), "report_id", "R%05d", F.col("path"))
     return rows.select(
-        text.numbered("R%05d", [F.col("path")]).alias("report_id"), F.col("path").alias("source_file"), F.col("kind").alias("detected_file_type"), extract.project_name(body).alias("project_name"),
+        "report_id", F.col("path").alias("source_file"), F.col("kind").alias("detected_file_type"), extract.project_name(body).alias("project_name"),
         extract.company(body).alias("company"), extract.company(body).alias("construction_unit"), extract.industry_code(body).alias("industry_code"), F.lit("").alias("industry_name"),
         extract.project_type(body).alias("project_type"), extract.report_type(body).alias("report_type"), extract.town(body).alias("town"),
         extract.first_match(body, config.LOCATION_PATTERNS).alias("construction_location"), extract.year(body, F.col("path")).alias("year"), "parse_status",
@@ -39,11 +39,12 @@ def report_records(files: DataFrame) -> DataFrame:
 
 def approval_records(files: DataFrame) -> DataFrame:
     body = F.col("body")
-    rows = files.where("kind = 'approval'").withColumn("title", F.coalesce(F.nullif(extract.title(body), F.lit("")), extract.first_match(body, config.TITLE_PATTERNS)))
+    rows = aggregate.numbered(files.where("kind = 'approval'"), "approval_id", "A%05d", F.col("path"))
+    rows = rows.withColumn("title", F.coalesce(F.nullif(extract.title(body), F.lit("")), extract.first_match(body, config.TITLE_PATTERNS)))
     lead = F.concat("title", F.lit("\n"), F.substring(body, 1, 6000))
     mode = match.ladder(F.substring(body, 1, 8000), [(["承诺制", "告知承诺"], "承诺制"), (["形式审查"], "形式审查")], "普通批复")
     return rows.select(
-        text.numbered("A%05d", [F.col("path")]).alias("approval_id"), F.col("path").alias("source_file"), F.col("kind").alias("detected_file_type"), F.col("title").alias("approval_title"),
+        "approval_id", F.col("path").alias("source_file"), F.col("kind").alias("detected_file_type"), F.col("title").alias("approval_title"),
         extract.doc_no(body, F.col("path")).alias("approval_doc_no"), extract.date(body, F.col("path")).alias("approval_date"), extract.project_name(lead).alias("project_name"),
         extract.company(lead).alias("company"), extract.report_type(body).alias("report_type_referenced"), mode.alias("approval_mode"),
         extract.first_match(body, config.AUTHORITY_PATTERNS).alias("approval_authority"), "parse_status", F.substring(text.clean_text(body), 1, 800).alias("evidence_text"), "body",
@@ -69,7 +70,7 @@ def pairs(reports: DataFrame, approvals: DataFrame, matching: config.Matching =
 def clean_pairs(linked: DataFrame, reports: DataFrame, approvals: DataFrame) -> DataFrame:
     """pair_id, both texts and the pair's metadata, for clean pairs."""
     kept = linked.where("pair_status = 'clean'").select("report_id", "approval_id", "match_score")
-    kept = kept.withColumn("pair_id", text.numbered("pair_%05d", [F.desc("match_score"), F.col("report_id")]))
+    kept = aggregate.numbered(kept, "pair_id", "pair_%05d", F.desc("match_score"), F.col("report_id"))
     mine = reports.select("report_id", F.col("body").alias("report"), "company", "project_name", "industry_code", "industry_name", "project_type", "report_type", F.col("source_file").alias("report_source"))
     theirs = approvals.select("approval_id", F.col("body").alias("approval"), "approval_doc_no", "approval_date", F.col("source_file").alias("approval_source"))
     return kept.join(mine, "report_id").join(theirs, "approval_id")

@@ -152,6 +152,12 @@ def test_running_cap_and_ranks(spark):
     assert sorted(r.r for r in ranks) == [1.0, 2.5, 2.5, 4.0]
 
 
+def test_numbers_follow_the_order(spark):
+    frame = spark.range(1000).repartition(7).select((F.col("id") * 7919 % 1009).alias("v"))
+    rows = aggregate.numbered(frame, "n", "N%04d", F.col("v")).orderBy("v").collect()
+    assert [r.n for r in rows] == [f"N{k:04d}" for k in range(1, 1001)] and aggregate.numbered(frame.limit(0), "n", "N%d", F.col("v")).count() == 0
+
+
 def test_reconciliation_and_gate(spark):
     a, b = spark.createDataFrame([("x", 1), ("y", 2)], "metric string, value int"), spark.createDataFrame([("x", 1), ("y", 3), ("z", 1)], "metric string, value int")
     assert {r.metric: r.status for r in aggregate.reconciled(a, b).collect()} == {"x": "ok", "y": "error", "z": "info"}
