@@ -435,11 +435,12 @@ def test_leaks_and_paraphrases(spark, none):
     changed = items[7][1].split()
     changed[4:30:6] = ["other"] * len(changed[4:30:6])
     docs[9] = (9, noise(37) + " " + " ".join(changed) + " " + noise(200))
+    docs.append((72, noise(2000 * decontam.STEP - 20) + " " + items[11][1] + " " + noise(300)))  # over a part's end
     docs += [(70, None), (71, ""), (None, items[1][1]), (3, "repeated id")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.find(frame, bench, stage(spark)).collect()}
-    assert found == {(3, 5), (9, 7), (None, 1)}
+    assert found == {(3, 5), (9, 7), (72, 11), (None, 1)}
     assert decontam.find(none, bench, stage(spark)).count() == 0 and decontam.find(frame, bench.limit(0), stage(spark)).count() == 0
 
 
