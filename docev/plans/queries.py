@@ -704,3 +704,107 @@ def heuristic_scores(spark, sf_dir):
     valid = F.when(F.col("role") == "user", "已验证").otherwise("")
     found = audit.heuristics(F.col("text"), F.col("text"), F.col("turn"), F.greatest(F.col("turn") - 1, F.lit(0)), valid)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("grounding", "generalization", "usefulness")])
+
+
+@query("with r as (select c_nationkey, o_orderkey, row_number() over (partition by c_nationkey order by o_totalprice desc, o_orderkey) as k from orders join customer on o_custkey = c_custkey) select c_nationkey, string_agg(o_orderkey::varchar, ';' order by k) as first from r where k <= 5 group by c_nationkey")
+def first_answers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    found = aggregate.first_list(rows, ["c_nationkey"], F.col("o_orderkey").cast("string"), 5, F.desc("o_totalprice"), F.col("o_orderkey"))
+    return found.select("c_nationkey", text.joined(F.col("values")).alias("first"))
+
+
+@query("""with p as (select lang, doc_id, text, row_number() over (partition by lang, text[1:10] order by doc_id) as k from documents where length(text) > 30), f as (select lang, doc_id, text, row_number() over (partition by lang order by doc_id) as n from p where k = 1)
+select lang, md5(string_agg(text, '|' order by n)) as digest from f where n <= 4 group by lang""")
+def prefix_answers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    found = aggregate.first_by_prefix(docs, ["lang"], "text", F.col("doc_id"), prefix=10, longer=30, n=4)
+    return found.select("lang", F.md5(F.array_join("values", "|")).alias("digest"))
+
+
+@query("select 'quality' as dimension, avg(coalesce(quality, 0)::double) as mean, count(*) as n from documents left join labels using (doc_id) union all select 'toxic', avg(coalesce(toxic, 0)::double), count(*) from documents left join labels using (doc_id)")
+def dimension_means(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return aggregate.dimension_means(rows, ["quality", "toxic"])
+
+
+_LEVELS = "q as (select c_mktsegment as industry_code, o_orderpriority as element, c_nationkey as project_id, case o_orderstatus when 'F' then 'A' when 'O' then 'B' else 'C' end as level from orders join customer on o_custkey = c_custkey)"
+
+
+@query(f"""with {_LEVELS}, g as (select industry_code, element, count(*) filter (level = 'A') as n_a, count(*) filter (level = 'B') as n_b, count(*) filter (level = 'C') as n_c, count(*) as total, count(distinct project_id) as projects from q group by all)
+select industry_code, element, n_a, n_b, n_c, total, projects, case when n_a >= 200 then 'A' when n_b >= 200 then 'B' else 'C' end as rule_level,
+  case when projects >= 5 and (n_a + n_b) * 10 >= total * 6 then 'strong' when projects >= 3 then 'common' when projects >= 2 then 'candidate' else 'single' end as status from g""")
+def graded_rules(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    level = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").otherwise("C")
+    rows = rows.select(F.col("c_mktsegment").alias("industry_code"), F.col("o_orderpriority").alias("element"), F.col("c_nationkey").alias("project_id"), level.alias("level"))
+    return rules.graded(rows, ["industry_code", "element"], 200, 200)
+
+
+@query("""select p_brand as industry_code, p_type as element, count(distinct p_size) as n_projects, string_agg(distinct p_name[1:3], ';' order by p_name[1:3]) as standards, first(p_name order by p_partkey) as trigger,
+  case when count(distinct p_size) >= 5 then 'strong' when count(distinct p_size) >= 3 then 'common' else 'weak' end as strength from part group by p_brand, p_type""")
+def merged_rules(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("industry_code"), F.col("p_type").alias("element"), F.col("p_size").alias("project_id"), F.substring("p_name", 1, 3).alias("standard"), F.col("p_name").alias("trigger"), F.col("p_partkey").alias("qa_id"))
+    return rules.merged(rows).withColumn("standards", text.joined(F.col("standards")))
+
+
+@query(f"with {_RULES} select 'EXP_' || rule_id as experience_id, case when evidence_level = 'A' and least(1.0::double, support_count / 3) >= 0.8 then 'auto' when evidence_level in ('A', 'B') then 'strong' else 'human' end as automation_level from r where industry_code in ('AUTOMOBILE', 'BUILDING')")
+def experience_ladder(spark, sf_dir):
+    return rules.experience(rules.induced(_rule_rows(spark, sf_dir)), ["AUTOMOBILE", "BUILDING"]).select("experience_id", "automation_level")
+
+
+@query("""with s as (select doc_id, greatest(0, 100 - case when length(text) < 500 then 30 else 0 end - case when contains(text, '***') then 50 else 0 end - case when not contains(text, chr(10)) then 25 else 0 end) as x, lang from documents)
+select doc_id, case when lang = 'es' then 0 else x end as score, case when (case when lang = 'es' then 0 else x end) >= 85 and lang = 'en' then 'verified' when (case when lang = 'es' then 0 else x end) < 60 then 'rejected' else 'review' end as grade from s""")
+def deducted_scores(spark, sf_dir):
+    x = F.col("text")
+    score = audit.deducted([(F.length(x) < 500, 30), (F.contains(x, F.lit("***")), 50), (~F.contains(x, F.lit("\n")), 25)], zero=F.col("lang") == "es")
+    rows = table(spark, sf_dir, "documents").withColumn("score", score)
+    return rows.select("doc_id", "score", audit.graded(F.col("score"), F.col("lang") == "en").alias("grade"))
+
+
+@query(f"select doc_id, {_sql_hits('text', ENGLISH)} / 4 as en, {_sql_hits('text', GERMAN)} / 4 as de from documents")
+def keyword_shares(spark, sf_dir):
+    en, de = (audit.keyword_shares(terms, F.col("text"))[0] for terms in (ENGLISH, GERMAN))
+    return table(spark, sf_dir, "documents").select("doc_id", en.alias("en"), de.alias("de"))
+
+
+@query("select doc_id, concat_ws(';', case when contains(text, 'License') then 'MIT;Apache' end, case when contains(text, '@') then 'mail' end) as aliases, concat_ws(';', case when contains(text, '@') then '@' end, case when contains(text, 'License') then 'License' end) as terms from documents")
+def alias_terms(spark, sf_dir):
+    x = F.col("text")
+    aliases = match.expanded(x, {"License": ["MIT", "Apache"], "@": ["mail"]})
+    return table(spark, sf_dir, "documents").select("doc_id", text.joined(aliases).alias("aliases"), text.joined(match.sorted_terms(x, ["License", "@"])).alias("terms"))
+
+
+@query("select p_partkey, 'COD' as name, p_size::double as value, 'mg/L' as unit from part union all select p_partkey, 'VOCs', p_size / 2, 't/a' from part where p_size % 2 = 1")
+def limit_triples(spark, sf_dir):
+    half = F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("; VOCs ≤ "), (F.col("p_size") / 2).cast("string"), F.lit(" t/a"))).otherwise(F.lit(""))
+    written = F.concat(F.lit("COD："), F.col("p_size").cast("string"), F.lit("mg/L"), half)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(extract.limits(written)).alias("l")).select("p_partkey", "l.*")
+
+
+@query("select conv_id, count(distinct role) as n_sections, max(case when role = 'user' then text end) filter (turn = lastturn) as last_user from (select *, max(turn) over (partition by conv_id, role) as lastturn from conversations) group by conv_id")
+def last_sections(spark, sf_dir):
+    """Turns as lines under their role; of repeated roles the last wins."""
+    turns = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("# "), "role", F.lit("\n"), F.regexp_replace("text", "\n", "\u2028"))
+    body = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n").alias("body"))
+    found = segment.sections(body, "body", ["conv_id"], "^# ([a-z]+)$")
+    last = F.regexp_replace(F.regexp_replace(F.try_element_at("sections", F.lit("user")), "^# user", ""), "\u2028", "\n")
+    return found.select("conv_id", F.size("sections").cast("long").alias("n_sections"), last.alias("last_user"))
+
+
+@query("select c_custkey, 'C' || lpad((row_number() over (order by c_name desc, c_custkey))::varchar, 6, '0') as id from customer")
+def numbered_rows(spark, sf_dir):
+    return aggregate.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "id", "C%06d", F.desc("c_name"), F.col("c_custkey")).select("c_custkey", "id")
+
+
+@query(f"select doc_id, case when {_sql_hits('text[1:1500]', GERMAN)} * 2 >= 4 and {_sql_hits('text[1:1500]', GERMAN)} > {_sql_hits('text[1:2000]', ENGLISH)} then 'approval' when {_sql_hits('text[1:2000]', ENGLISH)} * 2 >= 4 then 'report' when {_sql_hits('text[1:1000]', FRENCH)} * 2 >= 4 then 'public_participation' when {_sql_hits('text[1:1500]', GERMAN)} > 0 then 'approval_candidate' else 'unknown' end as type from documents")
+def preview_types(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", match.preview(F.col("text"), ENGLISH, GERMAN, FRENCH).alias("type"))
+
+
+@query("""with t as (select doc_id, text, list_filter([instr(text, 'License'), instr(text, '@')], lambda p: p > 0) as ps from documents),
+s as (select doc_id, list_transform(ps, lambda p: text[greatest(0, p - 1 - 80) + 1:p - 1 + 80]) as found from t)
+select doc_id, len(list_distinct(found))::int as n, coalesce(found[1], '') as first from s""")
+def snippet_search(spark, sf_dir):
+    found = spans.snippets(F.col("text"), F.array(F.lit("License"), F.lit("@")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first"))
