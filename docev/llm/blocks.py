@@ -68,7 +68,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prepare(docs: DataFrame, stage: common.Stage, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stage.table("blocks", rows.mapInArrow(_prepare, BLOCK), codec="none")
+    return stage.table("blocks", common.mapped(rows, _prepare, BLOCK), codec="none")
 
 
 class Block:
@@ -124,7 +124,7 @@ def answered(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes | None
         out = pa.Table.from_arrays([table.column("part"), table.column("block"), pa.chunked_array([pa.array(replies, pa.binary())])], schema=_REQUEST)
         return out.filter(out.column("payload").is_valid())
 
-    replies = stage.table(name, asked.groupBy("part").applyInArrow(run, REQUEST))
+    replies = stage.table(name, asked.groupBy("part").applyInArrow(common.trimmed(run), REQUEST))
     return replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "payload"))).alias("replies"))
 
 

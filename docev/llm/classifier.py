@@ -100,7 +100,7 @@ def measure(docs: DataFrame, stage: common.Stage, doc_id: str = "doc_id", text:
     common.small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("statistics", T.ArrayType(T.FloatType()))])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stage.table("statistics", rows.mapInArrow(_measured, schema))
+    return stage.table("statistics", common.mapped(rows, _measured, schema))
 
 
 class Trees:
@@ -183,4 +183,4 @@ def score(measured: DataFrame, trees: Trees) -> DataFrame:
             x = batch.column("statistics").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(trees.score(x))], ["doc_id", "score"])
 
-    return measured.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return common.mapped(measured, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))

@@ -193,7 +193,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     """Per row of ``docs``: doc_id, class_id and n_links, the other rows at the threshold or above."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage.table("signed", rows.mapInArrow(_sign(size, trees, prefix_length(threshold, trees, depth, recall)), SIGNED))
+    signed = stage.table("signed", common.mapped(rows, _sign(size, trees, prefix_length(threshold, trees, depth, recall)), SIGNED))
     copies = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stage.table("nodes", copies)
 
@@ -224,10 +224,10 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
 
     # The join of all texts is dealt by id at every size, however few the candidates.
     wanted = rows.join(placed.select(F.col("rid").alias("doc_id"), "node").hint("merge"), "doc_id").select("node", "text")
-    shingled = stage.table("shingled", wanted.mapInArrow(_shingle(size), SHINGLED))
+    shingled = stage.table("shingled", common.mapped(wanted, _shingle(size), SHINGLED))
     dealt = placed.join(shingled, "node").select("node", "copies", "shingles", F.explode("meetings").alias("m")).select("node", "copies", "shingles", "m.meeting", "m.side")
     buckets = max(1, -(-int(total) // BUCKET))
-    verified = dealt.withColumn("bucket", F.pmod(F.xxhash64("meeting"), F.lit(buckets))).groupBy("bucket").applyInArrow(_verify(threshold), VERIFIED)
+    verified = dealt.withColumn("bucket", F.pmod(F.xxhash64("meeting"), F.lit(buckets))).groupBy("bucket").applyInArrow(common.trimmed(_verify(threshold)), VERIFIED)
     verified = stage.table("verified", verified)
     stage.drop("shingled", "placed")
 

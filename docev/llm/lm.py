@@ -117,6 +117,6 @@ def score(docs: DataFrame, stage: common.Stage, backoff: float = BACKOFF, least:
     held = blocks.prepare(docs, stage, doc_id=doc_id, text=text)
     total = held.agg(F.sum("n_words")).first()[0] or 0
     parts = blocks.parts_for(held, KEYS_A_WORD)
-    replies = blocks.answered(held.mapInArrow(_ask(parts), blocks.REQUEST), _join, stage, "counts")
-    scored = blocks.with_replies(held, replies).mapInArrow(_score(parts, total, backoff, least), RESULT)
+    replies = blocks.answered(common.mapped(held, _ask(parts), blocks.REQUEST), _join, stage, "counts")
+    scored = common.mapped(blocks.with_replies(held, replies), _score(parts, total, backoff, least), RESULT)
     return scored.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score_micro") / F.lit(1e6) / F.col("n_words")))

@@ -312,7 +312,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     common.small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(F.col(text).rlike("[0-9@]"), F.col(text)).alias("text"))
-    return rows.mapInArrow(_find(train()), schema)
+    return common.mapped(rows, _find(train()), schema)
 
 
 def redact(text: str, spans: str) -> str:

@@ -219,8 +219,8 @@ def dedup(docs: DataFrame, stage: common.Stage, with_text: bool = True, doc_id:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by a space) per row of ``docs``."""
     held = blocks.prepare(docs, stage, doc_id=doc_id, text=text)
     key_parts, parts = blocks.parts_for(held, KEYS_A_WORD), blocks.parts_for(held, WINDOWS_A_WORD)
-    keys = blocks.answered(held.mapInArrow(_ask_keys(key_parts), blocks.REQUEST), _shared, stage, "keys")
-    asked = blocks.with_replies(held, keys).mapInArrow(_ask_windows(key_parts, parts), blocks.REQUEST)
+    keys = blocks.answered(common.mapped(held, _ask_keys(key_parts), blocks.REQUEST), _shared, stage, "keys")
+    asked = common.mapped(blocks.with_replies(held, keys), _ask_windows(key_parts, parts), blocks.REQUEST)
     windows = blocks.answered(asked, _smallest, stage, "windows")
     stage.drop("keys")
-    return blocks.with_replies(held, windows).mapInArrow(_finish(with_text), RESULT)
+    return common.mapped(blocks.with_replies(held, windows), _finish(with_text), RESULT)

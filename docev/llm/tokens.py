@@ -39,7 +39,7 @@ CHUNK_TOKENS = 4_000_000
 #: More buckets would make the quantiles themselves large; chunks bound the memory in any case.
 MOST_BUCKETS = 20_000
 #: Lower-cased words whose ids a worker remembers between batches.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 #: A word of Latin letters, lower-cased, and the marks after it, which are a piece of their own for a
 #: tokenizer that splits letters from marks. Here lower-casing and composing commute. Not among the
 #: marks is the apostrophe, which begins contractions.
@@ -237,16 +237,16 @@ def write(docs: DataFrame, tokenizer: str, stage: common.Stage, doc_id: str = "d
     cuts = [k / n for k in range(1, n)]
     bounds = (docs.agg(F.percentile_approx("doc_id", cuts, 10 * n)).first()[0] or []) if cuts else []
     kind = encoder_of(tokenizer).type
-    tokenised = docs.mapInArrow(_tokenise(tokenizer, np.array(sorted(set(bounds)), np.int64)), TOKENISED)
+    tokenised = common.mapped(docs, _tokenise(tokenizer, np.array(sorted(set(bounds)), np.int64)), TOKENISED)
     held = stage.table("tokens", tokenised)
-    counted = held.mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = common.mapped(held, _counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = F.row_number().over(W.orderBy(F.desc("n"), "id")) - 1  # rows as many as the vocabulary
     ranks = stage.table("ranks", counted.select(order.alias("rank"), "id"))
     pairs = ranks.collect()
     rank_of = np.zeros(max((r["id"] for r in pairs), default=0) + 1, np.uint32)
     rank_of[[r["id"] for r in pairs]] = [r["rank"] for r in pairs]
     dealt = held.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    chunks = stage.table("chunks", dealt.mapInArrow(_encode(kind, rank_of), CHUNK))
+    chunks = stage.table("chunks", common.mapped(dealt, _encode(kind, rank_of), CHUNK))
     stage.drop("tokens")
     return chunks, ranks
 
@@ -280,4 +280,4 @@ def read(chunks: DataFrame, ranks: DataFrame, with_ids: bool = True) -> DataFram
     bases = sizes.select("bucket", "chunk", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
     if sizes.count() <= common.BROADCAST_ROWS:
         bases = F.broadcast(bases)
-    return chunks.join(bases, ["bucket", "chunk"]).mapInArrow(_decode(ranked, with_ids), DECODED)
+    return common.mapped(chunks.join(bases, ["bucket", "chunk"]), _decode(ranked, with_ids), DECODED)
