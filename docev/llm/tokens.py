@@ -34,12 +34,12 @@ from . import common
 
 END_ID = 1
 #: Characters of text to a bucket, and tokens to a chunk: what one task holds at a time.
-BUCKET_CHARS = 10_000_000
-CHUNK_TOKENS = 4_000_000
+BUCKET_CHARS = 5_000_000
+CHUNK_TOKENS = 1_000_000
 #: More buckets would make the quantiles themselves large; chunks bound the memory in any case.
 MOST_BUCKETS = 20_000
 #: Lower-cased words whose ids a worker remembers between batches.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: A word of Latin letters, lower-cased, and the marks after it, which are a piece of their own for a
 #: tokenizer that splits letters from marks. Here lower-casing and composing commute. Not among the
 #: marks is the apostrophe, which begins contractions.
@@ -177,14 +177,11 @@ def _counts(kind: np.dtype):
     """(id, n) of a task's texts, end ids included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
+        total = np.zeros(END_ID + 1, np.int64)
         for batch in batches:
-            for part in batch.column("ids").to_pylist():
-                found = np.bincount(np.frombuffer(part, kind), minlength=END_ID + 1)
-                found[END_ID] += 1
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
+            total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)]) + found
+            total[END_ID] += batch.num_rows
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
