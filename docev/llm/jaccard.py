@@ -93,7 +93,7 @@ def _sign(size: int, trees: int, length: int):
             for k in range(0, batch.num_rows, 100):  # what is multiplied stays in the cache
                 part = batch.slice(k, 100)
                 shingles, ends, digests = shingle_batch(part.column("text"), size)
-                counts = np.diff(ends)
+                counts = np.array([len(common.sorted_unique(shingles[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)  # of the set, as bands need it
                 keys = signatures(shingles, ends, trees, length).view(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], ["doc_id", "node", "n", "keys"])

@@ -270,6 +270,14 @@ def test_near_duplicates_of_a_large_group(spark):
     assert found == sorted(linked_classes(rows))
 
 
+def test_near_duplicates_that_repeat_passages(spark):
+    forty, prose = " ".join(f"p{k}" for k in range(40)), " ".join(f"q{k}" for k in range(300))
+    line = "\n" + " ".join(f"r{k}" for k in range(10))
+    rows = [(1, " ".join([forty] * 2)), (2, " ".join([forty] * 4)), (3, " ".join([forty] * 30)), (4, prose + line * 6), (5, prose + line * 40), (6, prose + line * 400)]
+    found = sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), stage(spark)).collect())
+    assert found == sorted(linked_classes(rows)) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 2), (5, 4, 2), (6, 4, 2)]
+
+
 def test_prefix_length_meets_the_recall():
     k = jaccard.prefix_length()
     miss = lambda n: (1 - jaccard.THRESHOLD**n) ** jaccard.TREES
