@@ -2,12 +2,14 @@
 
 Stages take (spark, docs, sf_dir) and return the rows kept, with the columns of documents; the last
 returns what its files hold. Rows without a doc_id pass the near-duplicate stage, which tells rows by
-id; where one of them holds a benchmark passage, none of them can be told clean and all go.
+id; the decontamination stage decides each row by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docev.llm import common, decontam, jaccard, mixing, queries, rules, tokens
 
@@ -27,10 +29,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def text_key() -> Column:
+    """A text's 128-bit digest; null for a null text, in which nothing is found."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), common.Stage(spark, "leaks"))
-    return common.by_id(docs, found, "left_anti", few=True)
+    """Documents in which no benchmark item is found, each told by the 128-bit digest of its own text."""
+    told = docs.select(text_key().alias("doc_id"), "text")
+    found = decontam.find(told, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), common.Stage(spark, "leaks"), key=T.BinaryType())
+    held = found.select(F.col("doc_id").alias("__found")).distinct().checkpoint()
+    held = F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held.hint("merge")
+    return docs.join(held, text_key() == F.col("__found"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

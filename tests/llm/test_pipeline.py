@@ -128,3 +128,13 @@ def test_odd_rows_go_through(spark):
         assert kept.count() >= least
     near = corpus_pipeline.near_duplicates(spark, docs, ROOT)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
+
+
+def test_clean_rows_stay_beside_leaks(spark):
+    item = max((r.text for r in spark.read.parquet(f"{ROOT}/benchmark.parquet").collect()), key=lambda t: len(words(t)))
+    prose = " ".join(f"word{k % 61}x{k % 7}" for k in range(80))
+    clean = [(None, f"{prose} {k}", "a") for k in range(20)] + [(7, prose, "a"), (None, None, "a"), (8, "", "a")]
+    leaks = [(None, f"{prose} {item} {prose}", "a"), (7, f"{item} {prose}", "a")]
+    docs = spark.createDataFrame(clean + leaks, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, ROOT).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, clean))
