@@ -1,13 +1,13 @@
 """A training-corpus pipeline: each stage calls one operator on all rows its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return the rows kept, with the columns of documents; the last
-returns what its files hold. Rows without a doc_id pass the near-duplicate stage, which tells rows by
-id; the decontamination stage decides each row by its own text.
+returns what its files hold. The near-duplicate stage keeps a row with an id and one without of a
+class that has both; the decontamination stage decides each row by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,27 +20,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id; one row of rows that share it."""
-    stage = common.Stage(spark, "near")
-    classes = stage.table("classes", jaccard.join(docs, stage))
-    kept = common.by_id(docs.where("doc_id is not null"), classes.where("doc_id = class_id"), "left_semi")
-    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
-def text_key() -> Column:
-    """A text's 128-bit digest; null for a null text, in which nothing is found."""
-    return F.unhex(F.md5(F.col("text").cast("binary")))
+    """Of each class of linked documents the one with the smallest id, and one of its rows without an id;
+    one row of rows that share id and text. Texts without words pass."""
+    stage, key = common.Stage(spark, "near"), common.text_key(F.col("text"))
+    leaders, rows = jaccard.leaders(docs, stage)
+    leaders = stage.table("leaders", leaders.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")))
+    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    kept = docs.where(worded).join(leaders.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return kept.unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found, each told by the 128-bit digest of its own text."""
-    told = docs.select(text_key().alias("doc_id"), "text")
+    told = docs.select(common.text_key(F.col("text")).alias("doc_id"), "text")
     found = decontam.find(told, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), common.Stage(spark, "leaks"), key=T.BinaryType())
     held = found.select(F.col("doc_id").alias("__found")).distinct().checkpoint()
     held = F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held.hint("merge")
-    return docs.join(held, text_key() == F.col("__found"), "left_anti")
+    return docs.join(held, common.text_key(F.col("text")) == F.col("__found"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,11 @@ def by_id(docs: DataFrame, ids: DataFrame, how: str, few: bool = False, doc_id:
     return docs.join(right, docs[doc_id].eqNullSafe(right["__id"]), how)
 
 
+def text_key(text: Column) -> Column:
+    """A text's 128-bit digest; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

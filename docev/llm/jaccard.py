@@ -12,9 +12,8 @@ Texts with the same word sequence are one node from the start and their copies a
 told apart by 128-bit digests, shingles by 64-bit hashes.
 
 Defined results: a text of one to four words has one shingle, all its words; a text without words
-(null, empty) has none, links to nothing and is a class of its own; a row without an id takes part
-through the exact copies of its text that have one, else only exact copies link to it; a class's id is
-its smallest doc_id, null if it has none; repeated rows count as copies; an empty table gives no rows;
+(null, empty) has none, links to nothing and is a class of its own; rows without an id take part like
+all others; a class's id is its smallest doc_id, null if it has none; repeated rows count as copies; an empty table gives no rows;
 extra columns are not read.
 """
 
@@ -38,7 +37,7 @@ CELL = 512
 #: Texts that one Python call of the verification holds, on average.
 BUCKET = 1000
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 SHINGLED = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 VERIFIED = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
 
@@ -96,7 +95,7 @@ def _sign(size: int, trees: int, length: int):
                 counts = np.array([len(common.sorted_unique(shingles[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)  # of the set, as bands need it
                 keys = signatures(shingles, ends, trees, length).view(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], ["doc_id", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(digests, pa.binary()), pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], ["doc_id", "key", "node", "n", "keys"])
 
     return run
 
@@ -188,16 +187,18 @@ def _verify(threshold: float):
     return run
 
 
-def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
-         recall: float = RECALL, cell: int = CELL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id and n_links, the other rows at the threshold or above."""
+def _classes(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
+             recall: float = RECALL, cell: int = CELL, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and per node: root, links, copies, rid, the first of its rows that have an id and
+    the smallest text key of those without."""
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), common.text_key(F.col(text)).alias("key"))
     signed = stage.table("signed", common.mapped(rows, _sign(size, trees, prefix_length(threshold, trees, depth, recall)), SIGNED))
-    copies = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = stage.table("nodes", copies)
+    first, loose = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))), F.min(F.when(F.col("doc_id").isNull(), F.col("key")))
+    copies = signed.where("n > 0").groupBy("node").agg(first.alias("first"), loose.alias("loose"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = stage.table("nodes", copies.withColumn("rid", F.col("first.doc_id")))
 
-    prefixes = nodes.where("rid is not null").select("node", F.explode("keys").alias("prefix"))
+    prefixes = nodes.select("node", F.explode("keys").alias("prefix"))
     hubs = prefixes.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("prefix", "hub").checkpoint()  # plain, so that the join can split
     stars = prefixes.join(hubs, "prefix").where("node != hub").select("node", "hub").distinct()
     candidates = stage.table("candidates", graph.components(stars, "node", "hub"))
@@ -205,7 +206,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     # Sets whose sizes differ by more than the threshold are never linked: only cells of one band of
     # sizes, or of neighbouring ones, meet.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")
-    members = candidates.join(nodes.select("node", "rid", "copies", "n"), "node").withColumn("band", band)
+    members = candidates.join(nodes.select("node", "rid", F.coalesce("first.key", "loose").alias("key"), "copies", "n"), "node").withColumn("band", band)
     bands = members.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("cells"))
     listed = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells")).checkpoint()
     placed = members.join(listed, "root").withColumn("own", F.col("cells")[F.col("band")])
@@ -218,12 +219,15 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
     same = others(F.col("own"), lambda j: meeting(name(here, F.least(at, j), here, F.greatest(at, j)), (j < at) & (j != at)))
     above = others(count(here + 1), lambda j: meeting(name(here, at, here + 1, j), F.lit(0)))
     below = others(count(here - 1), lambda j: meeting(name(here - 1, j, here, at), F.lit(1)))
-    placed = placed.withColumn("meetings", F.concat(same, above, below)).select("node", "rid", "copies", "meetings")
+    placed = placed.withColumn("meetings", F.concat(same, above, below)).select("node", "rid", "key", "copies", "meetings")
     placed = stage.table("placed", placed)
     total = placed.agg(F.sum(F.size("meetings"))).first()[0] or 0
 
     # The join of all texts is dealt by id at every size, however few the candidates.
-    wanted = rows.join(placed.select(F.col("rid").alias("doc_id"), "node").hint("merge"), "doc_id").select("node", "text")
+    # Of rows without an id, each text goes once.
+    wanted = rows.join(placed.select(F.col("rid").alias("doc_id"), "key", "node").hint("merge"), ["doc_id", "key"]).select("node", "text")
+    unnamed = rows.where("doc_id is null and key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    wanted = wanted.unionByName(unnamed.join(placed.where("rid is null").select("key", "node").hint("merge"), "key").select("node", "text"))
     shingled = stage.table("shingled", common.mapped(wanted, _shingle(size), SHINGLED))
     dealt = placed.join(shingled, "node").select("node", "copies", "shingles", F.explode("meetings").alias("m")).select("node", "copies", "shingles", "m.meeting", "m.side")
     buckets = max(1, -(-int(total) // BUCKET))
@@ -233,10 +237,26 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = graph.components(verified.select("node", "root"), "node", "root")
-    told = nodes.select("node", "rid", "copies").join(links, "node", "left").join(roots, "node", "left")
-    told = told.withColumn("root", F.coalesce("root", "node"))
+    told = nodes.select("node", "rid", "first", "loose", "copies").join(links, "node", "left").join(roots, "node", "left")
+    return signed, told.withColumn("root", F.coalesce("root", "node"))
+
+
+def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
+         recall: float = RECALL, cell: int = CELL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id and n_links, the other rows at the threshold or above."""
+    signed, told = _classes(docs, stage, threshold, size, trees, depth, recall, cell, doc_id, text)
     named = told.groupBy("root").agg(F.min("rid").alias("class_id")).checkpoint()
     told = told.join(named, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     with_words = signed.where("n > 0").select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links")
     without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(without)
+
+
+def leaders(docs: DataFrame, stage: common.Stage) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text key of the rows that stand for a class: the first of those with an id, and the
+    first of those without. Beside them doc_id and key of every row with words."""
+    signed, told = _classes(docs, stage)
+    firsts = told.groupBy("root").agg(F.min("first").alias("first"), F.min("loose").alias("loose")).checkpoint()
+    named = firsts.where("first is not null").select("first.doc_id", "first.key")
+    unnamed = firsts.where("loose is not null").select(F.lit(None).cast("long").alias("doc_id"), F.col("loose").alias("key"))
+    return named.unionByName(unnamed), signed.where("n > 0").select("doc_id", "key")

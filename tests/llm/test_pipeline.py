@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docev.llm import decontam, mixing, queries, rules, tokens
+from docev.llm import common, decontam, jaccard, mixing, queries, rules, tokens
 from tests.llm.test_operators import linked_classes, plain_lcs, repeated_words, resharing, words
 
 ROOT = "/root/testdata/sf0.001"
@@ -138,3 +138,13 @@ def test_clean_rows_stay_beside_leaks(spark):
     docs = spark.createDataFrame(clean + leaks, "doc_id long, text string, source string")
     kept = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, ROOT).collect()]
     assert sorted(map(repr, kept)) == sorted(map(repr, clean))
+
+
+def test_near_duplicates_without_ids_or_with_repeated_ones(spark):
+    prose = lambda x, n=80: " ".join(f"{x}{k % 61}x{k % 7}" for k in range(n))
+    rows = [(None, prose("a")), (None, prose("a")), (None, prose("a") + " tail"), (None, prose("b")), (None, prose("c") + " tail"), (5, prose("c")), (6, prose("d")), (6, prose("e")), (6, prose("e")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    found = [tuple(r) for r in jaccard.join(docs, common.Stage(spark, "odd")).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, linked_classes(rows)))
+    kept = [r.text[:1] if r.text else r.text for r in corpus_pipeline.near_duplicates(spark, docs, ROOT).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, ["a", "b", "c", "c", "d", "e", None, ""]))
