@@ -1,15 +1,15 @@
 """Shared folder, table materialisation and Arrow word helpers used by the operators.
 
 Every cut of lineage goes through a folder that all executors see: the one the cluster names in
-``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a temporary one made.
+``spark.checkpoint.dir``. Only where that is unset and the master is local is a temporary one made.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,17 +29,42 @@ BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session names none."""
+    """The folder all executors share. A session on a cluster must name one; a local one gets its own."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         held = context._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='docev-')}"
+        if held.isDefined():
+            path = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            path = f"file://{tempfile.mkdtemp(prefix='docev-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(path)
     return path
 
 
+#: Deletes a finished execution's shuffle files at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    """Run with some session settings, and put back what was there."""
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts don't make one batch outgrow a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -82,12 +107,8 @@ class Stage:
 
     def table(self, name: str, frame: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        frame.write.option("compression", codec).mode("overwrite").parquet(path)
-        # The shuffles behind a written table are not read again; the cleaner deletes their files once
-        # the driver collects the plans that hold them, which some thread still does just after a write.
-        for _ in range(2):
-            time.sleep(0.25)
-            self.spark.sparkContext._jvm.System.gc()
+        with settings(self.spark, {CLEANUP: "true"}):  # the shuffles behind a written table aren't read again
+            frame.write.option("compression", codec).mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -177,13 +198,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each distinct word, the same in every process."""
+#: Keys of two independent hashes of a word (pandas takes 16 characters).
+HASH_KEYS = ("0123456789123456", "6543219876543210")
+
+
+def hash_words(distinct: pa.Array, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each distinct word, the same in every process; keys 0 and 1 are independent."""
     import pandas as pd
 
     if not len(distinct):
         return np.zeros(0, np.uint64)
-    return mix64(pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False))
+    return mix64(pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), hash_key=HASH_KEYS[key], categorize=False))
 
 
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -145,16 +145,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 _LM_SQL = """
 with d as (
-  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
 ), t as (
-  select doc_id, unnest(words) as w, unnest(list_concat([null], words[:len(words) - 1])) as v, unnest(range(1, len(words) + 1)) as p from d where len(words) > 0
-), c1 as (select w, count(*) as n from t group by w), c2 as (select v, w, count(*) as n from t where v is not null group by v, w),
-s as (
-  select doc_id, coalesce(c2.n, 0) < 2 and t.v is not null as backed,
-         case when t.v is null then ln(a.n / (select count(*) from t)) when c2.n >= 2 then ln(c2.n / b.n) else ln(0.4::double * a.n / (select count(*) from t)) end as l
-  from t join c1 a on t.w = a.w left join c1 b on t.v = b.w left join c2 on t.v = c2.v and t.w = c2.w
-), g as (select doc_id, sum(backed::bigint)::bigint as n_backoff, sum(round(l * 1000000)::bigint)::bigint as score_micro from s group by doc_id)
-select doc_id, len(words)::bigint as n_words, coalesce(n_backoff, 0) as n_backoff, coalesce(score_micro, 0) as score_micro from d left join g using (doc_id)
+  select r, len(words) as size, unnest(words) as w, unnest(range(1, len(words) + 1)) as p from d where len(words) > 0
+), g as (
+  select *, lag(w) over (partition by r order by p) as v, lag(w, 2) over (partition by r order by p) as u from t
+), c as (
+  select *, count(*) over () as total, count(*) over (partition by w) - count(*) over (partition by r, w) as c1,
+         case when p > 1 then count(*) over (partition by v, w) - count(*) over (partition by r, v, w) end as c2,
+         case when p > 2 then count(*) over (partition by u, v, w) - count(*) over (partition by r, u, v, w) end as c3 from g
+), e as (
+  select *, lag(c1) over (partition by r order by p) as b1, lag(c2) over (partition by r order by p) as b2 from c
+), f as (
+  select *, [1.0::double, 0.4::double, power(0.4::double, 2), power(0.4::double, 3)] as factor,
+         case when c3 > 0 then 0 when c2 > 0 then (p > 2)::int when c1 > 0 then (p > 1)::int + (p > 2)::int else 1 + (p > 1)::int + (p > 2)::int end as steps from e
+), s as (
+  select r, steps, case when c3 > 0 then ln(factor[steps + 1] * c3 / b2) when c2 > 0 then ln(factor[steps + 1] * c2 / b1)
+         when c1 > 0 then ln(factor[steps + 1] * c1 / (total - size)) else ln(factor[steps + 1] / total) end as l from f
+), a as (select r, sum(steps)::bigint as n_backoff, sum(round(l * 1000000)::bigint)::bigint as score_micro from s group by r)
+select doc_id, len(words)::bigint as n_words, coalesce(n_backoff, 0) as n_backoff, coalesce(score_micro, 0) as score_micro from d left join a using (r)
 """
 
 _SUBSTRINGS_SQL = """

@@ -97,25 +97,40 @@ def test_empty_mixture(none):
 # --- op2 ------------------------------------------------------------------------------------
 
 
-def test_lm_scores(spark, docs):
-    ones, twos = collections.Counter(), collections.Counter()
-    for _, t, *_ in ROWS:
-        w = words(t)
-        ones.update(w)
-        twos.update(zip(w, w[1:]))
-    total = sum(ones.values())
+def plain_scores(rows, order=lm.ORDER):
+    """Every n-gram counted by hand; each text is held out of its own counts."""
+    grams = lambda w, n: collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    texts = [words(t) for _, t, *_ in rows]
+    every = [sum((grams(w, n) for w in texts), collections.Counter()) for n in range(1, order + 1)]
+    total = sum(map(len, texts))
     micro = lambda x: round(float(np.log(x)) * 1e6)
-    expected = []
-    for i, t, *_ in ROWS:
-        w = words(t)
-        score, backed = (micro(ones[w[0]] / total) if w else 0), 0
-        for a, b in zip(w, w[1:]):
-            seen = twos[a, b] >= lm.LEAST
-            backed += not seen
-            score += micro(twos[a, b] / ones[a] if seen else lm.BACKOFF * ones[b] / total)
-        expected.append((i, len(w), backed, score))
-    found = [tuple(r) for r in lm.score(docs, stage(spark)).select("doc_id", "n_words", "n_backoff", "score_micro").collect()]
-    assert sorted(map(repr, found)) == sorted(map(repr, expected))
+    out = []
+    for (i, *_), w in zip(rows, texts):
+        own = [grams(w, n) for n in range(1, order + 1)]
+        rest = lambda g: every[len(g) - 1][g] - own[len(g) - 1][g] if g else total - len(w)  # noqa: B023, E731
+        score, backed = 0, 0
+        for p in range(len(w)):
+            steps = 0
+            for n in range(min(order, p + 1), 0, -1):
+                gram = tuple(w[p - n + 1 : p + 1])
+                if rest(gram) > 0:
+                    score += micro(lm.BACKOFF**steps * rest(gram) / rest(gram[:-1]))
+                    break
+                steps += 1
+            else:
+                score += micro(lm.BACKOFF**steps / total)
+            backed += steps
+        out.append((i, len(w), backed, score))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(blocks, "PART_KEYS", 9_000)
+    rows = [*ROWS, (2**63 - 1, PROSE, "en", "a"), (0, "zero", "en", "a")]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-2:], SCHEMA).select("doc_id", "text"))
+    found = [tuple(r) for r in lm.score(given, stage(spark), order=order).select("doc_id", "n_words", "n_backoff", "score_micro").collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, plain_scores(rows, order)))
 
 
 def test_lm_of_nothing(spark, none):
@@ -347,7 +362,7 @@ def kept_words(rows, size=substrings.WINDOW):
         w = words(t)
         for k in range(len(w) - size + 1):
             key = tuple(w[k : k + size])
-            least[key] = min(least.get(key, 1 << 70), 1 << 63 if i is None else i)
+            least[key] = min(least.get(key, 1 << 71), 1 << 63 if i is None else i)
     out = []
     for i, t in rows:
         w = words(t)
@@ -372,16 +387,42 @@ def test_substrings_of_few_words(spark, monkeypatch):
     assert found == sorted(kept_words(rows))
 
 
-def test_equal_windows_share_their_symbols():
-    draw = np.random.default_rng(2)
-    inner = draw.integers(0, 50, 13).astype(np.uint64)
-    names = []
-    for _ in range(2):
-        w = common.mix64(np.concatenate([draw.integers(0, 50, 9), inner, draw.integers(0, 50, 9)]).astype(np.uint64))
-        x, _, lo, hi = substrings.recompress(w, np.zeros(len(w), np.int64))
-        inside = (lo >= 9) & (hi < 22)
-        names.append([(int(n), int(a), int(b)) for n, a, b in zip(x[inside], lo[inside], hi[inside])])
-    assert names[0] == names[1] and names[0]
+def named_globally(symbols, level):
+    """One round whose pairs all get a name, as if every pair were shared."""
+    symbols, at, key = symbols.paired(level)
+    symbols.name[at], symbols.plain[at] = key | np.uint64(1), True
+    return symbols
+
+
+@pytest.mark.parametrize("letters", [2, 3, 50])
+def test_equal_windows_share_their_symbols(letters):
+    draw, told = np.random.default_rng(2), 0
+    for _ in range(50):
+        inner, names = draw.integers(0, letters, 13), []
+        for _ in range(2):
+            w = common.mix64(np.concatenate([draw.integers(0, letters, 9), inner, draw.integers(0, letters, 9)]).astype(np.uint64) + np.uint64(7))
+            x = substrings.Symbols.of_words(w, np.zeros(len(w), np.int64))
+            for level in range(substrings.ROUNDS):
+                x = named_globally(x, level)
+            inside = (x.lo >= 9) & (x.hi < 22) & x.plain
+            names.append([(int(n), int(a), int(b)) for n, a, b in zip(x.name[inside], x.lo[inside], x.hi[inside])])
+        assert names[0] == names[1]
+        told += len(names[0])
+    assert told
+
+
+def test_runs_are_one_symbol():
+    w = common.mix64(np.array([1] * 30 + [2] * 20 + [3], np.uint64))
+    x, _, _ = substrings.Symbols.of_words(w, np.zeros(len(w), np.int64)).paired(0)
+    assert len(x.name) <= 3
+
+
+def test_substrings_of_ids_at_the_end(spark):
+    rows = [(2**63 - 1, PROSE), (None, PROSE), (None, PROSE), (-(2**63), "x " + PROSE), (5, PROSE[4:])]
+    found = sorted((repr(r.doc_id), r.n_removed, r.kept) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), stage(spark)).collect())
+    least = {None: 1 << 70}
+    expected = sorted((repr(i), n, k) for i, _, n, k in kept_words([(least.get(i, i), t) for i, t in rows]))
+    assert sorted((i.replace(repr(1 << 70), "None"), n, k) for i, n, k in expected) == found
 
 
 # --- op9 ------------------------------------------------------------------------------------
