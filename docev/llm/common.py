@@ -123,16 +123,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, salts: int = 64) -> DataFrame:
-    """Left join on one null-safe key: a broadcast while ``small`` has few rows, else a join salted
-    on both sides, so that a key with a third of ``big`` is spread over ``salts`` tasks."""
+def join_small(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join on one null-safe key: a broadcast while ``small`` has few rows, else a sort-merge join
+    of plain exchanges, which AQE splits where a key has a third of ``big``."""
     right = small.withColumnRenamed(key, "__key")
-    if rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(right), big[key].eqNullSafe(right["__key"]), "left").drop("__key")
-    right = right.withColumn("__s2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("__s1", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    on = left[key].eqNullSafe(right["__key"]) & (left["__s1"] == right["__s2"])
-    return left.join(right, on, "left").drop("__key", "__s1", "__s2")
+    right = F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge")
+    return big.join(right, big[key].eqNullSafe(right["__key"]), "left").drop("__key")
 
 
 def without(frame: DataFrame, prefix: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO = 0.1
-LEAST = 3
+#: A line that one page alone holds is no duplicate, however few pages its host has.
+LEAST = 2
 
 # What holds no text, the tags that end a line, and the entities that stand for a character.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"

@@ -82,7 +82,7 @@ def test_mixture_counts_and_reruns(spark, docs):
     assert len({r.mix_copies for r in rows if r.doc_id == 2}) == 1
 
 
-def test_mixture_of_many_sources_is_salted(spark, monkeypatch):
+def test_mixture_of_many_sources_is_joined(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     frame = spark.createDataFrame([(k, "a b c", f"s{k % 5}" if k % 7 else None) for k in range(60)], "doc_id long, text string, source string")
     few = mixing.plan(frame).select("doc_id", "mix_copies").collect()
@@ -143,13 +143,15 @@ def test_lm_of_nothing(spark, none):
 def test_lines(spark):
     pages = [(k, f"http://h{k % 2}.example/p{k}", f"<p>menu</p><p>text {k}</p><script>x</script><div> &amp; </div>", "z") for k in range(12)]
     pages += [(20, None, None, "z"), (21, "not a url", "", "z"), (22, "https://u:p@One.example:80/x", "<li>only</li>", "z"), (22, "https://one.example", "<li>only</li>", "z")]
+    pages += [(23, "https://two.example", "<li>only</li>", "z")] + [(30 + k, "https://ten.example", f"<p>twice</p><p>{k}</p>" if k < 2 else f"<p>{k}</p>", "z") for k in range(10)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, ln_kept string")
     found = {}
     for r in lines.dedup(frame, stage(spark)).collect():
         found.setdefault(r.page_id, []).append((r.ln_host, list(r.ln_lines), list(r.ln_kept)))
     assert found[3] == [("h1.example", ["menu", "text 3", "&"], ["text 3"])]
     assert found[20] == [("", [], [])] and found[21] == [("", [], [])]
-    assert found[22] == [("one.example", ["only"], ["only"])] * 2
+    assert found[22] == [("one.example", ["only"], [])] * 2 and found[23] == [("two.example", ["only"], ["only"])]
+    assert found[31] == [("ten.example", ["twice", "1"], ["1"])] and found[35] == [("ten.example", ["5"], ["5"])]
     assert lines.dedup(frame.limit(0), stage(spark)).count() == 0
 
 
@@ -293,10 +295,55 @@ def test_near_duplicates_that_repeat_passages(spark):
     assert found == sorted(linked_classes(rows)) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 2), (5, 4, 2), (6, 4, 2)]
 
 
-def test_prefix_length_meets_the_recall():
-    k = jaccard.prefix_length()
-    miss = lambda n: (1 - jaccard.THRESHOLD**n) ** jaccard.TREES
-    assert miss(k) <= 1 - jaccard.RECALL < miss(k + 1)
+def test_prefixes_are_shortened_to_the_recall():
+    none = np.zeros(jaccard.BINS)
+    _, least = jaccard.shortened(none, jaccard.DEPTH)
+    assert jaccard.chance(0.8, least, jaccard.TREES) >= jaccard.RECALL > jaccard.chance(0.8, least + 1, jaccard.TREES)
+    alike, near = none.copy(), none.copy()
+    alike[-1], near[0] = 100_000, 100_000
+    assert jaccard.shortened(alike, jaccard.DEPTH)[1] == jaccard.DEPTH and jaccard.shortened(near, jaccard.DEPTH)[1] == least
+    assert jaccard.shortened(near, least)[1] == least
+
+
+def test_neighbours_share_prefixes():
+    draw = np.random.default_rng(0)
+    paths = draw.integers(0, 3, (400, 7)).astype(np.uint8)
+    paths = paths[np.lexsort(paths.T[::-1])]
+    batches = [pa.RecordBatch.from_pydict({"path": [p.tobytes() for p in part], "node": [b"n"] * len(part)}) for part in np.split(paths, [1, 90, 90, 300])]
+    rows = [(r["path"], r["match"]) for b in jaccard._grow(3, 0)(iter(batches)) for r in b.to_pylist()]
+    share = lambda a, b: 0 if a[0] != b[0] else next((k for k in range(3) if a[1 + 2 * k : 3 + 2 * k] != b[1 + 2 * k : 3 + 2 * k]), 3)
+    held = [p.tobytes() for p in paths]
+    assert rows == [(p, 3 if k in (0, 399) else max(share(p, held[k - 1]), share(p, held[k + 1]))) for k, p in enumerate(held)]
+
+
+def near_pairs(n, seed):
+    """Texts and variants of them whose similarity lies about the threshold."""
+    draw, rows = np.random.default_rng(seed), []
+    for k in range(n):
+        w = [f"u{x}" for x in draw.integers(0, 50_000, 200)]
+        rows.append((2 * k, " ".join(w)))
+        for p in draw.choice(200, int(draw.integers(1, 6)), replace=False):
+            w[p] = f"z{draw.integers(10**6)}"
+        rows.append((2 * k + 1, " ".join(w)))
+    return rows
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rows = near_pairs(600, 3)
+    expected = {i: c for i, c, n in ((rows[k][0], rows[k - k % 2][0], len(shingles(rows[k][1]) & shingles(rows[k ^ 1][1])) >= 0.8 * len(shingles(rows[k][1]) | shingles(rows[k ^ 1][1])) - 1e-9) for k in range(len(rows))) if n}
+    found = {r.doc_id: r.class_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), stage(spark)).collect()}
+    assert len(expected) > 600
+    assert sum(found[i] == c for i, c in expected.items()) >= 0.998 * len(expected) and all(found[i] == i for i in found if i not in expected)
+
+
+def test_one_long_component(spark):
+    """Windows that slide over one sequence of words: each is near those at most 5 of 10 places away."""
+    size, n = 100, 3000
+    w = [f"s{k}" for k in range(n * 2 + size)]
+    rows = [(k, " ".join(w[2 * k : 2 * k + size])) for k in range(n)]
+    found = sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), stage(spark)).collect())
+    reach = max(d for d in range(20) if (96 - 2 * d) / (96 + 2 * d) >= 0.8)
+    assert found == [(k, 0, min(k, reach) + min(n - 1 - k, reach)) for k in range(n)]
 
 
 def test_components(spark):
