@@ -1,8 +1,9 @@
 """A training-corpus pipeline: each stage calls one operator on all rows its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return the rows kept, with the columns of documents; the last
-returns what its files hold. The near-duplicate stage keeps a row with an id and one without of a
-class that has both; the decontamination stage decides each row by its own text.
+returns what its files hold. Rows are told apart by themselves, not by doc_id: ids may be null, repeat
+or stand on different texts. Operators see the columns they need and a struct of the row, so that extra
+columns of any name come through as they were.
 """
 
 from __future__ import annotations
@@ -14,36 +15,40 @@ from pyspark.sql import types as T
 from docev.llm import common, decontam, jaccard, mixing, queries, rules, tokens
 
 
+def held(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator reads, and the whole row."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the production policy."""
-    return rules.apply_policy(rules.ledger(docs)).where("ql_kept").select(docs.columns)
+    return rules.apply_policy(rules.ledger(held(docs, "doc_id", "text"))).where("ql_kept").select("whole_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id, and one of its rows without an id;
-    one row of rows that share id and text. Texts without words pass."""
-    stage, key = common.Stage(spark, "near"), common.text_key(F.col("text"))
-    leaders, rows = jaccard.leaders(docs, stage)
-    leaders = stage.table("leaders", leaders.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")))
-    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
-    kept = docs.where(worded).join(leaders.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
-    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
-    return kept.unionByName(docs.where(~worded))
+    """Of each class of linked documents the row with the smallest id, one without an id only if none has
+    one. Texts without words are classes of their own."""
+    stage = common.Stage(spark, "near")
+    rows = stage.table("rows", held(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    classes = jaccard.join(rows.select("row", "text"), stage, doc_id="row").select(F.col("doc_id").alias("row"), "class_id")
+    told = stage.table("classes", rows.select("row", "doc_id").join(classes, "row"))
+    first = told.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select("first.row").hint("merge"), "row", "left_semi").select("whole_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found, each told by the 128-bit digest of its own text."""
     told = docs.select(common.text_key(F.col("text")).alias("doc_id"), "text")
     found = decontam.find(told, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), common.Stage(spark, "leaks"), key=T.BinaryType())
-    held = found.select(F.col("doc_id").alias("__found")).distinct().checkpoint()
-    held = F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held.hint("merge")
-    return docs.join(held, common.text_key(F.col("text")) == F.col("__found"), "left_anti")
+    leaks = found.select(F.col("doc_id").alias("found_key")).distinct().checkpoint()
+    leaks = F.broadcast(leaks) if leaks.count() <= common.BROADCAST_ROWS else leaks.hint("merge")
+    rows = held(docs, "text")
+    return rows.join(leaks, common.text_key(rows["text"]) == leaks["found_key"], "left_anti").select("whole_row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture's rates give them."""
-    return mixing.emit(mixing.plan(docs)).select(docs.columns)
+    return mixing.emit(mixing.plan(held(docs, "doc_id", "text", "source"))).select("whole_row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
