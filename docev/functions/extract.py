@@ -103,19 +103,20 @@ def cap(x: Column, pattern: str = r"(\d+(?:\.\d+)?)(?U:\s)*(?:t/a|吨/年)") ->
     return F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double")
 
 
-def claims(x: Column, patterns: Mapping[str, Sequence[str]], least: int = 6, most: int = 300, general: str = "general") -> Column:
-    """Claims of every type: array of structs (claim, claim_type), in the order of types and patterns.
-    Distinct by what is stored; a text without any is one general claim."""
+def claims(x: Column, patterns: Mapping[str, Sequence[str]], least: int = 6, most: int = 300, general: str = "general", whole: int = 200) -> Column:
+    """Claims of every type: array of structs (claim, claim_type), in the order of types and patterns,
+    stripped. Distinct by what is stored; a text without any is one general claim of its start."""
 
     def found_by(kind: str, pattern: str) -> Column:
-        long = F.filter(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda c: F.length(c) >= least)
+        stripped = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+        long = F.filter(stripped, lambda c: F.length(c) >= least)
         return F.transform(long, lambda c: F.struct(F.substring(c, 1, most).alias("claim"), F.lit(kind).alias("claim_type")))
 
     found = [found_by(kind, p) for kind, group in patterns.items() for p in group]
     everything = F.flatten(F.array(*found))
     kept = F.filter(everything, lambda c, k: F.array_position(F.transform(everything, lambda d: d["claim"]), c["claim"]) == k + 1)
-    whole = F.array(F.struct(F.substring(x, 1, most).alias("claim"), F.lit(general).alias("claim_type")))
-    return F.when(F.size(kept) > 0, kept).otherwise(whole)
+    start = F.array(F.struct(F.substring(x, 1, whole).alias("claim"), F.lit(general).alias("claim_type")))
+    return F.when(F.size(kept) > 0, kept).otherwise(start)
 
 
 # --- reference codes ------------------------------------------------------------------------
@@ -143,14 +144,19 @@ def codes(x: Column, pattern: str = config.STANDARD_PATTERN) -> Column:
 
 
 def known_code(x: Column, known: Mapping[str, str]) -> Column:
-    """A known spelling's code, else the normal form."""
-    return F.coalesce(text.looked_up(text.compact(F.upper(x)), dict(known)), normal_code(x))
-
-
-def mentions(x: Column, pattern: str = config.STANDARD_PATTERN) -> tuple[Column, Column]:
-    """Good mentions, distinct, and bad ones as often as they occur."""
-    mentioned = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), normal_code)
-    return F.array_distinct(F.filter(mentioned, lambda c: valid_code(c))), F.filter(mentioned, lambda c: ~valid_code(c))
+    """A known spelling's code, else upper case without blanks, with one kind of dash, and one before four
+    digits that end it. Two digits of a year stay two."""
+    c = F.regexp_replace(text.compact(F.upper(x)), "[—－]", "-")
+    plain = F.regexp_replace(c, r"^(DB\d{2})(\d)", "$1/$2")
+    plain = F.regexp_replace(plain, r"^((?:GB/T|GB|HJ/T|HJ|DB\d{2}/T|DB\d{2}/)\d{1,6})(\d{4})$", "$1-$2")
+    return F.coalesce(text.looked_up(c, dict(known)), plain)
+
+
+def mentions(x: Column, pattern: str = config.MENTION_PATTERN, known: Mapping[str, str] = config.KNOWN_CODES) -> tuple[Column, Column]:
+    """Good mentions, distinct, and bad ones (bare codes, outlets) as often as they occur."""
+    mentioned = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda c: known_code(c, known))
+    good = lambda c: valid_code(c, config.MENTION_VALID)
+    return F.array_distinct(F.filter(mentioned, good)), F.filter(mentioned, lambda c: ~good(c))
 
 
 def allowed_codes(xs: Column, prefixes: Sequence[str]) -> Column:

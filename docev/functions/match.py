@@ -92,18 +92,26 @@ def expanded(x: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.array(*groups), lambda g: g.isNotNull())))
 
 
+def claim_pieces(claim: Column, size: int = 4) -> Column:
+    """A claim's pieces of at least ``size`` characters, else its first ten characters; none of a claim
+    that is shorter itself."""
+    core = F.regexp_replace(claim, r"(?U)^\s+|\s+$", "")
+    pieces = F.filter(F.split(core, r"(?U)[\s,，。；;、]"), lambda p: F.length(p) >= size)
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(core, 1, 10)))
+    return F.when(F.length(core) >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def supported(claim: Column, text: Column, least: int = 2, share: float = 0.6, size: int = 4) -> Column:
-    """Fuzzy containment: of the claim's pieces of at least ``size`` characters (else its first ten
-    characters), enough occur in the text. With ``least`` 2 a claim of one piece is never supported;
-    1 lifts that."""
-    pieces = F.filter(F.split(claim, r"[，。；、：,.;:()（）\s]+"), lambda p: F.length(p) >= size)
-    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(claim, 1, 10)))
+    """Fuzzy containment: enough of the claim's pieces occur in the text. With ``least`` 2 a claim of one
+    piece is never supported; 1 lifts that."""
+    pieces = claim_pieces(claim, size)
     return F.size(F.filter(pieces, lambda p: F.contains(text, p))) >= F.greatest(F.lit(least), F.floor(F.size(pieces) * share).cast("int"))
 
 
 def trimmed(answer: Column, most: int = 700) -> Column:
-    """Short enough, and at most one numbered heading."""
-    return (F.length(answer) <= most) & (F.regexp_count(answer, F.lit("[一二三四五六七八九十]+、")) <= 1)
+    """Short enough, and at most one numbered heading, the answer's prefix aside."""
+    body = F.replace(answer, F.lit("批复要求："), F.lit(""))
+    return (F.length(body) <= most) & (F.regexp_count(body, F.lit("[一二三四五六七八九十]+、")) <= 1)
 
 
 def has_marker(x: Column, marker: str) -> Column:

@@ -15,13 +15,13 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-def without_details(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?s)<details>.*?</details>", "")
+def without_details(x: Column, by: str = "") -> Column:
+    return F.regexp_replace(x, r"(?s)<details>.*?</details>", by)
 
 
 def clean_text(x: Column) -> Column:
-    """Without folded details and images, white space collapsed."""
-    return collapse(F.regexp_replace(without_details(x), r"!\[[^\]]*\]\([^)]*\)", ""))
+    """Folded details and images become a blank, white space is collapsed."""
+    return collapse(F.regexp_replace(without_details(x, " "), r"!\[[^\]]*\]\([^)]+\)", " "))
 
 
 def clean_markdown(x: Column) -> Column:

@@ -109,17 +109,23 @@ def tiered(rows: DataFrame, good: Column, blockers: Sequence[str] = config.MEDIU
 
 
 def field_issues(rows: DataFrame) -> DataFrame:
-    """One row for each field that differs from what its answer gives: qa_id, element, error_field,
-    error_reason."""
-    c = F.col
-    issue = lambda name, why: F.struct(F.lit(name).alias("error_field"), F.lit(why).alias("error_reason"))
-    found_ = match.present([
-        F.when(text.after_last(c("qa_id")) != c("element"), issue("qa_id", "element_mismatch")),
-        F.when(c("task_domain") != c("element"), issue("task_domain", "element_mismatch")),
-        F.when(c("answer_terms") != canonical_terms(c("element"), c("answer")), issue("answer_terms", "not_current_answer")),
-        F.when(c("codes") != extract.element_codes(c("element"), c("answer")), issue("standards_normalized", "not_current_answer")),
-    ])
-    return rows.select("qa_id", "element", F.explode(found_).alias("i")).select("qa_id", "element", "i.*")
+    """One row for each field that differs from what its answer gives, and each term or marker that
+    belongs to another element: qa_id, element, error_field, error_reason. ``blob`` is the row's
+    searchable text."""
+    c, element = F.col, F.col("element")
+    issue = lambda name, *why: F.struct(F.lit(name).alias("error_field"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in why]).alias("error_reason"))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    own = text.after_last(c("qa_id"))
+    terms, codes = canonical_terms(element, c("answer")), extract.element_codes(element, c("answer"))
+    checks = [
+        F.when((own == "") | (own != element), issue("qa_id/element", "qa_id最后要素=", text.default(own, "空"), "，element=", element)),
+        F.when(c("task_domain") != element, issue("benchmark_metadata.task_domain", "task_domain=", c("task_domain"), "，element=", element)),
+        F.when(c("answer_terms") != terms, issue("answer_terms", "answer_terms 必须只来自当前 answer 和当前 element；actual=", listed(c("answer_terms")), "; expected=", listed(terms))),
+        F.when(c("codes") != codes, issue("standards_normalized", "standards_normalized 必须只保留当前 QA 要素相关标准；actual=", listed(c("codes")), "; expected=", listed(codes))),
+        *[F.when((element == "噪声") & F.array_contains("answer_terms", m), issue("answer_terms", f"噪声 QA answer_terms 不得出现 {m}")) for m in config.NOISE_FORBIDDEN_TERMS],
+        *[F.when((element == e) & match.has_marker(c("blob"), m), issue("cross_element_marker", f"{e} QA 不得出现 {m}")) for e, markers in config.CROSS_MARKERS.items() for m in markers],
+    ]
+    return rows.select("qa_id", "element", F.explode(match.present(checks)).alias("i")).select("qa_id", "element", "i.*")
 
 
 def sticky(rows: DataFrame, previous: DataFrame, issues: DataFrame) -> DataFrame:
@@ -158,60 +164,153 @@ def keyword_shares(terms: Sequence[str], *texts: Column) -> list[Column]:
     return [match.hit_count(t, terms) / len(terms) for t in texts]
 
 
-def alignment(codes: Column, terms: Column, answer: Column, evidence: Column) -> Column:
-    """0.4 of shared codes, 0.4 of shared terms, 0.2 for evidence of substance; unrounded."""
-    share = lambda xs: F.when(F.size(xs) > 0, F.size(F.filter(xs, lambda t: F.contains(evidence, t))) / F.size(xs)).otherwise(F.lit(0.0))
-    return share(codes) * 0.4 + share(terms) * 0.4 + F.when((F.length(evidence) > 50) & (F.length(answer) > 20), 0.2).otherwise(0.0)
+def alignment(codes: Column, answer: Column, evidence: Column) -> tuple[Column, Column]:
+    """Level and score of an answer's alignment with the texts of its evidence: 40 for its codes' first
+    eight characters, 40 for its first five terms, 20 for a text of substance; unrounded."""
+    flat, clean = F.array_join(evidence, " "), F.regexp_replace(answer, r"(?U)\s+", " ")
+    terms = F.slice(F.regexp_extract_all(clean, F.lit(config.ALIGNMENT_TERM), F.lit(0)), 1, 5)
+    share = lambda xs, n: F.size(F.filter(xs, lambda t: F.contains(flat, F.substring(t, 1, n)))) / F.greatest(F.size(xs), F.lit(1))
+    substance = F.exists(evidence, lambda t: F.length(t) > F.least(F.lit(50), F.length(clean)))
+    score = (share(codes, 8) * 0.4 + share(terms, 1 << 30) * 0.4 + F.when(substance, 0.2).otherwise(0.0)) * 100
+    none = (F.coalesce(F.size(evidence), F.lit(0)) <= 0) | (text.default(answer) == "")
+    level = F.when(none, "no_evidence").when(score >= 60, "high").when(score >= 30, "medium").otherwise("low")
+    return level, F.when(none, F.lit(0.0)).otherwise(score)
+
+
+def keyword_alignment(terms: Sequence[str], answer: Column, report: Column, approval: Column) -> tuple[Column, Column]:
+    """Level and score by the shares of an element's words that answer and evidence hold; unrounded."""
+    a, e, p = keyword_shares(terms, answer, report, approval)
+    high, medium = (a >= 0.3) & (e >= 0.2) & (p >= 0.2), (a >= 0.2) & (p >= 0.15)
+    level = F.when(high, "high").when(medium, "medium").when(a >= 0.1, "low").otherwise("none")
+    return level, F.when(high, (a + e + p) / 3 * 100).when(medium, (a + p) / 2 * 100).when(a >= 0.1, a * 100).otherwise(0.0)
+
+
+def match_issues(company: Column, approval_file: Column, file_exists: Column) -> Column:
+    """Issues of a row's link to its approval file."""
+    name, file = F.substring(text.cjk_only(text.default(company)), 1, 4), text.default(approval_file)
+    return match.reasons([
+        ((file != "") & ~F.coalesce(file_exists, F.lit(False)), "approval_file_missing"), (file == "", "no_approval_file"),
+        ((name != "") & (file != "") & ~F.contains(file, name), "company_approval_mismatch"),
+    ])
 
 
-def chain(claims: DataFrame, rows: DataFrame, placeholders: Sequence[str] = ("暂无", "未知", "待补充", "N/A")) -> DataFrame:
-    """Status and score of rows by their claims' support (claims: qa_id, support in direct, indirect,
-    unsupported, contradicted; rows: qa_id, answer, is_historical, has_report, has_approval)."""
+def rescored(rows: DataFrame) -> DataFrame:
+    """Score, issues and grade of rows with match_issues, n_approval and n_report (pieces of evidence),
+    alignment_level, n_standards, task_domain, answer, question, original_question and
+    question_rewritten."""
+    c, known = F.col, lambda x: F.coalesce(x, F.lit(False))
+    mismatch, none, low = F.size("match_issues") > 0, known(c("alignment_level") == "none"), known(c("alignment_level") == "low")
+    short = F.length(text.cjk_only(text.default(c("answer")))) < 15
+    asked = known(~c("question_rewritten")) & ~c("original_question").eqNullSafe(c("question"))
+    unapproved, domain = c("n_approval") == 0, text.default(c("task_domain")) == ""
+    found = match.reasons([
+        (mismatch, "pair_mismatch"), (c("n_report") == 0, "no_report_evidence"), (none, "evidence_alignment_none"), (low, "evidence_alignment_low"), (c("n_standards") == 0, "no_standards"),
+        (domain, "no_benchmark_metadata"), (short, "answer_too_short"), (asked, "question_element_mismatch"),
+    ])
+    score = deducted([(mismatch, 50), (c("n_report") == 0, 40), (none, 40), (low, 30), (c("n_standards") == 0, 20), (domain, 20), (short, 30), (asked, 30)], zero=unapproved)
+    out = rows.withColumn("corrected_quality_issues", F.when(unapproved, F.array(F.lit("rejected_no_approval"))).otherwise(found)).withColumn("corrected_quality_score", score)
+    good = (score >= 85) & ~mismatch & c("alignment_level").isin("high", "medium") & (c("n_standards") > 0)
+    return out.withColumn("corrected_validation", F.when(known(good), "verified").when((score < 60) | unapproved, "rejected").otherwise("needs_human_review"))
+
+
+def ten_points(rows: DataFrame) -> DataFrame:
+    """Issue codes c1 to c10 and the codes that stay, of rows with company, approval_file,
+    approval_source, question, original_question, answer, approval_texts, report_texts, codes,
+    alignment_level, score and quality_issues."""
+    c, some = F.col, lambda x: text.default(x)
+    name = F.substring(text.cjk_only(some(c("company"))), 1, 6)
+    file, source = some(c("approval_file")), some(c("approval_source"))
+    in_file, in_source = (name != "") & F.contains(file, name), (name != "") & F.contains(source, name)
+    start = lambda x: F.substring(text.cjk_only(x), 1, 6)
+    asked = F.regexp_extract_all(F.coalesce(F.nullif(c("original_question"), F.lit("")), some(c("question"))), F.lit(config.QUESTION_COMPANY), F.lit(0))
+    other = F.exists(asked, lambda x: (start(x) != name) & (F.length(start(x)) >= 4))
+    flagged = F.exists("quality_issues", lambda x: F.contains(F.lower(x), F.lit("company")) | F.contains(F.lower(x), F.lit("mismatch")))
+    answer, approval, report = some(c("answer")), F.array_join("approval_texts", " "), F.array_join("report_texts", " ")
+    first = lambda p: F.slice(F.regexp_extract_all(answer, F.lit(p), F.lit(0)), 1, 3)
+    terms, high = F.concat(first(config.ANSWER_CODE), first(config.ANSWER_TERM)), F.coalesce(c("alignment_level") == "high", F.lit(False))
+    held = lambda x: F.exists(terms, lambda t: F.contains(x, t))
+    sound = F.filter(F.transform("codes", lambda s: F.trim(s)), lambda s: (F.length(s) >= 5) & ~s.isin(*config.CHECK_GARBAGE))
+    backed = lambda s: F.contains(answer, s) | F.contains(approval, F.substring(s, 1, 10)) | F.contains(report, F.substring(s, 1, 10))
+    found = F.concat(match.reasons([
+        (~(in_file | in_source), "c1_company_not_in_approval_source"), (in_file & in_source & (start(file) != "") & (start(source) != "") & (start(file) != start(source)), "c2_approval_source_mismatch"),
+        (other, "c3_question_company_mismatch"), (flagged, "c4_company_mismatch_flagged"), (high & ~held(approval), "c5_high_ae_no_key_terms"), (high & ~held(report), "c5_high_ev_no_key_terms"),
+        (extract.routes_differ(answer, report), "c6_discharge_mismatch"),
+    ]), F.transform(F.filter(sound, lambda s: ~backed(s)), lambda s: F.concat(F.lit("c7_std_not_in_answer_"), F.substring(s, 1, 15))))
+    found = F.when((c("score") == 100) & (F.size(found) > 0), F.concat(found, F.array(F.lit("c10_score_100_with_issues")))).otherwise(found)
+    out = rows.withColumn("check_issues", found).withColumn("codes", F.filter(sound, backed))
+    return out.withColumn("check_result", F.when(F.size("check_issues") > 0, "demoted").otherwise("verified"))
+
+
+def chain(claims: DataFrame, rows: DataFrame, empty: Sequence[str] = config.EMPTY_ANSWERS) -> DataFrame:
+    """Status, score and trace of rows by their claims' support (claims: qa_id, support in direct,
+    indirect, unsupported, contradicted; rows: qa_id, answer, is_historical, has_report, has_approval).
+    A claim that nothing supports leaves one source missing."""
     n = lambda kind: F.count_if(F.col("support") == kind)
     sums = claims.groupBy("qa_id").agg(F.count("*").alias("n_claims"), n("direct").alias("direct"), n("indirect").alias("indirect"), n("unsupported").alias("unsupported"), n("contradicted").alias("contradicted"))
-    c, zero = F.col, F.lit(0)
+    c = F.col
     out = rows.join(sums, "qa_id", "left").fillna(0, ["n_claims", "direct", "indirect", "unsupported", "contradicted"])
-    empty = (F.trim(F.coalesce("answer", F.lit(""))) == "") | match.contains_any(c("answer"), placeholders)
-    good, all_ = c("direct") + c("indirect"), F.greatest(c("n_claims"), F.lit(1))
+    answer = F.coalesce("answer", F.lit(""))
+    placeholder = answer.isin(*empty) | F.contains(answer, F.lit("[PLACEHOLDER]")) | answer.rlike(r"(?U)^\s*\{")
+    supported, total = c("direct") + c("indirect"), F.greatest(c("n_claims"), F.lit(1))
     status = (
-        F.when(empty | (c("contradicted") > 0), "rejected").when(c("is_historical"), "reference_case").when(~c("has_report") | ~c("has_approval"), "review")
-        .when(c("unsupported") * 10 > all_ * 3, "rejected").when(c("unsupported") > 0, "review").when(good * 10 >= all_ * 8, "gold").otherwise("review")
+        F.when(placeholder | (c("contradicted") > 0), "rejected").when(c("is_historical"), "reference_case").when(~c("has_report") | ~c("has_approval"), "need_human_review")
+        .when(c("unsupported") > total * F.lit(0.3), "rejected").when(c("unsupported") > 0, "need_human_review").when(supported >= total * F.lit(0.8), "gold_verified").otherwise("need_human_review")
     )
-    score = F.floor(c("direct") * 60 / all_) + F.floor(c("indirect") * 20 / all_) + F.when(status == "gold", 20).otherwise(0)
-    score = score - F.when(~c("has_report"), 5).otherwise(0) - F.when(~c("has_approval"), 5).otherwise(0)
-    score = F.when(status == "rejected", F.least(score, F.lit(40))).when(status == "gold", F.greatest(score, F.lit(80))).otherwise(score)
-    trace = F.when(c("unsupported") + c("contradicted") == 0, "complete").when(good > 0, "partial").otherwise("failed")
-    return out.withColumn("status", status).withColumn("evidence_score", F.greatest(zero, score)).withColumn("trace", trace)
+    missing = (c("unsupported") > 0).cast("int")
+    score = F.floor(c("direct") / total * 60) + F.floor(c("indirect") / total * 20)
+    score = F.when(status == "rejected", F.least(score, F.lit(30))).when(status == "reference_case", F.least(score, F.lit(50))).when(status == "need_human_review", F.least(score, F.lit(75))).otherwise(F.greatest(score, F.lit(80)))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), score - missing * 5))
+    trace = F.when((c("unsupported") + c("contradicted") + missing) == 0, "complete").when(c("unsupported") <= c("n_claims") * F.lit(0.3), "partial").otherwise("failed")
+    return out.withColumn("status", status).withColumn("evidence_score", score).withColumn("trace", trace)
 
 
 def traced(claims: DataFrame, lines: DataFrame, priority: Mapping[str, int], guarded: Sequence[str] = ("report", "approval"), least: int = 2) -> DataFrame:
     """Each claim with the first line that supports it, by source priority, file and line. A piece that a
     line holds begins with one of the line's runs of four characters, so claims meet lines by those; the
-    full test follows. Claims under four characters can only be supported with ``least`` 1, and then
-    meet all lines."""
-    piece = lambda x: F.filter(F.split(x, r"[，。；、：,.;:()（）\s]+"), lambda p: F.length(p) >= 4)
-    pieces = F.when(F.size(piece(F.col("claim"))) > 0, piece(F.col("claim"))).otherwise(F.array(F.substring("claim", 1, 10)))
+    full test follows. A line of another project doesn't support a claim, a line of no project may; a
+    line of a historical case supports it indirectly. Claims under four characters are never supported."""
+    pieces = match.claim_pieces(F.col("claim"))
     asked = claims.withColumn("run", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.substring(p, 1, 4)))))
     held = lines.withColumn("order", text.looked_up(F.col("source_type"), {k: str(v) for k, v in priority.items()}).cast("int"))
     held = held.select("order", "source_type", "source_file", F.col("project_id").alias("line_project"), "line_start", F.col("text").alias("quote"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("quote") - 3, F.lit(1))), lambda i: F.substring("quote", i, 4)))
     pairs = asked.join(held.withColumn("run", F.explode(runs)), "run").drop("run").distinct()
-    if least <= 1:
-        pairs = pairs.unionByName(asked.where("length(run) < 4").drop("run").crossJoin(held))
-    own = ~F.col("source_type").isin(*guarded) | F.col("project_id").eqNullSafe(F.col("line_project"))
+    mine, theirs = text.default(F.col("project_id")), text.default(F.col("line_project"))
+    own = ~F.col("source_type").isin(*guarded) | (mine == "") | (theirs == "") | F.contains(mine, theirs) | F.contains(theirs, mine)
     good = pairs.where(own & match.supported(F.col("claim"), F.col("quote"), least))
     first = good.groupBy("qa_id", "claim").agg(F.min_by(F.struct("source_type", "source_file", "line_start", "quote"), F.struct("order", "source_file", "line_start")).alias("s"))
-    return claims.join(first, ["qa_id", "claim"], "left").withColumn("support", F.when(F.col("s").isNotNull(), "direct").otherwise("unsupported")).select(*claims.columns, "support", "s.*")
-
-
-def rule_review(has_trigger: Column, n_projects: Column, n_codes: Column, has_answer: Column, base: int = 50) -> Column:
-    """Six sub-scores from a base; with the base of 50 only one can pass 50, so A and B are out of
-    reach unless the base is raised."""
-    parts = [F.when(has_trigger, base).otherwise(base - 20), F.when(n_projects >= 3, 100).otherwise(F.lit(base)), F.when(n_codes > 0, base).otherwise(base - 20), F.when(has_answer, base).otherwise(base - 20), F.lit(base), F.lit(base)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total / 6
+    return claims.join(first, ["qa_id", "claim"], "left").withColumn("support", F.when(F.col("s.source_type") == "historical_case", "indirect").when(F.col("s").isNotNull(), "direct").otherwise("unsupported")).select(*claims.columns, "support", "s.*")
+
+
+def rule_review(rules: DataFrame) -> DataFrame:
+    """Rules (support_count, common_standards, trigger_condition, review_checkpoints, n_a, element,
+    expected_report_content, rule_status) with review_score, the mean of six sub-scores, review_issues,
+    recommended_level and decision: keep, downgrade or invalid."""
+    c, n, none = F.col, F.coalesce("support_count", F.lit(0)), F.array().cast("array<string>")
+    texts = lambda name: F.coalesce(name, none)
+    codes = F.filter(texts("common_standards"), lambda s: text.default(s) != "")
+    garbage = F.filter(codes, lambda s: s.isin(*config.GARBAGE_CODES) | (F.length(s) < 4))
+    valid = F.filter(codes, lambda s: s.rlike(r"(?U)^[A-Z]{1,3}[\d/-]+") & ~s.isin(*config.OUTLET_CODES) & (F.length(s) > 4))
+    triggers, points, content = texts("trigger_condition"), texts("review_checkpoints"), texts("expected_report_content")
+    vague_trigger = F.exists(triggers, lambda t: F.contains(t, F.lit("属于")) & (F.length(t) < 20)) & (F.size(triggers) <= 1)
+    vague_points = (F.size(points) > 0) & F.forall(points, lambda p: F.contains(p, F.lit("是否")) & (F.length(p) < 15))
+    wrong = (c("element") == "噪声") & F.exists(F.slice(valid, 1, 5), lambda s: match.contains_any(s, ["DB44", "GB31572", "GB16297"]))
+    vague_content = (F.size(content) == 0) | ((F.size(content) == 1) & F.contains(F.get(content, F.lit(0)), F.lit("相关环保措施")))
+    alone = (c("rule_status") == "case_observation") & (n < 3)
+    checks = [
+        (n < 2, 0, F.concat(F.lit("support_count_too_low_"), n.cast("string"))), (F.size(garbage) > 0, 30, F.concat(F.lit("garbage_standards_"), F.array_join(F.slice(garbage, 1, 3), ","))),
+        (F.size(valid) == 0, 20, "no_valid_standards"), (vague_trigger, 20, "trigger_too_generic"), (F.size(points) == 0, 30, "no_checkpoints"), (vague_points, 15, "checkpoints_too_generic"),
+        (F.coalesce("n_a", F.lit(0)) < 3, 30, F.concat(F.lit("insufficient_A_samples_"), F.coalesce("n_a", F.lit(0)).cast("string"))), (wrong, 20, "noise_rule_has_wrong_standards"),
+        (vague_content, 20, "expected_content_too_generic"), (alone, 40, "case_observation_passed_as_A"),
+    ]
+    checks = [(F.coalesce(check, F.lit(False)), points_, code) for check, points_, code in checks]
+    total = F.lit(250) + F.when(n >= 10, 100).when(n >= 5, 85).when(n >= 3, 70).when(n >= 2, 50).otherwise(20)
+    for check, lost, _ in checks:
+        total = total - F.when(check, lost).otherwise(0)
+    score = total / 6
+    level = F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 50, "C").otherwise("invalid")
+    out = rules.withColumn("review_score", score).withColumn("review_issues", match.reasons([(check, code) for check, _, code in checks])).withColumn("recommended_level", level)
+    return out.withColumn("decision", F.when(level == "A", "keep").when(level == "invalid", "invalid").otherwise("downgrade"))
 
 
 def pair_integrity(pairs: DataFrame, needed: Sequence[str] = ("report", "approval", "pair_metadata")) -> DataFrame:
@@ -235,14 +334,16 @@ def self_evidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("terms_found", F.exists("terms", lambda t: F.contains(F.col("approval"), t)))
 
 
-def heuristics(question: Column, answer: Column, n_codes: Column, n_evidence: Column, validation: Column) -> dict[str, Column]:
+def heuristics(question: Column, answer: Column, codes: Column, evidence: Column, validation: Column) -> dict[str, Column]:
     """Five scores of a row, each a base and what is added up to 100, and their mean."""
     q, a = (lambda t: F.contains(question, F.lit(t))), (lambda t: F.contains(answer, F.lit(t)))
-    coded = n_codes > 0
+    coded = F.size(codes) > 0
+    n_evidence = F.size(F.filter(evidence, lambda x: (F.length(x) > 20) & ~F.contains(x, F.lit("td>"))))
+    formed = F.exists(codes, lambda s: s.rlike(r"(?U)^[A-Z]{2}\d+"))
     scores = {
         "grounding": added([(F.length(answer) > 50, 15), (coded, 20), (n_evidence > 0, 25), ((n_evidence > 0) & coded, 10)], 30),
         "specificity": added([(q("标准"), 10), (q("多少") | q("类别") | q("类标准"), 10), (q("排放") | q("去向") | q("限值"), 10), (F.length(question) > 30, 10), (a("标准"), 10), (answer.rlike(r"(?U)[GBDB]\w+"), 20)], 30),
-        "professional": added([(coded, 40), (a("执行"), 10), (a("排放"), 10), (a("标准"), 10)], 30),
+        "professional": added([(coded, 25), (formed, 15), (a("执行"), 10), (a("排放"), 10), (a("标准"), 10)], 30),
         "generalization": F.when(validation == "已验证", 90).when(F.contains(validation, F.lit("参考")), 60).otherwise(50),
         "usefulness": added([*[(q(t), 7) for t in ("标准", "排放", "限值", "处理", "措施", "总量", "识别", "因子", "监测", "验收")], (coded, 15), (F.length(answer) > 100, 10)], 30),
     }

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .. import config
 from ..functions import match
 from . import aggregate
 
-DIMENSIONS = ("factual_accuracy", "evidence_grounding", "standard_application", "reasoning", "completeness", "professional_expression", "hallucination_control", "practicality")
+DIMENSIONS = tuple(config.JUDGE_DIMENSIONS)
 
 
-def mocked(samples: DataFrame, table: Mapping[tuple[str, str], Sequence[int]], default: Sequence[int], dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """Scores by (task_level, difficulty): overall and one a dimension, with strengths (from 80),
-    weaknesses (under 60) and whether people must look."""
+def mocked(samples: DataFrame, table: Mapping[tuple[str, str], Sequence[int]] = config.JUDGE_SCORES, default: Sequence[int] = config.JUDGE_SCORES["L1_信息抽取", "medium"], dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """Scores by (task_level, difficulty): overall and one a dimension, and what ``reviewed`` adds."""
     spark = samples.sparkSession
     names = ["overall_score", *dimensions]
     schema = "task_level string, difficulty string, " + ", ".join(f"{n} int" for n in names)
@@ -25,15 +25,18 @@ def mocked(samples: DataFrame, table: Mapping[tuple[str, str], Sequence[int]], d
     out = samples.join(F.broadcast(scores), ["task_level", "difficulty"], "left")
     for n, v in zip(names, default, strict=True):
         out = out.withColumn(n, F.coalesce(n, F.lit(v)))
-    return reviewed(out, dimensions)
+    return reviewed(out)
 
 
-def reviewed(scored: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """Strengths, weaknesses, need_human_review and its priority from scores."""
-    out = scored.withColumn("strengths", match.reasons([(F.col(d) >= 80, d) for d in dimensions])).withColumn("weaknesses", match.reasons([(F.col(d) < 60, d) for d in dimensions]))
-    need = (F.col("overall_score") < 50) | (F.col("hallucination_control") < 50) | (F.col("standard_application") < 40)
-    out = out.withColumn("need_human_review", need)
-    return out.withColumn("review_priority", F.when(F.col("overall_score") < 40, "high").when(need, "medium").otherwise("low"))
+def reviewed(scored: DataFrame) -> DataFrame:
+    """Strengths, weaknesses, what lacks evidence, final_judgment, need_human_review and its priority."""
+    c = F.col
+    out = scored.withColumn("strengths", match.reasons([(c(d) >= n, told) for d, n, told in config.JUDGE_STRENGTHS]))
+    out = out.withColumn("weaknesses", match.reasons([(c(d) < n, told) for d, n, told in config.JUDGE_WEAKNESSES]))
+    out = out.withColumn("missing_evidence", c("evidence_grounding") < 85).withColumn("unsupported_claims", c("hallucination_control") < 85)
+    out = out.withColumn("final_judgment", label(c("overall_score")))
+    out = out.withColumn("need_human_review", (c("overall_score") < 50) | (c("hallucination_control") < 50) | (c("standard_accuracy") < 40))
+    return out.withColumn("review_priority", F.when(c("overall_score") < 50, "高").when(c("overall_score") < 70, "中").otherwise("低"))
 
 
 def evaluated(samples: DataFrame, answer: Callable[[list[str]], list[str | None]] | None, prompt: str, schema: str, fallback: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -53,7 +56,7 @@ def evaluated(samples: DataFrame, answer: Callable[[list[str]], list[str | None]
 
 
 def label(score: Column) -> Column:
-    return match.banded(score, [(90, "excellent"), (75, "good"), (60, "fair"), (40, "weak")], "poor")
+    return match.banded(score, config.JUDGE_BANDS, config.JUDGE_LOWEST)
 
 
 def summarised(results: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> tuple[DataFrame, DataFrame]:

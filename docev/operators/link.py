@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,23 +113,32 @@ def best_right(pairs: DataFrame, left: Sequence[str], score: Column, tie: Column
     return best.select(*left, "b.*", "best_score")
 
 
-def one_sided(pairs: DataFrame, left: str, right: str, left_order: str, right_order: str, score: str, block: str) -> DataFrame:
-    """Left rows in order each take the best right row still free in their block (the first of equals).
-    The fold is sequential by its meaning and runs per block; a block should be a town or a name's
-    start, never a constant."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used, kept = set(), []
-        for _, group in rows.sort_values([left_order, right_order]).groupby(left_order, sort=True):
-            free = group[~group[right].isin(used)]
-            if len(free):
-                best = free.loc[free[score].idxmax()]
-                used.add(best[right])
-                kept.append(best)
-        return pd.DataFrame(kept, columns=rows.columns)
-
-    return pairs.groupBy(block).applyInPandas(fold, pairs.schema)
+def one_sided(edges: DataFrame, left: str, right: str, left_order: str, right_order: str, score: str, company: str,
+              least: float = 30, clean: float = 90, review: float = 80) -> DataFrame:
+    """Left rows in order each take the best right row still free among their edges (the first of equals
+    by ``right_order``; keys of left rows and orders are one to one). A pair is clean from ``clean`` of the
+    company's or the whole score, and consumes its right row; from ``review`` it is kept for review and
+    leaves the right row free; below, the left row has none.
+
+    The fold is done in rounds. A left row is settled once no earlier open row could still consume its
+    choice, so that the order's result is kept; the earliest open row is always settled, and as many
+    rounds are needed as the longest chain of rows that wait for one another."""
+    c, took = F.col, (F.col(company) >= clean) | (F.col(score) >= clean)
+    open_ = edges.where((c(company) >= least) & (c(score) > 0)).withColumn("__clean", took)
+    open_ = session.checkpointed(open_)
+    pairs = []
+    while not open_.isEmpty():
+        columns = [F.col(x) for x in open_.columns]
+        best = open_.groupBy(left).agg(F.max_by(F.struct(*columns), F.struct(c(score), -c(right_order))).alias("b")).select("b.*")
+        threat = open_.where("__clean").groupBy(right).agg(F.min(left_order).alias("__first"))
+        settled = best.join(threat, right, "left").where(c("__first").isNull() | (c("__first") >= c(left_order))).drop("__first")
+        settled = session.checkpointed(settled)
+        pairs.append(settled.where(c("__clean") | (c(score) >= review)))
+        consumed = settled.where("__clean").select(right, c(left_order).alias("__taken"))
+        open_ = open_.join(settled.select(left), left, "left_anti").join(consumed, right, "left")
+        open_ = session.checkpointed(open_.where("__taken is null or __taken > " + f"`{left_order}`").drop("__taken"))  # earlier rows still see it
+    found = reduce(DataFrame.unionByName, pairs) if pairs else open_
+    return found.withColumn("pair_status", F.when(c("__clean"), "clean").otherwise("needs_review")).drop("__clean").select(*edges.columns, "pair_status")
 
 
 def by_certainty(left: DataFrame, right: DataFrame, ways: Sequence[tuple[Column, Column, float]], left_key: str, order: str, loose: Column | None = None) -> DataFrame:

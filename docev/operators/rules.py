@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import text
 from . import aggregate
 
@@ -20,13 +21,21 @@ def induced(rows: DataFrame, keys: Sequence[str] = KEYS, strong: int = 3, common
     base = rows.groupBy(*keys).agg(F.count_distinct("pair_id").alias("support_count"), F.count("*").alias("n_rows"))
     codes = aggregate.first_list(rows.select(*keys, F.explode("codes").alias("code")).distinct(), keys, F.col("code"), 12, F.col("code")).withColumnRenamed("values", "common_standards")
     answers = aggregate.first_list(rows, keys, F.substring("answer", 1, 260), 5, F.col("qa_id")).withColumnRenamed("values", "common_requirements")
+    pairs = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("pair_id")).alias("source_pair_ids"))
     ids = aggregate.first_list(rows, keys, F.col("qa_id"), 20, F.col("qa_id")).withColumnRenamed("values", "source_qa_ids")
     out = base
-    for part in (codes, answers, ids):
+    for part in (codes, answers, ids, pairs):
         out = out.join(part, list(keys), "left")
     n = F.col("support_count")
     out = out.withColumn("evidence_level", level(n, strong, common))
     out = out.withColumn("confidence", F.when(F.col("evidence_level") == "A", F.least(F.lit(1.0), n / 3)).otherwise(F.least(F.lit(0.7), n / 3)))
+    element, a, none = F.col("element"), F.col("evidence_level") == "A", F.array().cast("array<string>")
+    told = lambda *xs: F.array(*[F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x]) for x in xs])
+    out = out.withColumn("rule_status", text.looked_up(F.col("evidence_level"), {"A": "verified", "B": "candidate", "C": "observation"}))
+    out = out.withColumn("trigger_condition", told(("项目属于 ", F.col("industry_code"), " 行业"), ("项目涉及", element, "审查事项")))
+    out = out.withColumn("review_checkpoints", told(("是否识别并说明", element, "相关污染源或管理要求"), ("是否引用与该要素对应的有效标准",), ("报告内容是否能支撑批复中的审批要求",)))
+    out = out.withColumn("expected_report_content", told((element, "来源或管理对象"), ("治理/处置/管理措施",), ("执行标准",), ("排放去向或管理要求",)))
+    out = out.withColumn("limitations", F.when(a, none).otherwise(told(("样本数不足，需人工复核后再作为稳定规则使用",)))).withColumn("need_human_review", ~a)
     return out.withColumn("rule_id", text.numbered(pattern, [F.col(k) for k in keys]))
 
 
@@ -43,17 +52,53 @@ def graded(rows: DataFrame, keys: Sequence[str], a: int = 3, b: int = 2) -> Data
     return out.withColumn("status", F.when((F.col("projects") >= 5) & trusted, "strong").when(F.col("projects") >= 3, "common").when(F.col("projects") >= 2, "candidate").otherwise("single"))
 
 
-def merged(candidates: DataFrame, keys: Sequence[str] = ("industry_code", "element")) -> DataFrame:
-    """Candidate rules of one row each, merged: different projects, standards and pairs."""
-    out = candidates.groupBy(*keys).agg(F.count_distinct("project_id").alias("n_projects"), F.array_sort(F.collect_set("standard")).alias("standards"), F.min_by("trigger", "qa_id").alias("trigger"))
-    return out.withColumn("strength", F.when(F.col("n_projects") >= 5, "strong").when(F.col("n_projects") >= 3, "common").otherwise("weak"))
+def merged(candidates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Candidate rules of one row each (project_id, standard, requirement, trigger, checkpoints, qa_id),
+    merged by the three keys: different projects, standards and requirements; the first row's trigger
+    and checkpoints."""
+    first = lambda x: F.min_by(x, "qa_id").alias(x)
+    out = candidates.groupBy(*keys).agg(
+        F.count_distinct("project_id").alias("support_count"), F.array_sort(F.collect_set("standard")).alias("common_standards"),
+        F.array_sort(F.collect_set("requirement")).alias("common_approval_requirement"), first("trigger"), first("checkpoints"),
+    )
+    n = F.col("support_count")
+    code = F.when(F.coalesce("industry_code", F.lit("")) == "", "X").otherwise(F.col("industry_code"))
+    out = out.withColumn("rule_id", F.format_string("RULE_%s_%s_%s_AGG", code, F.upper("element"), F.col("project_type")))
+    out = out.withColumn("rule_status", F.when(n >= 5, "strong").when(n >= 3, "common").otherwise("candidate")).withColumn("confidence", F.least(F.lit(1.0), n / 5))
+    return out.withColumn("limitations", F.when(n < 5, F.array(F.lit("样本有限，需更多项目验证"))).otherwise(F.array().cast("array<string>")))
 
 
-def experience(rules: DataFrame, industries: Sequence[str] | None = None) -> DataFrame:
-    """Rules as experience pairs with a ladder of automation."""
+def experience(rules: DataFrame, industries: Sequence[str] | None = None, features: Mapping[str, Sequence[str]] = config.EXPERIENCE_FEATURES) -> DataFrame:
+    """Rules as experience pairs with a ladder of automation, the element's features and the kinds of
+    source that a level rests on."""
     rows = rules if industries is None else rules.where(F.col("industry_code").isin(*industries))
-    ladder = F.when((F.col("evidence_level") == "A") & (F.col("confidence") >= 0.8), "auto").when(F.col("evidence_level").isin("A", "B"), "strong").otherwise("human")
-    return rows.withColumn("automation_level", ladder).withColumn("experience_id", F.concat(F.lit("EXP_"), "rule_id"))
+    ladder = F.when((F.col("evidence_level") == "A") & (F.col("confidence") >= 0.8), "auto_rule").when(F.col("evidence_level").isin("A", "B"), "strong_hint").otherwise("human_attention")
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs])
+    own = F.when(F.lit(False), texts(["x"]))
+    for element, terms in features.items():
+        own = own.when(F.col("element") == element, texts(terms))
+    kinds = F.when(F.col("evidence_level") == "A", texts(config.EVIDENCE_SOURCES["A"])).when(F.col("evidence_level") == "B", texts(config.EVIDENCE_SOURCES["B"])).otherwise(texts(config.EVIDENCE_SOURCES["C"]))
+    own = F.array_sort(F.array_distinct(F.concat(F.array("industry_code"), F.coalesce(own, F.array().cast("array<string>")))))
+    return rows.withColumn("automation_level", ladder).withColumn("experience_id", F.concat(F.lit("EXP_"), "rule_id")).withColumn("project_features", own).withColumn("evidence_source_type", kinds)
+
+
+def behavior(rows: DataFrame) -> DataFrame:
+    """Question rows (industry_code, element, standards, answer) with a behaviour rule: its trigger,
+    checkpoints, expected content, the answer's start and the first standards."""
+    element, texts = F.col("element"), lambda xs: F.array(*[F.lit(x) for x in xs])
+
+    def by_element(table: Mapping[str, Sequence[str]], otherwise: Sequence[str]) -> Column:
+        found = F.when(F.lit(False), texts(otherwise))
+        for name, xs in table.items():
+            found = found.when(element == name, texts(xs))
+        return found.otherwise(texts(otherwise))
+
+    general = F.concat(F.lit("项目属于"), text.default(F.col("industry_code"), "?"), F.lit("行业"))
+    return rows.withColumn("behavior_rule", F.struct(
+        F.coalesce(text.looked_up(element, config.BEHAVIOR_TRIGGERS), general).alias("trigger_condition"),
+        by_element(config.BEHAVIOR_CHECKPOINTS, ["是否满足相关环保要求"]).alias("review_checkpoints"), by_element(config.BEHAVIOR_CONTENT, ["相关环保措施"]).alias("expected_report_content"),
+        text.default(F.substring("answer", 1, 150)).alias("common_approval_requirement"), F.slice(F.coalesce("standards", F.array().cast("array<string>")), 1, 5).alias("common_standards"),
+    ))
 
 
 def gated(rules: DataFrame) -> DataFrame:
@@ -62,13 +107,35 @@ def gated(rules: DataFrame) -> DataFrame:
 
 
 def triples(rules: DataFrame, standards: int = 5, most: int | None = None) -> DataFrame:
-    """head, relation, tail: industry to rule, rule to element, rule to its first standards."""
+    """head, relation, tail, evidence (the rule's pairs) and source_type: industry to rule, rule to
+    element, rule to its first standards."""
     rows = rules if most is None else rules.orderBy("rule_id").limit(most)
-    edge = lambda frame, head, relation, tail: frame.select(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), F.col("evidence_level").alias("evidence"))
-    cited = rows.select("rule_id", "evidence_level", F.explode(F.slice(F.coalesce("common_standards", F.array().cast("array<string>")), 1, standards)).alias("code"))
+    rows = rows.withColumn("evidence", F.array_join(F.col("source_pair_ids").cast("array<string>"), ","))
+    edge = lambda frame, head, relation, tail: frame.select(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), "evidence", F.lit("rule").alias("source_type"))
+    cited = rows.select("rule_id", "evidence", F.explode(F.slice(F.coalesce("common_standards", F.array().cast("array<string>")), 1, standards)).alias("code"))
     return edge(rows, "industry_code", "HAS_STRICT_RULE", "rule_id").union(edge(rows, "rule_id", "CHECKS_ELEMENT", "element")).union(edge(cited, "rule_id", "USES_STANDARD", "code"))
 
 
+def library_triples(rules: DataFrame, most: int = 100, valid: str = config.STANDARD_VALID) -> DataFrame:
+    """head, relation, tail of the first rules: industry to rule, rule to element, to its first three
+    projects and to the valid ones of its first three standards."""
+    rows = rules.orderBy("rule_id").limit(most)
+    edge = lambda frame, head, relation, tail: frame.select(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"))
+    each = lambda array: rows.select("rule_id", F.explode(F.slice(array, 1, 3)).alias("t"))
+    out = edge(rows, "industry_code", "HAS_RULE", "rule_id").union(edge(rows, "rule_id", "CHECKS", "element"))
+    return out.union(edge(each("source_project_ids"), "rule_id", "SUPPORTED_BY", "t")).union(edge(each("common_standards").where(F.col("t").rlike(valid)), "rule_id", "USES_STANDARD", "t"))
+
+
+def aggregated_triples(merged: DataFrame) -> DataFrame:
+    """head, relation, tail, industry, evidence and source_type of merged rules: industry to element,
+    element to its first three standards, and the first two checkpoints."""
+    rows = merged.withColumn("industry", F.when(F.coalesce("industry_code", F.lit("")) == "", "?").otherwise(F.col("industry_code")))
+    edge = lambda frame, head, relation, tail: frame.select(head.alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), "industry", F.lit("aggregated rule").alias("evidence"), F.lit("rule").alias("source_type"))
+    each = lambda array, n: rows.select("industry", "element", F.explode(F.slice(array, 1, n)).alias("t"))
+    out = edge(rows, F.col("industry"), "涉及要素", "element").union(edge(each("common_standards", 3), F.col("element"), "执行标准", "t"))
+    return out.union(edge(each("checkpoints", 2), F.lit("审核检查点"), "针对要素", "t"))
+
+
 def nodes(edges: DataFrame, labels: dict[str, tuple[str, str]]) -> DataFrame:
     """label and id of every end, once; labels: relation to its ends' labels."""
     head = text.looked_up(F.col("relation"), {r: a for r, (a, _) in labels.items()})

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import match, text
 
 
@@ -30,11 +31,15 @@ def clause_array(x: Column, least: int = 25, few: int = 3) -> Column:
     return F.when(F.size(parts) < few, sentence_array(x)).otherwise(parts)
 
 
-def section_clauses(x: Column, block: int | None = 3, after: str = "三、", least: int = 20, most: int = 300) -> Column:
-    """Items of one section: the block of that number between headings, or what follows a heading."""
-    body = F.coalesce(F.get(F.split(x, r"[一二三四五六七八九十]+、"), F.lit(block)), F.lit("")) if block is not None else F.regexp_extract(x, rf"(?s){after}(.*)", 1)
-    items = F.transform(F.split(body, r"（[一二三四五六七八九十]+）|\n\d+[.、]"), lambda s: F.trim(s))
-    return F.transform(F.filter(items, lambda p: F.length(p) >= least), lambda p: F.substring(p, 1, most))
+def section_clauses(x: Column, elements: Mapping[str, Sequence[str]] = config.CLAUSE_ELEMENTS, section: int = 3, least: int = 20, most: int = 300, otherwise: str = "其他") -> Column:
+    """Numbered items of the section that begins at the third heading of a line: array of structs
+    (element, text, standards); none where a text has fewer headings. Standards lose their dashes and
+    are sorted."""
+    parts = F.split(x, "\n[一二三四五六七八九十][、．.]")
+    items = F.split(F.coalesce(F.get(parts, F.lit(section)), F.lit("")), r"(?U)(?=\d+\s*[.．、])")
+    items = F.filter(F.transform(items, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: F.length(p) >= least)
+    codes = lambda p: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(p, F.lit(config.CLAUSE_CODE), F.lit(0)), lambda c: F.replace(c, F.lit("-"), F.lit("")))))
+    return F.transform(items, lambda p: F.struct(match.first_label(p, elements, otherwise).alias("element"), F.substring(F.regexp_replace(p, r"(?U)\s+", " "), 1, most).alias("text"), codes(p).alias("standards")))
 
 
 def lines(frame: DataFrame, body: str, keys: Sequence[str], heading: str = r"^#+\s*(.+)$", most: int = 500) -> DataFrame:

@@ -220,7 +220,7 @@ CLAIMS = {"contact": ["[A-Za-z0-9.]+@[a-z0-9]+\\.[a-z.]+"], "number": ["[0-9]{6,
   union all select doc_id, 1, 'number', unnest(regexp_extract_all(text, '[0-9]{6,}')) from documents
   union all select doc_id, 2, 'license', unnest(regexp_extract_all(text, 'License[^.\\n]{0,60}')) from documents),
 d as (select doc_id, claim, first(claim_type order by k) as claim_type from m where length(claim) >= 6 group by doc_id, claim)
-select doc_id, claim, claim_type from d union all select doc_id, text[1:300], 'general' from documents where doc_id not in (select doc_id from d)""")
+select doc_id, claim, claim_type from d union all select doc_id, text[1:200], 'general' from documents where doc_id not in (select doc_id from d)""")
 def claims(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(extract.claims(F.col("text"), CLAIMS)).alias("c"))
     return rows.select("doc_id", "c.claim", "c.claim_type")
@@ -237,11 +237,13 @@ def _chain_inputs(spark, sf_dir):
 @query("""with c as (select lang || '-' || source as qa_id, case when quality = 1 and toxic = 0 then 'direct' when quality = 1 then 'indirect' else 'unsupported' end as support from labels join documents using (doc_id)),
 g as (select qa_id, count(*) as n, count(*) filter (support = 'direct') as d, count(*) filter (support = 'indirect') as i, count(*) filter (support = 'unsupported') as u from c group by qa_id),
 r as (select distinct lang || '-' || source as qa_id, lang from documents),
-j as (select r.qa_id, lang, coalesce(n, 0) as n, coalesce(d, 0) as d, coalesce(i, 0) as i, coalesce(u, 0) as u, greatest(coalesce(n, 0), 1) as m from r left join g using (qa_id)),
-s as (select *, case when lang = 'es' then 'reference_case' when lang = 'de' then 'review' when u * 10 > m * 3 then 'rejected' when u > 0 then 'review' when (d + i) * 10 >= m * 8 then 'gold' else 'review' end as status from j),
-e as (select *, floor(d * 60 / m) + floor(i * 20 / m) + case when status = 'gold' then 20 else 0 end - case when lang = 'de' then 5 else 0 end as x from s)
-select qa_id, status, greatest(0, case when status = 'rejected' then least(x, 40) when status = 'gold' then greatest(x, 80) else x end)::bigint as evidence_score,
-  case when u = 0 then 'complete' when d + i > 0 then 'partial' else 'failed' end as trace from e""")
+j as (select r.qa_id, lang, coalesce(n, 0) as n, coalesce(d, 0) as d, coalesce(i, 0) as i, coalesce(u, 0) as u, greatest(coalesce(n, 0), 1) as total from r left join g using (qa_id)),
+s as (select *, case when lang = 'es' then 'reference_case' when lang = 'de' then 'need_human_review' when u > 0 and u <= total * 0.3::double then 'need_human_review' when u > 0 then 'rejected'
+  when d + i >= total * 0.8::double then 'gold_verified' else 'need_human_review' end as status from j),
+e as (select *, floor(d / total * 60) + floor(((d + i) - d) / total * 20) as base from s),
+f as (select *, case status when 'rejected' then least(base, 30) when 'reference_case' then least(base, 50) when 'need_human_review' then least(base, 75) else greatest(base, 80) end as held from e)
+select qa_id, status, greatest(0, least(100, held - case when u > 0 then 5 else 0 end))::bigint as evidence_score,
+  case when u = 0 then 'complete' when u <= n * 0.3::double then 'partial' else 'failed' end as trace from f""")
 def evidence_chain(spark, sf_dir):
     found, rows = _chain_inputs(spark, sf_dir)
     return audit.chain(found, rows).select("qa_id", "status", F.col("evidence_score").cast("long").alias("evidence_score"), "trace")
@@ -452,13 +454,13 @@ def sticky_review(spark, sf_dir):
 def _rule_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
-        F.col("c_mktsegment").alias("industry_code"), F.col("o_orderpriority").alias("element"), F.col("c_nationkey").cast("string").alias("project_type"), F.col("o_custkey").alias("pair_id"),
+        F.col("c_mktsegment").alias("industry_code"), F.col("o_orderpriority").alias("element"), F.col("c_nationkey").cast("string").alias("project_type"), F.col("o_custkey").cast("string").alias("pair_id"),
         F.col("o_orderkey").alias("qa_id"), F.concat(F.lit("answer "), F.col("o_orderkey")).alias("answer"), F.array(F.concat(F.lit("S"), F.col("o_orderstatus"))).alias("codes"),
     )
 
 
 _RULES = """q as (select c_mktsegment as industry_code, o_orderpriority as element, c_nationkey::varchar as project_type, o_custkey as pair_id, o_orderkey as qa_id, 'S' || o_orderstatus as code from orders join customer on o_custkey = c_custkey),
-g as (select industry_code, element, project_type, count(distinct pair_id) as support_count, count(*) as n_rows, string_agg(distinct code, ';' order by code) as standards, list(qa_id order by qa_id)[1:20] as ids from q group by all),
+g as (select industry_code, element, project_type, count(distinct pair_id) as support_count, count(*) as n_rows, string_agg(distinct code, ';' order by code) as standards, list(qa_id order by qa_id)[1:20] as ids, string_agg(distinct pair_id::varchar, ',' order by pair_id::varchar) as pairs from q group by all),
 r as (select *, case when support_count >= 3 then 'A' when support_count >= 2 then 'B' else 'C' end as evidence_level, 'STRICT_RULE_' || lpad(row_number() over (order by industry_code, element, project_type)::varchar, 4, '0') as rule_id from g)"""
 
 
@@ -468,7 +470,7 @@ def rule_levels(spark, sf_dir):
     return found.select("rule_id", *rules.KEYS, "evidence_level", "support_count", "n_rows", text.joined(F.col("common_standards")).alias("standards"), F.array_join(F.col("source_qa_ids").cast("array<string>"), ";").alias("ids"), "confidence")
 
 
-@query(f"with {_RULES}, e as (select industry_code as head, 'HAS_STRICT_RULE' as relation, rule_id as tail, evidence_level as evidence from r union all select rule_id, 'CHECKS_ELEMENT', element, evidence_level from r union all select rule_id, 'USES_STANDARD', unnest(string_split(standards, ';')[1:5]), evidence_level from r) select * from e")
+@query(f"with {_RULES}, e as (select industry_code as head, 'HAS_STRICT_RULE' as relation, rule_id as tail, pairs as evidence from r union all select rule_id, 'CHECKS_ELEMENT', element, pairs from r union all select rule_id, 'USES_STANDARD', unnest(string_split(standards, ';')[1:5]), pairs from r) select *, 'rule' as source_type from e")
 def rule_triples(spark, sf_dir):
     return rules.triples(rules.induced(_rule_rows(spark, sf_dir)))
 
@@ -479,11 +481,9 @@ def graph_nodes(spark, sf_dir):
     return rules.nodes(edges, {"HAS_STRICT_RULE": ("industry", "rule"), "CHECKS_ELEMENT": ("rule", "element"), "USES_STANDARD": ("rule", "standard")})
 
 
-@query(f"with {_RULES} select rule_id, (50 + case when support_count >= 3 then 100 else 50 end + 50 + case when n_rows > 1 then 50 else 30 end + 50 + 50) / 6 as score, case evidence_level when 'A' then 'assert' when 'B' then 'suggest' else 'flag' end as action from r")
-def rule_review(spark, sf_dir):
-    found = rules.gated(rules.induced(_rule_rows(spark, sf_dir)))
-    score = audit.rule_review(F.lit(True), F.col("support_count"), F.size("common_standards"), F.col("n_rows") > 1)
-    return found.select("rule_id", score.alias("score"), "action")
+@query(f"with {_RULES} select rule_id, case evidence_level when 'A' then 'assert' when 'B' then 'suggest' else 'flag' end as action from r")
+def rule_actions(spark, sf_dir):
+    return rules.gated(rules.induced(_rule_rows(spark, sf_dir))).select("rule_id", "action")
 
 
 def _user_pairs(spark, sf_dir):
@@ -596,26 +596,29 @@ def element_fanout(spark, sf_dir):
     return rows.select("doc_id", "element", F.substring(F.array_join(part, "；"), 1, 500).alias("part"))
 
 
-MOCK = {("easy", "low"): [90, 95, 90, 85, 90, 85, 90, 95, 85], ("hard", "high"): [55, 60, 50, 35, 55, 60, 70, 45, 60]}
-MOCK_DEFAULT = [72, 75, 70, 65, 72, 70, 80, 75, 70]
-
-
 def _judged(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    level = F.when(F.col("quality") == 1, "easy").otherwise("hard")
-    difficulty = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "low").when(F.col("quality") == 0, "high").otherwise("middle")
-    return judge.mocked(labels.select(F.col("doc_id").alias("sample_id"), level.alias("task_level"), difficulty.alias("difficulty")), MOCK, MOCK_DEFAULT)
+    level = F.when(F.col("quality") == 1, "L1_信息抽取").when(F.col("toxic") == 1, "L3_审核推理").otherwise("L2_规则匹配")
+    difficulty = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "easy").when(F.col("toxic") == 1, "hard").otherwise("medium")
+    return judge.mocked(labels.select(F.col("doc_id").alias("sample_id"), level.alias("task_level"), difficulty.alias("difficulty")))
 
 
-_JUDGED = "case when quality = 1 and toxic = 0 then 90 when quality = 0 then 55 else 72 end"
+_JUDGED = """j as (select doc_id as sample_id, case when quality = 1 and toxic = 0 then [78, 85, 90, 75, 72, 80, 75, 85, 80] when quality = 1 then [72, 80, 88, 70, 68, 75, 70, 80, 75]
+  when toxic = 1 then [65, 70, 75, 68, 62, 60, 68, 70, 65] else [75, 82, 85, 78, 70, 72, 72, 82, 78] end as s from labels),
+k as (select sample_id, s[1] as overall_score, s[2] as evidence, s[3] as industry, s[4] as standard, s[5] as pollutant, s[6] as measure, s[7] as actionability, s[8] as hallucination from j),
+l as (select *, case when overall_score >= 90 then '高度可靠_证据充分' when overall_score >= 70 then '基本可靠_少量遗漏' when overall_score >= 50 then '部分正确_证据不足' when overall_score >= 30 then '严重缺漏_明显错误' else '大部分错误_存在幻觉' end as label from k)"""
 
 
-@query(f"select doc_id as sample_id, {_JUDGED} as overall_score, quality = 0 as need_human_review, case when quality = 0 then 'medium' else 'low' end as review_priority, (case when quality = 1 and toxic = 0 then 8 when quality = 0 then 0 else 1 end)::int as n_strengths from labels")
+@query(f"""with {_JUDGED} select sample_id, overall_score, label as final_judgment, overall_score < 50 or hallucination < 50 or standard < 40 as need_human_review,
+  case when overall_score < 50 then '高' when overall_score < 70 then '中' else '低' end as review_priority, evidence < 85 as missing_evidence, hallucination < 85 as unsupported_claims,
+  concat_ws(';', case when industry >= 85 then '行业判断准确，代码和名称与报告一致' end, case when evidence >= 80 then '主要结论有原文证据支撑' end, case when hallucination >= 80 then '无明显的幻觉或编造内容' end, case when standard >= 78 then '标准引用基本正确' end) as strengths,
+  concat_ws(';', case when pollutant < 75 then '污染因子识别存在遗漏' end, case when measure < 75 then '治理措施描述不够完整或具体' end, case when evidence < 75 then '部分结论缺乏明确的原文证据引用' end, case when actionability < 75 then '审核建议可操作性不足' end) as weaknesses from l""")
 def judge_mock(spark, sf_dir):
-    return _judged(spark, sf_dir).select("sample_id", "overall_score", "need_human_review", "review_priority", F.size("strengths").alias("n_strengths"))
+    found = _judged(spark, sf_dir)
+    return found.select("sample_id", "overall_score", "final_judgment", "need_human_review", "review_priority", "missing_evidence", "unsupported_claims", text.joined(F.col("strengths")).alias("strengths"), text.joined(F.col("weaknesses")).alias("weaknesses"))
 
 
-@query(f"select case when s >= 90 then 'excellent' when s >= 75 then 'good' when s >= 60 then 'fair' when s >= 40 then 'weak' else 'poor' end as label, count(*) as n from (select {_JUDGED} as s from labels) group by 1")
+@query(f"with {_JUDGED} select label, count(*) as n from l group by label")
 def judge_summary(spark, sf_dir):
     return judge.summarised(_judged(spark, sf_dir))[1]
 
@@ -698,12 +701,26 @@ def sample_context(spark, sf_dir):
     return rows.select("conv_id", "turn", asked["changed"].alias("changed"), told["report_text"].alias("report_text"), told["approval_text"].alias("approval_text"))
 
 
-@query("""with r as (select conv_id, turn, text, (least(100, 30 + (length(text) > 50)::int * 15 + (turn > 0)::int * 20 + (turn > 1)::int * 25 + (turn > 1)::int * 10))::int as grounding,
-  (case when role = 'user' then 90 else 50 end)::int as generalization, (least(100, 30 + (turn > 0)::int * 15 + (length(text) > 100)::int * 10))::int as usefulness from conversations) select conv_id, turn, grounding, generalization, usefulness from r""")
+_KEYWORDS = ("标准", "排放", "限值", "处理", "措施", "总量", "识别", "因子", "监测", "验收")
+_SCORED = f"""r as (select conv_id, turn, case when role = 'user' then '已验证' else '' end as validation, case turn % 3 when 0 then '废气排放限值是多少' when 1 then '执行什么标准' else text end as q,
+    case turn % 2 when 0 then text else text || '执行GB16297-1996标准，达标排放' end as a, case turn % 4 when 0 then [] when 1 then ['GB16297-1996'] else ['X1'] end as codes, case when turn % 3 = 1 then ['td>' || text, 'short'] else [text] end as e from conversations),
+  n as (select *, len(codes) > 0 as coded, len(list_filter(e, lambda x: x <> '' and not contains(x, 'td>') and length(x) > 20)) > 0 as clean from r)"""
+
+
+@query(f"""with {_SCORED} select conv_id, turn, least(100, 30 + (length(a) > 50)::int * 15 + coded::int * 20 + clean::int * 25 + (clean and coded)::int * 10)::int as grounding,
+  least(100, 30 + contains(q, '标准')::int * 10 + (contains(q, '多少') or contains(q, '类别') or contains(q, '类标准'))::int * 10 + (contains(q, '排放') or contains(q, '去向') or contains(q, '限值'))::int * 10
+    + (length(q) > 30)::int * 10 + contains(a, '标准')::int * 10 + regexp_matches(a, '[GBDB][\\p{{L}}\\p{{N}}_]+')::int * 20)::int as specificity,
+  least(100, 30 + coded::int * 25 + (len(list_filter(codes, lambda x: regexp_matches(x, '^[A-Z]{{2}}[0-9]+'))) > 0)::int * 15 + contains(a, '执行')::int * 10 + contains(a, '排放')::int * 10 + contains(a, '标准')::int * 10)::int as professional,
+  case when validation = '已验证' then 90 when contains(validation, '参考') then 60 else 50 end as generalization,
+  least(100, 30 + 7 * {_sql_hits('q', list(_KEYWORDS))} + coded::int * 15 + (length(a) > 100)::int * 10)::int as usefulness from n""")
 def heuristic_scores(spark, sf_dir):
-    valid = F.when(F.col("role") == "user", "已验证").otherwise("")
-    found = audit.heuristics(F.col("text"), F.col("text"), F.col("turn"), F.greatest(F.col("turn") - 1, F.lit(0)), valid)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("grounding", "generalization", "usefulness")])
+    t, x = F.col("turn"), F.col("text")
+    question = F.when(t % 3 == 0, "废气排放限值是多少").when(t % 3 == 1, "执行什么标准").otherwise(x)
+    answer = F.when(t % 2 == 0, x).otherwise(F.concat(x, F.lit("执行GB16297-1996标准，达标排放")))
+    codes = F.when(t % 4 == 0, F.array().cast("array<string>")).when(t % 4 == 1, F.array(F.lit("GB16297-1996"))).otherwise(F.array(F.lit("X1")))
+    evidence = F.when(t % 3 == 1, F.array(F.concat(F.lit("td>"), x), F.lit("short"))).otherwise(F.array(x))
+    found = audit.heuristics(question, answer, codes, evidence, F.when(F.col("role") == "user", "已验证").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("grounding", "specificity", "professional", "generalization", "usefulness")])
 
 
 @query("with r as (select c_nationkey, o_orderkey, row_number() over (partition by c_nationkey order by o_totalprice desc, o_orderkey) as k from orders join customer on o_custkey = c_custkey) select c_nationkey, string_agg(o_orderkey::varchar, ';' order by k) as first from r where k <= 5 group by c_nationkey")
@@ -740,16 +757,46 @@ def graded_rules(spark, sf_dir):
     return rules.graded(rows, ["industry_code", "element"], 200, 200)
 
 
-@query("""select p_brand as industry_code, p_type as element, count(distinct p_size) as n_projects, string_agg(distinct p_name[1:3], ';' order by p_name[1:3]) as standards, first(p_name order by p_partkey) as trigger,
-  case when count(distinct p_size) >= 5 then 'strong' when count(distinct p_size) >= 3 then 'common' else 'weak' end as strength from part group by p_brand, p_type""")
+_MERGED = """m as (select case when p_brand = 'Brand#11' then '' else p_brand end as industry_code, p_type as element, 'T' || (p_partkey % 3) as project_type, count(distinct p_size) as support_count, list(distinct p_name[1:3] order by p_name[1:3]) as standards,
+  first(p_name order by p_partkey) as trigger, list_sort(list(distinct p_name[1:6])) as requirements from part group by 1, 2, 3)"""
+
+
+def _merged(spark, sf_dir):
+    code = F.when(F.col("p_brand") == "Brand#11", "").otherwise(F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select(
+        code.alias("industry_code"), F.col("p_type").alias("element"), F.concat(F.lit("T"), (F.col("p_partkey") % 3).cast("string")).alias("project_type"), F.col("p_size").alias("project_id"), F.substring("p_name", 1, 3).alias("standard"),
+        F.substring("p_name", 1, 6).alias("requirement"), F.array("p_name").alias("trigger"), F.split("p_name", " ").alias("checkpoints"), F.col("p_partkey").alias("qa_id"),
+    )
+    return rules.merged(rows)
+
+
+@query(f"""with {_MERGED} select industry_code, element, project_type, 'RULE_' || case when industry_code = '' then 'X' else industry_code end || '_' || upper(element) || '_' || project_type || '_AGG' as rule_id, support_count,
+  array_to_string(standards, ';') as standards, array_to_string(requirements, ';') as requirements, trigger, case when support_count >= 5 then 'strong' when support_count >= 3 then 'common' else 'candidate' end as rule_status,
+  least(1.0::double, support_count / 5) as confidence, support_count < 5 as limited from m""")
 def merged_rules(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("industry_code"), F.col("p_type").alias("element"), F.col("p_size").alias("project_id"), F.substring("p_name", 1, 3).alias("standard"), F.col("p_name").alias("trigger"), F.col("p_partkey").alias("qa_id"))
-    return rules.merged(rows).withColumn("standards", text.joined(F.col("standards")))
+    found = _merged(spark, sf_dir)
+    return found.select(*rules.KEYS, "rule_id", "support_count", text.joined(F.col("common_standards")).alias("standards"), text.joined(F.col("common_approval_requirement")).alias("requirements"), F.get("trigger", F.lit(0)).alias("trigger"), "rule_status", "confidence", (F.size("limitations") > 0).alias("limited"))
+
 
+@query(f"""with {_MERGED}, i as (select *, case when industry_code = '' then '?' else industry_code end as industry from m)
+select industry as head, '涉及要素' as relation, element as tail, industry, 'aggregated rule' as evidence, 'rule' as source_type from i
+union all select element, '执行标准', unnest(standards[1:3]), industry, 'aggregated rule', 'rule' from i union all select '审核检查点', '针对要素', unnest(string_split(trigger, ' ')[1:2]), industry, 'aggregated rule', 'rule' from i""")
+def aggregated_triples(spark, sf_dir):
+    return rules.aggregated_triples(_merged(spark, sf_dir))
 
-@query(f"with {_RULES} select 'EXP_' || rule_id as experience_id, case when evidence_level = 'A' and least(1.0::double, support_count / 3) >= 0.8 then 'auto' when evidence_level in ('A', 'B') then 'strong' else 'human' end as automation_level from r where industry_code in ('AUTOMOBILE', 'BUILDING')")
+
+@query(f"""with {_RULES} select 'EXP_' || rule_id as experience_id, case when evidence_level = 'A' and least(1.0::double, support_count / 3) >= 0.8 then 'auto_rule' when evidence_level in ('A', 'B') then 'strong_hint' else 'human_attention' end as automation_level,
+  case evidence_level when 'A' then '地方规范;历史批复;终审报告' when 'B' then '历史批复;终审报告' else '终审报告' end as sources, industry_code as features from r where industry_code in ('AUTOMOBILE', 'BUILDING')""")
 def experience_ladder(spark, sf_dir):
-    return rules.experience(rules.induced(_rule_rows(spark, sf_dir)), ["AUTOMOBILE", "BUILDING"]).select("experience_id", "automation_level")
+    found = rules.experience(rules.induced(_rule_rows(spark, sf_dir)), ["AUTOMOBILE", "BUILDING"])
+    return found.select("experience_id", "automation_level", text.joined(F.col("evidence_source_type")).alias("sources"), text.joined(F.col("project_features")).alias("features"))
+
+
+@query(f"""with {_RULES}, f as (select *, row_number() over (order by rule_id) as k from r qualify k <= 100), p as (select *, string_split(pairs, ',')[1:3] as projects from f)
+select industry_code as head, 'HAS_RULE' as relation, rule_id as tail from f union all select rule_id, 'CHECKS', element from f union all select rule_id, 'SUPPORTED_BY', unnest(projects) from p
+union all select rule_id, 'USES_STANDARD', s from (select rule_id, unnest(string_split(standards, ';')[1:3]) as s from f) where s <> 'SO'""")
+def library_triples(spark, sf_dir):
+    return rules.library_triples(rules.induced(_rule_rows(spark, sf_dir)).withColumnRenamed("source_pair_ids", "source_project_ids"), valid="^S[^O]$")
 
 
 @query("""with s as (select doc_id, greatest(0, 100 - case when length(text) < 500 then 30 else 0 end - case when contains(text, '***') then 50 else 0 end - case when not contains(text, chr(10)) then 25 else 0 end) as x, lang from documents)

@@ -124,7 +124,8 @@ def questions(clean: DataFrame) -> DataFrame:
 def audited(rows: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Question rows with issues, tier and score; ``previous``: the qa_ids of an earlier high tier."""
     blob = text.blob([F.col(c) for c in ("question", "answer", "approval_evidence", "report_evidence")], [F.col("answer_terms"), F.col("codes")])
-    found = session.checkpointed(audit.strict(rows.withColumn("blob", blob)).drop("blob", "report", "approval", "meta_company"))
+    rows = rows.withColumn("blob", blob)
+    found = session.checkpointed(audit.strict(rows).drop("blob", "report", "approval", "meta_company"))
     issues = session.checkpointed(audit.field_issues(rows))
     return audit.sticky(found, found.limit(0).select("qa_id") if previous is None else previous, issues)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,11 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the folder that the cluster names; a temporary one is
-    made only where none is set."""
+    made only where none is set and the master is local."""
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='docev-')}")
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='docev-')}")
     return frame.checkpoint()

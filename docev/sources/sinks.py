@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +14,31 @@ def json_lines(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").json(path)
 
 
+def json_array(frame: DataFrame, path: str) -> None:
+    """All rows as one JSON array in one file, an element a line. The format has one writer; it streams."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            out = []
+            for row in batch.column("value").to_pylist():
+                out.append(lead + row)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], ["value"])
+
+    rows = frame.select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def csv(frame: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
     """Stated fields in order (others left out, missing ones empty), else the columns sorted; arrays
-    joined by semicolons."""
+    joined by semicolons. Files begin with a byte-order mark, as the first name's first character."""
     fields = list(fields) if fields else sorted(frame.columns)
     kinds = dict(frame.dtypes)
     shown = [F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if kinds.get(c, "").startswith("array") else F.col(c) if c in kinds else F.lit("").alias(c) for c in fields]
-    frame.select(*shown).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    marked = frame.select(*shown)
+    marked.withColumnRenamed(fields[0], "\ufeff" + fields[0]).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def by_key(frame: DataFrame, path: str, key: str, form: str = "json") -> None:

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from docev.functions import fuzzy
-from docev.plans import queries
+from docev.plans import cases, queries  # noqa: F401, cases registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
