@@ -2,10 +2,12 @@
 
 Base spans come from four patterns with checks; they always stay. The field, over word-shape features
 of a token and its neighbours, adds spans that no base span overlaps: telephone numbers without a
-country sign, and secrets such as access tokens. It is trained from a small labelled table (built by
-``table``) by gradient ascent on the exact log-likelihood, and decoded by Viterbi over batches of lines
-in numpy. A span must hold a digit or an '@', so lines without either need no decoding; whole lines are
-decoded whatever their length. Texts without either never leave the JVM.
+country sign, and secrets such as access tokens. It is trained from a small labelled table (the lines
+of ``pii_lines``, labelled by hand, and lines made by rule) by gradient ascent on the exact
+log-likelihood, and decoded by Viterbi over batches of lines in numpy. A span must hold a digit or an
+'@', so lines without either need no decoding; whole lines are decoded whatever their length, a long
+one as segments side by side, whose best paths for every label before them are joined. Texts without
+either never leave the JVM.
 
 Defined results: a null or empty text has no spans; repeated rows are each searched; null ids stay
 null; an empty table gives no rows. Offsets are code points, ends exclusive. Extra columns are not read.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, pii_lines
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order of a spans string: the base ones, then what only the field finds.
@@ -85,6 +87,8 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\x00-\x7f]+|[^\x20\x09-\x0D]")
 NEIGHBOURS = (-2, -1, 0, 1, 2)
+#: Tokens from which a line is decoded in segments.
+LONG_LINE = 20_000
 CUES = frozenset("token key secret password apikey api tel phone call fax mobile".split())
 
 
@@ -109,9 +113,25 @@ def tokens(line: str) -> tuple[list[tuple[int, int]], list[str]]:
     return spans, [shape(line[a:b], a == 0 or line[a - 1] in " \t\v\f\r") for a, b in spans]
 
 
+def labelled(line: str, spans: list[Span]) -> tuple[list[str], list[str]]:
+    """Shapes and labels of a line's tokens."""
+    places, shapes = tokens(line)
+    labels = ["O"] * len(places)
+    for kind, start, end in spans:
+        for k, (a, b) in enumerate(places):
+            if b > start and a < end:
+                labels[k] = f"{'B' if a <= start else 'I'}-{kind}"
+    return shapes, labels
+
+
+def by_hand(copies: int = 2) -> list[tuple[list[str], list[str]]]:
+    """The hand-labelled lines; each counts ``copies`` times beside those made by rule."""
+    return [labelled(*pii_lines.parsed(line)) for line in pii_lines.LINES] * copies
+
+
 def table(rows: int = 240, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """The labelled table: shapes and labels of lines made by rule. A third hold a telephone number, a
-    third a secret, the rest numbers of other kinds: years, prices, versions, addresses, cards, dates."""
+    """The lines made by rule: shapes and labels. A third hold a telephone number, a third a secret, the
+    rest numbers of other kinds: years, prices, versions, addresses, cards, dates."""
     draw = np.random.default_rng(seed)
     number = lambda n: "".join(map(str, draw.integers(0, 10, n)))
     pick = lambda *x: x[draw.integers(len(x))]
@@ -143,9 +163,7 @@ def table(rows: int = 240, seed: int = 7) -> list[tuple[list[str], list[str]]]:
         line = " ".join(before) + " " + cue
         start = len(line)
         line += span + ('"' if cue.endswith('"') else "") + pick("", "", ".", ",", "***") + " " + " ".join(after)
-        places, shapes = tokens(line)
-        labels = ["O" if kind is None or b <= start or a >= start + len(span) else f"{'B' if a <= start else 'I'}-{kind}" for a, b in places]
-        found.append((shapes, labels))
+        found.append(labelled(line, [(kind, start, start + len(span))] if kind else []))
     return found
 
 
@@ -166,6 +184,8 @@ class Field:
 
     def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each line, by Viterbi over the whole batch at once."""
+        if len(lines) == 1 and len(lines[0]) > LONG_LINE:
+            return [self.decode_long(self.scores(lines)[0][0])]
         scores, lengths = self.scores(lines)
         m, n, k = scores.shape
         best, back = self.start + scores[:, 0], np.zeros((n, m, k), np.int8)
@@ -182,6 +202,45 @@ class Field:
             labels[:, t - 1] = back[t][np.arange(m), labels[:, t]]
         return [labels[i, : lengths[i]] for i in range(m)]
 
+    def decode_long(self, scores: np.ndarray) -> np.ndarray:
+        """The best labels of one long line. Its segments step side by side: first the best score from
+        each label before a segment to each at its end, which are joined in order; then each segment's
+        path between the labels so found at its ends."""
+        n, k = scores.shape
+        step = int(np.ceil(np.sqrt(n)))
+        m = -(-n // step)
+        padded = np.zeros((m * step, k))
+        padded[:n] = scores
+        live = (np.arange(m * step) < n).reshape(m, step)
+        padded = padded.reshape(m, step, k)
+        enter = np.repeat(self.transition[None], m, 0)
+        enter[0] = self.start  # before the line there is no label
+        reach = enter + padded[:, 0][:, None, :]
+        for t in range(1, step):
+            after = (reach[:, :, :, None] + self.transition).max(2) + padded[:, t][:, None, :]
+            reach = np.where(live[:, t, None, None], after, reach)
+        best, came = np.zeros(k), np.zeros((m, k), np.int64)
+        for b in range(m):
+            paths = best[:, None] + reach[b]
+            came[b] = paths.argmax(0)
+            best = paths.max(0)
+        last = np.empty(m, np.int64)
+        label = int(best.argmax())
+        for b in range(m - 1, -1, -1):
+            last[b] = label
+            label = came[b, label]
+        first = enter[np.arange(m), np.concatenate([[0], last[:-1]])]
+        at, back = first + padded[:, 0], np.zeros((step, m, k), np.int8)
+        for t in range(1, step):
+            paths = at[:, :, None] + self.transition
+            back[t] = np.where(live[:, t, None], paths.argmax(1), np.arange(k))
+            at = np.where(live[:, t, None], paths.max(1) + padded[:, t], at)
+        labels = np.empty((m, step), np.int64)
+        labels[:, step - 1] = last
+        for t in range(step - 1, 0, -1):
+            labels[:, t - 1] = back[t][np.arange(m), labels[:, t]]
+        return labels.reshape(-1)[:n]
+
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
@@ -191,7 +250,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 @lru_cache(1)
 def train(steps: int = 150, rate: float = 0.1, ridge: float = 0.01) -> Field:
     """Adam on the penalised log-likelihood; gradients by forward-backward over the padded table."""
-    rows = table()
+    rows = table() + by_hand()
     shapes = {s: k + 1 for k, s in enumerate(sorted({s for line, _ in rows for s in line}))}
     k = len(LABELS)
     field = Field(shapes, np.zeros((len(NEIGHBOURS), len(shapes) + 1, k)), np.zeros((k, k)), np.zeros(k))
