@@ -4,7 +4,8 @@ Statistics of every whole text are computed once, in numpy over Arrow batches, a
 sample of labelled rows is binned by quantiles and fitted on the driver; the trees are flattened into
 arrays (feature, threshold, children, value) and every row is scored by vectorised traversal.
 
-Sample bound: at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Only the text's
+Sample bound: at most ``SAMPLE`` labels, those with the smallest hash of their id, and of the rows that
+they mark at most as many, those with the smallest hash of their statistics. Only the text's
 statistics are inputs; labels, lang, source and ids are not.
 
 Defined results: a null or empty text has zero statistics and is scored like any other; labels whose
@@ -169,7 +170,8 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: s
     """Fit on at most ``sample`` labelled rows that are not held out."""
     known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = measured.join(chosen, "doc_id").select("statistics", "y").toPandas()
+    marked = measured.join(chosen, "doc_id").select("statistics", "y")  # an id that repeats marks all its rows
+    rows = marked.orderBy(F.xxhash64("statistics", "y")).limit(sample).toPandas()
     x = np.array(rows["statistics"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
     order = np.lexsort([*x.T, rows["y"].to_numpy()])  # the order of rows would change sums' last bits
     return fit(x[order], rows["y"].to_numpy(np.float64)[order])
