@@ -36,7 +36,8 @@ END_ID = 1
 #: Characters of text to a bucket, and tokens to a chunk: what one task holds at a time.
 BUCKET_CHARS = 5_000_000
 CHUNK_TOKENS = 1_000_000
-#: More buckets would make the quantiles themselves large; chunks bound the memory in any case.
+#: More buckets would make the quantiles themselves large. Beyond so many (100 GB of characters) buckets
+#: grow with the corpus; a bucket is sorted with spill and written a chunk at a time, so memory doesn't.
 MOST_BUCKETS = 20_000
 #: Lower-cased words whose ids a worker remembers between batches.
 CACHED_WORDS = 500_000
@@ -269,12 +270,15 @@ def _decode(ranked: np.ndarray, with_ids: bool):
 def read(chunks: DataFrame, ranks: DataFrame, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) from the files.
 
-    Bases are summed over one small row a chunk; null ids come first in a bucket, hence in a chunk.
+    Bases are summed over one small row a chunk, within buckets and then over at most ``MOST_BUCKETS``
+    buckets; null ids come first in a bucket, hence in a chunk.
     """
     ranked = np.array([r["id"] for r in ranks.orderBy("rank").collect()], np.uint32)
     sizes = chunks.select("bucket", "chunk", "n_tokens")
-    before = W.orderBy("bucket", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select("bucket", "chunk", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    buckets = sizes.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens")).select("bucket", before(W.orderBy("bucket")).alias("lead"))
+    within = sizes.select("bucket", "chunk", before(W.partitionBy("bucket").orderBy("chunk")).alias("within"))
+    bases = within.join(F.broadcast(buckets), "bucket").select("bucket", "chunk", (F.col("lead") + F.col("within")).alias("base"))
     if sizes.count() <= common.BROADCAST_ROWS:
         bases = F.broadcast(bases)
     return common.mapped(chunks.join(bases, ["bucket", "chunk"]), _decode(ranked, with_ids), DECODED)
