@@ -248,9 +248,11 @@ def _verify(threshold: float):
 def _components(forest: DataFrame, depth: int, stage: common.Stage) -> DataFrame:
     """``node`` and ``root`` of the texts that share a prefix of ``depth`` minima, directly or through others."""
     entries = forest.where(F.col("match") >= depth).select(F.substring("path", 1, 1 + 2 * depth).alias("prefix"), "node")
-    hubs = entries.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("prefix", "hub").checkpoint()  # plain, so that the join can split
-    stars = entries.join(hubs, "prefix").where("node != hub").select("node", "hub").distinct()
-    return stage.table(f"candidates{depth}", graph.components(stars, "node", "hub"))
+    hubs = entries.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("prefix", "hub")
+    hubs = stage.table(f"hubs{depth}", hubs)  # plain, so that the join can split
+    found = graph.components(entries.join(hubs, "prefix").where("node != hub").select("node", "hub"), "node", "hub", stage, f"candidates{depth}")
+    stage.drop(f"hubs{depth}")
+    return found
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, name: str, stage: common.Stage, threshold: float, size: int, cell: int) -> DataFrame:
@@ -260,7 +262,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, name: st
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(threshold)) + 1e-9).cast("int") if threshold < 1 else F.col("n")
     members = candidates.join(nodes.select("node", "rid", F.coalesce("first.key", "loose").alias("key"), "copies", "n"), "node").withColumn("band", band)
     bands = members.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("cells"))
-    listed = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells")).checkpoint()
+    listed = stage.table(f"cells{name}", bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("cells")))
     placed = members.join(listed, "root").withColumn("own", F.col("cells")[F.col("band")])
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
     label = lambda b1, c1, b2, c2: F.concat_ws(",", F.hex("root"), b1, c1, b2, c2)
@@ -273,6 +275,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, name: st
     below = others(count(here - 1), lambda j: meeting(label(here - 1, j, here, at), F.lit(1)))
     placed = placed.withColumn("meetings", F.concat(same, above, below)).select("node", "rid", "key", "copies", "meetings")
     placed = stage.table(f"placed{name}", placed)
+    stage.drop(f"cells{name}")
     total = placed.agg(F.sum(F.size("meetings"))).first()[0] or 0
 
     # The join of all texts is dealt by id at every size, however few the candidates.
@@ -316,14 +319,15 @@ def _classes(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD,
         candidates = _components(forest, depth, stage)
         # Components only grow: one with the same smallest node and as many nodes is the same.
         sizes = lambda frame: frame.groupBy("root").agg(F.count("*").alias("size"))
-        same = candidates.join(sizes(candidates).join(sizes(before), ["root", "size"]).select("root"), "root", "left_semi").select("node").checkpoint()
+        same = candidates.join(sizes(candidates).join(sizes(before), ["root", "size"]).select("root"), "root", "left_semi").select("node")
+        same = stage.table(f"same{depth}", same)
         changed = candidates.join(same, "node", "left_anti")
         more = _verified(rows, nodes, changed, str(depth), stage, threshold, size, cell)
         verified = more.unionByName(verified.join(same, "node", "left_semi"))
     stage.drop("forest")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = graph.components(verified.select("node", "root"), "node", "root")
+    roots = graph.components(verified.select("node", "root"), "node", "root", stage, "roots")
     told = nodes.select("node", "rid", "copies").join(links, "node", "left").join(roots, "node", "left")
     return signed, told.withColumn("root", F.coalesce("root", "node"))
 
@@ -332,7 +336,7 @@ def join(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD, siz
          recall: float = RECALL, cell: int = CELL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, class_id and n_links, the other rows at the threshold or above."""
     signed, told = _classes(docs, stage, threshold, size, trees, depth, recall, cell, doc_id, text)
-    named = told.groupBy("root").agg(F.min("rid").alias("class_id")).checkpoint()
+    named = stage.table("named", told.groupBy("root").agg(F.min("rid").alias("class_id")))
     told = told.join(named, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     with_words = signed.where("n > 0").select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links")
     without = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -407,7 +407,7 @@ def test_one_long_component(spark):
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     frame = spark.createDataFrame(edges, "a long, b long")
-    roots = {r.node: r.root for r in graph.components(frame, "a", "b").collect()}
+    roots = {r.node: r.root for r in graph.components(frame, "a", "b", stage(spark), "c").collect()}
     assert all(roots[k] == 0 for k in range(41)) and all(roots[k] == 100 for k in range(100, 130)) and 200 not in roots
 
 
