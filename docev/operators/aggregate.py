@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import session
+from .. import config, session
+from ..functions import text
 
 
 def counts(frame: DataFrame, key: Column | str, name: str = "k") -> DataFrame:
@@ -121,6 +122,30 @@ def reconciled(one: DataFrame, other: DataFrame, name: str = "metric", value: st
     return a.join(b, name, "full").withColumn("status", status)
 
 
+def error_tallies(rows: DataFrame, severity: Mapping[str, str] = config.ERROR_SEVERITY) -> DataFrame:
+    """Errors of judged samples (sample_id, task_level, element, industry_code, error_types) by five axes in
+    one pass: axis, value, n_errors and their share of all errors, n_samples that have one, and for axes of
+    samples n_judged and the rate; ``systemic`` marks types that several samples show. A type counts once a
+    sample; null or empty error_types are a sample without errors; types without a severity are UNKNOWN."""
+    axes = ["error_type", "task_level", "element", "severity", "industry_code"]
+    types = F.array_distinct(F.coalesce("error_types", F.array().cast("array<string>")))
+    one = rows.select("sample_id", "task_level", "element", "industry_code", F.explode_outer(types).alias("error_type"))
+    one = one.withColumn("severity", F.when(F.col("error_type").isNotNull(), text.looked_up(F.col("error_type"), dict(severity), "UNKNOWN")))
+    erring = F.when(F.col("error_type").isNotNull(), F.col("sample_id"))
+    sums = one.groupingSets([[a] for a in axes], *axes).agg(F.grouping_id().alias("g"), F.count("error_type").alias("n_errors"), F.count_distinct(erring).alias("n_samples"), F.count_distinct("sample_id").alias("n_judged"))
+    which = {a: (1 << len(axes)) - 1 - (1 << (len(axes) - 1 - k)) for k, a in enumerate(axes)}
+    axis, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for a in axes:
+        axis, value = F.when(F.col("g") == which[a], a).otherwise(axis), F.when(F.col("g") == which[a], F.col(a)).otherwise(value)
+    out = sums.select(axis.alias("axis"), value.alias("value"), "n_errors", "n_samples", "n_judged").where("axis not in ('error_type', 'severity') or value is not null")
+    sampled = ~F.col("axis").isin("error_type", "severity")
+    every = F.sum("n_errors").over(Window.partitionBy("axis"))
+    return out.select(
+        "axis", "value", "n_errors", F.when(every > 0, F.col("n_errors") / every).alias("share"), "n_samples", F.when(sampled, F.col("n_judged")).alias("n_judged"), F.when(sampled, F.col("n_samples") / F.col("n_judged")).alias("rate"),
+        ((F.col("axis") == "error_type") & (F.col("n_samples") > 1)).alias("systemic"),
+    )
+
+
 def distributions(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Independent counts by each column in one pass: dimension, value, n."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns]))

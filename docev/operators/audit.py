@@ -313,6 +313,39 @@ def rule_review(rules: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.when(level == "A", "keep").when(level == "invalid", "invalid").otherwise("downgrade"))
 
 
+def recheck_high(rows: DataFrame) -> DataFrame:
+    """One row for each error of high rows: qa_id, pair_id, element, error_type, detail. Rows have
+    task_domain, answer, answer_terms, codes, approval_evidence and report_evidence (arrays of texts),
+    blob, and their pair's report and approval. Nulls count as empty; a row of an unknown element is
+    checked for its id and domain only."""
+    c, none = F.col, F.array().cast("array<string>")
+    element, answer, terms_, codes_ = text.default(c("element")), text.default(c("answer")), F.coalesce("answer_terms", none), F.coalesce("codes", none)
+    own, domain, blob = text.after_last(text.default(c("qa_id"))), text.default(c("task_domain")), text.default(c("blob"))
+    known, flat = element.isin(*config.ELEMENT_KEYWORDS), text.compact(blob)
+    issue = lambda kind, *why: F.struct(F.lit(kind).alias("error_type"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in why]).alias("detail"))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    terms, codes = canonical_terms(element, answer, config.ELEMENT_KEYWORDS), extract.element_codes(element, answer)
+
+    def lost(evidence: str, source: str, kind: str) -> Column:
+        body = text.clean_text(text.default(c(source)))
+        cleaned = F.transform(F.coalesce(evidence, none), lambda t: text.clean_text(text.default(t)))
+        return F.transform(F.filter(cleaned, lambda t: ~found(t, body)), lambda t: issue(kind, F.substring(t, 1, 120)))
+
+    always = [
+        F.when(own != element, issue("qa_id_element_mismatch", "qa_id_element=", own)), F.when(domain != element, issue("task_domain_element_mismatch", "task_domain=", domain)),
+        F.when(~known, issue("unknown_element", element)),
+    ]
+    checks = [
+        F.when(terms_ != terms, issue("answer_terms_not_current_answer_element", "actual=", listed(terms_), "; expected=", listed(terms))),
+        F.when(F.filter(codes_, lambda s: s != "") != codes, issue("standards_not_current_answer_element", "actual=", listed(F.filter(codes_, lambda s: s != "")), "; expected=", listed(codes))),
+        *[F.when((element == e) & match.contains_any(flat, markers), issue(kind, "")) for e, (kind, markers) in config.RECHECK_MARKERS.items()],
+        F.when(match.contains_any(blob, config.OLD_TABLES), issue("references_old_qa_dataset", "qa_v3/qa_v4 reference found")),
+    ]
+    sources = F.concat(lost("approval_evidence", "approval", "approval_evidence_not_found"), lost("report_evidence", "report", "report_evidence_not_found"))
+    deeper = F.when(known, F.concat(match.present(checks), sources)).otherwise(F.slice(sources, 1, 0))
+    return rows.select("qa_id", "pair_id", "element", F.explode(F.concat(match.present(always), deeper)).alias("i")).select("qa_id", "pair_id", "element", "i.*")
+
+
 def pair_integrity(pairs: DataFrame, needed: Sequence[str] = ("report", "approval", "pair_metadata")) -> DataFrame:
     """pair_id and the parts that are missing or empty."""
     missing = match.reasons([(F.coalesce(F.col(n), F.lit("")) == "", f"missing_{n}") for n in needed])

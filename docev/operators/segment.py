@@ -51,6 +51,29 @@ def lines(frame: DataFrame, body: str, keys: Sequence[str], heading: str = r"^#+
     return rows.where(F.trim("line") != "").select(*keys, (F.col("pos") + 1).alias("line_start"), "section_title", F.substring("line", 1, most).alias("text"))
 
 
+def theory_index(files: DataFrame) -> DataFrame:
+    """One row for each non-blank line of files (path, body): its concept (the last heading of one to three
+    marks at or before it), start and what it is related to. Without files one placeholder row."""
+    s = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = lines(files, "body", ["path"], config.THEORY_HEADING, 1 << 30).withColumn("text", s).where("text != ''")
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"^(\.*[^.].*)\.[^.]*$", "$1")
+    at = (F.col("line_start") - 1).cast("int")
+    constant = [F.lit("theory_auxiliary_only").alias("evidence_role"), F.lit(False).alias("can_support_gold_answer")]
+    body = F.col("text")
+    index = rows.select(
+        F.format_string("%s_%04d", stem, at).alias("theory_id"), F.col("section_title").alias("concept"), match.expanded(body, config.THEORY_ALIASES).alias("aliases"), F.substring(body, 1, 300).alias("definition"),
+        match.terms_in(body, config.THEORY_PROCESSES).alias("related_processes"), match.terms_in(body, config.THEORY_POLLUTANTS).alias("related_pollutants"), match.terms_in(body, config.THEORY_MEASURES).alias("related_measures"),
+        match.risks(body, config.RISKS).alias("risk_warnings"), F.col("path").alias("source_file"), at.alias("line_start"), at.alias("line_end"), F.lit("llm_generated_unchecked").alias("review_status"), *constant,
+    )
+    name, concept, told = (F.lit(x) for x in config.THEORY_MISSING)
+    none = F.array().cast("array<string>")
+    missing = files.agg(F.count("*").alias("n")).where("n = 0").select(
+        name.alias("theory_id"), concept.alias("concept"), none.alias("aliases"), told.alias("definition"), none.alias("related_processes"), none.alias("related_pollutants"), none.alias("related_measures"), none.alias("risk_warnings"),
+        F.lit("").alias("source_file"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("unknown").alias("review_status"), *constant,
+    )
+    return index.unionByName(missing)
+
+
 def sections(frame: DataFrame, body: str, keys: Sequence[str], heading: str = r"^(?U:\s)*([一二三四五六七八九十]+)、") -> DataFrame:
     """``sections``: numeral to its lines joined; what stands before the first numeral goes, and the last
     of repeated numerals wins."""

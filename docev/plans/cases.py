@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import extract, match, text
-from ..operators import audit, rules, segment
+from ..operators import aggregate, audit, rules, segment
 from .queries import query
 
 TEXTS = [
@@ -230,3 +231,75 @@ _BEHAVIOR = [(1, "C2929", "噪声", ["a", "b", "c", "d", "e", "f"], "答" * 200)
 def behavior_rules(spark, sf_dir):
     found = rules.behavior(_cases(spark, sf_dir, _BEHAVIOR, "id int, industry_code string, element string, standards array<string>, answer string")).select("id", "behavior_rule.*")
     return found.select("id", F.col("trigger_condition").alias("trigger"), text.joined(F.col("review_checkpoints")).alias("checkpoints"), text.joined(F.col("expected_report_content")).alias("content"), F.col("common_approval_requirement").alias("requirement"), text.joined(F.col("common_standards")).alias("standards"))
+
+
+_REPORT, _APPROVAL = "前言  厂界噪声执行GB12348-2008。<details>x</details>采取隔声措施", "同意建设。噪声须采取隔声、减振措施，执行 GB12348-2008"
+_HIGH = [
+    ("p_噪声", "p", "噪声", "噪声", "噪声采取隔声措施，执行 GB12348-2008", ["GB12348-2008", "噪声", "隔声", "GB12348"], ["GB12348-2008"], ["隔声、减振措施"], ["厂界噪声执行GB12348-2008。 采取隔声"], "噪声 隔声", _REPORT, _APPROVAL),
+    ("p_废水", "p", "噪声", "废水", "噪声", [], ["DB44/26-2001"], ["没有这句话", ""], ["采取 隔声"], "执行 DB44/ 26-2001 与 qa_v3", _REPORT, _APPROVAL),
+    ("x_固废", "x", "固废", None, "固废", ["固废"], [], ["无"], ["无"], "qa_v4", None, None), ("y", "y", "废水", "废水", "废水排入管网", ["废水", "排入"], ["", None], [], None, "GB 18597", "r", None),
+    ("z_危废", "z", "危废", "危废", "危废委托处置", ["危废", "委托"], [], ["甲" * 130], [], "环境 噪声", "", ""), (None, None, None, None, None, None, None, None, None, None, None, None),
+]
+
+
+@query(f"""select * from (values ('p_废水', 'qa_id_element_mismatch', 'qa_id_element=废水'), ('p_废水', 'task_domain_element_mismatch', 'task_domain=废水'), ('p_废水', 'answer_terms_not_current_answer_element', 'actual=[]; expected=[''噪声'']'),
+  ('p_废水', 'standards_not_current_answer_element', 'actual=[''DB44/26-2001'']; expected=[]'), ('p_废水', 'noise_contains_forbidden_water_or_hazard_marker', ''), ('p_废水', 'approval_evidence_not_found', '没有这句话'), ('p_废水', 'approval_evidence_not_found', ''),
+  ('p_废水', 'report_evidence_not_found', '采取 隔声'), ('p_废水', 'references_old_qa_dataset', 'qa_v3/qa_v4 reference found'), ('x_固废', 'task_domain_element_mismatch', 'task_domain='), ('x_固废', 'unknown_element', '固废'),
+  ('y', 'qa_id_element_mismatch', 'qa_id_element='), ('y', 'wastewater_contains_cross_element_standard', ''), ('z_危废', 'hazard_contains_forbidden_noise_marker', ''), ('z_危废', 'approval_evidence_not_found', '{"甲" * 120}'), (null, 'unknown_element', '')) as t(qa_id, error_type, detail)""")
+def high_recheck(spark, sf_dir):
+    schema = "qa_id string, pair_id string, element string, task_domain string, answer string, answer_terms array<string>, codes array<string>, approval_evidence array<string>, report_evidence array<string>, blob string, report string, approval string"
+    return audit.recheck_high(_cases(spark, sf_dir, _HIGH, schema)).select("qa_id", "error_type", "detail")
+
+
+_FILES = [
+    ("wiki/废气.v1.md", "前文VOCs\n# 废气治理 \n\n  活性炭吸附处理VOCs，替代旧标准\n#### 四级\n\t\n##  # 注塑 \n注塑、印刷产生苯、甲苯" + "长" * 400), ("theory/废水.txt", "#无空格\nCOD与氨氮经化粪池\n"), ("wiki/空.md", ""), ("llm/风险.json", "待定：有机废气超标"),
+]
+_HELD = {"processes": config.THEORY_PROCESSES, "pollutants": config.THEORY_POLLUTANTS, "measures": config.THEORY_MEASURES}
+
+
+def _sql_held(terms: list[str]) -> str:
+    return f"array_to_string(list_filter({_quoted(terms)}, lambda t: contains(s, t)), ';')"
+
+
+_SQL_ALIASES = "concat_ws(';', " + ", ".join(f"case when contains(s, '{k}') then '{';'.join(v)}' end" for k, v in config.THEORY_ALIASES.items()) + ")"
+_SQL_RISKS = "concat_ws(';', " + ", ".join(f"case when regexp_matches(s, '{p}')" + (f" and not regexp_matches(s, '{e}')" if e else "") + f" then '{w}' end" for p, e, w in config.RISKS) + ")"
+
+
+@query(f"""with l as (select path, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) - 1 as i from {_values(_FILES, 'path, body')}),
+t as (select path, i, trim(line, ' ' || chr(9) || chr(13)) as s from l),
+c as (select *, last_value(case when regexp_matches(s, '^#{{1,3}}\\s+') then regexp_replace(s, '^#+\\s*', '') end ignore nulls) over (partition by path order by i) as concept from t)
+select regexp_replace(regexp_extract(path, '[^/]+$'), '\\.[^.]*$', '') || '_' || lpad(i::varchar, 4, '0') as theory_id, coalesce(concept, '') as concept, s[1:300] as definition, path as source_file, i::int as line_end, 'llm_generated_unchecked' as review_status,
+  {_SQL_ALIASES} as aliases, {', '.join(f'{_sql_held(terms)} as {name}' for name, terms in _HELD.items())}, {_SQL_RISKS} as warnings, false as supports from c where s <> ''""")
+def theory_lines(spark, sf_dir):
+    return _theory(segment.theory_index(_cases(spark, sf_dir, _FILES, "path string, body string")))
+
+
+def _theory(index: DataFrame) -> DataFrame:
+    listed = [text.joined(F.col(f"related_{name}")).alias(name) for name in _HELD]
+    return index.select("theory_id", "concept", "definition", "source_file", "line_end", "review_status", text.joined(F.col("aliases")).alias("aliases"), *listed, text.joined(F.col("risk_warnings")).alias("warnings"), F.col("can_support_gold_answer").alias("supports"))
+
+
+@query("""select 'template_placeholder' as theory_id, '（无理论数据，此为占位模板）' as concept, '请将环评理论、导则说明、技术规范解读放入 data/llm_wiki/、data/theory/ 等目录' as definition, '' as source_file, 0 as line_end, 'unknown' as review_status,
+  '' as aliases, '' as processes, '' as pollutants, '' as measures, '' as warnings, false as supports""")
+def theory_missing(spark, sf_dir):
+    return _theory(segment.theory_index(_cases(spark, sf_dir, [], "path string, body string")))
+
+
+_ERRORS = [
+    (0, "L1", "废水", "C2929", ["ERR_POL", "ERR_STD"]), (1, "L1", "废气", "C2929", []), (2, "L2", "废水", None, ["ERR_HAL", "ERR_HAL"]), (3, "L3", "噪声", "C3360", None),
+    (4, "L3", "噪声", "C3360", ["ERR_IND", "ERR_NUM", "ERR_INC"]), (5, "L4", None, "C3360", ["ERR_X"]), (6, "L4", "危废", "", ["ERR_PAIR", "ERR_HAL"]),
+]
+
+
+@query(f"""with s as (select n_nationkey * 10 + k as id, lvl, element, industry, list_distinct(coalesce(errors, [])) as e from nation join {_values(_ERRORS, 'k, lvl, element, industry, errors')} on (n_nationkey + k) % 3 > 0),
+x as (select id, lvl, element, industry, unnest(e) as err from s),
+sv as (select *, coalesce(case err {" ".join(f"when '{k}' then '{v}'" for k, v in config.ERROR_SEVERITY.items())} end, 'UNKNOWN') as severity from x),
+own as (select 'error_type' as axis, err as value, count(*) as n_errors, count(distinct id) as n_samples from x group by err union all select 'severity', severity, count(*), count(distinct id) from sv group by severity),
+by_sample as ({" union all ".join(f"select '{axis}' as axis, {c} as value, sum(len(e))::bigint as n_errors, count(*) filter (len(e) > 0) as n_samples, count(*) as n_judged from s group by {c}" for axis, c in (("task_level", "lvl"), ("element", "element"), ("industry_code", "industry")))}),
+a as (select axis, value, n_errors, n_samples, null::bigint as n_judged from own union all select * from by_sample)
+select axis, value, n_errors, round(n_errors / (select count(*) from x), 9) as share, n_samples, n_judged, round(n_samples / n_judged, 9) as rate, axis = 'error_type' and n_samples > 1 as systemic from a""")
+def error_taxonomy(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    made = spark.createDataFrame(_ERRORS, "k int, task_level string, element string, industry_code string, error_types array<string>")
+    rows = nation.join(F.broadcast(made), (F.col("n_nationkey") + F.col("k")) % 3 > 0).withColumn("sample_id", F.col("n_nationkey") * 10 + F.col("k"))
+    return aggregate.error_tallies(rows).withColumn("share", F.round("share", 9)).withColumn("rate", F.round("rate", 9))
