@@ -126,7 +126,7 @@ def error_tallies(rows: DataFrame, severity: Mapping[str, str] = config.ERROR_SE
     """Errors of judged samples (sample_id, task_level, element, industry_code, error_types) by five axes in
     one pass: axis, value, n_errors and their share of all errors, n_samples that have one, and for axes of
     samples n_judged and the rate; ``systemic`` marks types that several samples show. A type counts once a
-    sample; null or empty error_types are a sample without errors; types without a severity are UNKNOWN."""
+    row; null or empty error_types are a sample without errors; types without a severity are UNKNOWN."""
     axes = ["error_type", "task_level", "element", "severity", "industry_code"]
     types = F.array_distinct(F.coalesce("error_types", F.array().cast("array<string>")))
     one = rows.select("sample_id", "task_level", "element", "industry_code", F.explode_outer(types).alias("error_type"))

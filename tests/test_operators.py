@@ -389,3 +389,21 @@ def test_self_evidence_and_lineage(spark, tmp_path):
     rows.write.parquet(f"file://{tmp_path}/clean_pairs/x")
     held = spark.read.parquet(f"file://{tmp_path}/clean_pairs/x")
     assert audit.foreign_inputs(held, ["clean_pairs"]) == [] and audit.foreign_inputs(held, ["other"])
+
+
+def test_recheck_and_tallies_of_nothing(spark):
+    high = "qa_id string, pair_id string, element string, task_domain string, answer string, answer_terms array<string>, codes array<string>, approval_evidence array<string>, report_evidence array<string>, blob string, report string, approval string"
+    assert audit.recheck_high(spark.createDataFrame([], high)).count() == 0
+    errors = "sample_id int, task_level string, element string, industry_code string, error_types array<string>"
+    assert aggregate.error_tallies(spark.createDataFrame([], errors)).count() == 0
+    blank = segment.theory_index(spark.createDataFrame([("a.md", " \n\t\n")], "path string, body string"))
+    assert blank.count() == 0  # a file without lines is a file: no placeholder
+
+
+def test_tallies_count_a_sample_once(spark):
+    rows = [(1, "L1", "a", "x", ["ERR_HAL", "ERR_HAL"]), (1, "L1", "a", "x", ["ERR_HAL"]), (2, "L1", "b", None, []), (3, "L2", "b", "x", ["ERR_HAL", "ERR_PAIR"])]
+    found = aggregate.error_tallies(spark.createDataFrame(rows, "sample_id int, task_level string, element string, industry_code string, error_types array<string>"))
+    got = {(r.axis, r.value): (r.n_errors, r.n_samples, r.n_judged, r.systemic) for r in found.collect()}
+    assert got["error_type", "ERR_HAL"] == (3, 2, None, True) and got["severity", "CRITICAL"] == (4, 2, None, False)
+    assert got["task_level", "L1"] == (2, 1, 2, False) and got["industry_code", None] == (0, 0, 1, False)
+    assert not any(axis in ("error_type", "severity") and value is None for axis, value in got)
