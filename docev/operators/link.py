@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .. import config, session
 from ..functions import fuzzy, match, text
 
+#: Rows and bytes of a query set that are broadcast at once.
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 64 << 20
+
 
 def block_key(name: Column, size: int = 4, prefixes: Sequence[str] = config.COMPANY_PREFIXES, suffixes: Sequence[str] = config.COMPANY_SUFFIXES) -> Column:
     """The first characters of a normalised name without region and company words, removed in order."""
@@ -20,15 +23,46 @@ def block_key(name: Column, size: int = 4, prefixes: Sequence[str] = config.COMP
     return F.substring(key, 1, size)
 
 
-def candidates(left: DataFrame, right: DataFrame, key: str, fallback: bool = True) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, key: str, fallback: bool = True, alike: tuple[str, str, float] | None = None) -> DataFrame:
     """Rows of the same block; a left row whose block has no right row meets every right row, as the
-    semantics want. Left rows of that kind are the few names not known to the other side; without
-    ``fallback`` they meet none. Columns of the two sides must differ but for the key."""
+    semantics want, or, with ``alike`` (both names' columns and the least similarity that the caller
+    keeps), every right row of a name so similar, without a product. Without ``fallback`` such rows
+    meet none. Columns of the two sides must differ but for the key."""
     same = left.join(right, key)
     if not fallback:
         return same
     alone = left.join(right.select(key).distinct(), key, "left_anti")
-    return same.unionByName(alone.crossJoin(right.drop(key)))
+    if alike is None:
+        return same.unionByName(alone.crossJoin(right.drop(key)))
+    a, b, least = alike
+    names = similar_names(alone.select(a), right.select(b), a, b, least)
+    names = names.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    met = alone.join(names, F.col(a) == F.col("__a")).join(right.drop(key), F.col("__b") == F.col(b))
+    return same.unionByName(met.drop("__a", "__b"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Distinct pairs of names of ``fuzzy.similarity`` from ``least`` (over 0). Such names share, counting
+    repeats, a least/(200 - least) of the shorter one's characters, so that one of the shorter's rarest
+    characters is among the other's: only names that meet there are compared. Null and empty names
+    have no pair; characters are those of the normalised names."""
+
+    def named(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select(F.col(name).alias("name")).distinct().withColumn("told", text.normalize(F.col("name"))).withColumn("n", F.length("told")).where("n > 0")
+
+    def characters(names: DataFrame) -> DataFrame:
+        each = names.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring("told", i, F.lit(1)))).alias("c"))
+        return each.groupBy("name", "n", "c").agg(F.count("*").cast("int").alias("times")).select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.struct("c", k.alias("k")))).alias("c"))
+
+    sides = [session.checkpointed(characters(named(frame, name))) for frame, name in ((left, a), (right, b))]
+    common = sides[0].select("c").union(sides[1].select("c")).groupBy("c").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("held", "c"))
+    rarest = lambda side: side.join(common, "c").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least / (200 - least) - 1e-9) + 1)
+    told = lambda side, to: side.select("c", F.col("name").alias(to), F.col("n").alias(f"n_{to}"))
+    mine, theirs = (told(side, to) for side, to in zip(sides, ("__l", "__r"), strict=True))
+    met = told(rarest(sides[0]), "__l").join(theirs, "c").where("n___l <= n___r").select("__l", "__r")
+    met = met.union(told(rarest(sides[1]), "__r").join(mine, "c").where("n___r < n___l").select("__l", "__r")).distinct()
+    return met.where(fuzzy.similarity(F.col("__l"), F.col("__r")) >= least).select(F.col("__l").alias(a), F.col("__r").alias(b))
 
 
 def equal_or_unknown(a: Column, b: Column) -> Column:
@@ -141,10 +175,20 @@ def one_sided(edges: DataFrame, left: str, right: str, left_order: str, right_or
     return found.withColumn("pair_status", F.when(c("__clean"), "clean").otherwise("needs_review")).drop("__clean").select(*edges.columns, "pair_status")
 
 
+def blocks(frame: DataFrame, *sized: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> list[DataFrame]:
+    """A query set in blocks that are small enough to broadcast: counted rows, and counted bytes of the
+    ``sized`` columns. Most sets are one block."""
+    held = session.checkpointed(frame.withColumn("__n", F.monotonically_increasing_id()))
+    total = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in sized), F.lit(0).cast("long"))
+    n, told = held.agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    k = max(1, -(-n // rows), -(-told // size))
+    return [held.where(F.col("__n") % k == i).drop("__n") for i in range(k)]
+
+
 def by_certainty(left: DataFrame, right: DataFrame, ways: Sequence[tuple[Column, Column, float]], left_key: str, order: str, loose: Column | None = None) -> DataFrame:
     """Left rows with the best right row by several keys of falling certainty: each way is an equi-join
-    on two expressions with a fixed score; ``loose`` scores what is left against the right side, which
-    is then broadcast and should be an index of files. The highest score wins, then the first in order."""
+    on two expressions with a fixed score; ``loose`` scores what is left against the right side, an index
+    of files, a block at a time. The highest score wins, then the first in order."""
     found, out = None, left
     for mine, theirs, score in ways:
         hit = out.withColumn("__k", mine).where("__k is not null and __k != ''").join(right.withColumn("__k", theirs), "__k").drop("__k").withColumn("score", F.lit(float(score)))
@@ -152,39 +196,48 @@ def by_certainty(left: DataFrame, right: DataFrame, ways: Sequence[tuple[Column,
     best = best_right(found, [left_key], F.col("score"), F.col(order))
     if loose is None:
         return best
-    rest = left.join(best.select(left_key), left_key, "left_anti").crossJoin(F.broadcast(right)).withColumn("score", loose).where("score > 0")
-    return best.unionByName(best_right(rest, [left_key], F.col("score"), F.col(order)), allowMissingColumns=True)
+    rest = left.join(best.select(left_key), left_key, "left_anti")
+    met = [rest.crossJoin(F.broadcast(block)).withColumn("score", loose).where("score > 0") for block in blocks(right, *right.columns)]
+    return best.unionByName(best_right(reduce(DataFrame.unionByName, met), [left_key], F.col("score"), F.col(order)), allowMissingColumns=True)
 
 
 def title_lookup(left: DataFrame, right: DataFrame, left_title: str, right_title: str, order: str, core: int = 10) -> DataFrame:
-    """Equal titles without white space; else the first right row of which one side's core holds in the
-    other. ``m`` is the right row, ``how`` equal, contained or none. Only left rows without an equal
-    title meet the second way."""
+    """Equal titles without white space; else the first right row of which one side's core (its first
+    characters) holds in the other. ``m`` is the right row, ``how`` equal, contained or none. Only left
+    rows without an equal title meet the second way: by equality of a core with any run of ``core``
+    characters of the other side, of which the first right row alone is kept, so that no row meets
+    many. Null titles find none; repeated left rows stay."""
     rows = left.withColumn("__l", text.compact(F.col(left_title)))
     held = right.select(text.compact(F.col(right_title)).alias("__t"), F.struct(*right.columns).alias("__m"), F.col(order).alias("__o"))
-    equal = rows.join(held.groupBy("__t").agg(F.min_by("__m", "__o").alias("m")), F.col("__l") == F.col("__t"), "left").drop("__t")
+    first = lambda frame, key: frame.groupBy(key).agg(F.min_by("__m", "__o").alias("__m"), F.min("__o").alias("__o"))
+    equal = rows.join(first(held, "__t").select("__t", F.col("__m").alias("m")), F.col("__l") == F.col("__t"), "left").drop("__t")
     found = equal.where("m is not null").withColumn("how", F.lit("equal"))
     rest = equal.where("m is null").drop("m")
-    near = (F.length("__l") >= core) & (F.length("__t") >= core) & (F.contains("__t", F.substring("__l", 1, core)) | F.contains("__l", F.substring("__t", 1, core)))
-    hit = rest.join(held, near, "left").groupBy(*left.columns).agg(F.min_by("__m", "__o").alias("m"))
+    head = lambda frame, x: frame.where(F.length(x) >= core).withColumn("__g", F.substring(x, 1, core))
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - core + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(core)))
+    inner = lambda frame, x: frame.where(F.length(x) >= core).withColumn("__g", F.explode(F.array_distinct(runs(x))))
+    titles = rest.select("__l").distinct()
+    hit = head(titles, "__l").join(first(inner(held, "__t"), "__g"), "__g").unionByName(inner(titles, "__l").join(first(head(held, "__t"), "__g"), "__g"))
+    hit = rest.join(first(hit, "__l").select("__l", F.col("__m").alias("m")), "__l", "left")
     hit = hit.withColumn("how", F.when(F.col("m").isNotNull(), "contained").otherwise("none"))
-    return found.select(*left.columns, "m", "how").unionByName(hit)
+    return found.select(*left.columns, "m", "how").unionByName(hit.select(*left.columns, "m", "how"))
 
 
 def containing(texts: DataFrame, x: str, needles: DataFrame, needle: str) -> DataFrame:
     """Rows of texts that hold a needle, with the needle's row. A needle's longest inner word stands
     between blanks wherever the needle does, so texts meet only needles whose word they have; needles
-    without an inner word meet all texts. The needles are a query set and are broadcast; give a larger
-    one in blocks."""
+    without an inner word meet all texts. The needles are a query set, broadcast in counted blocks."""
     words = F.split(needle, " ")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     held = needles.withColumn("__key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    keyed = held.where("__key is not null")
-    keys = keyed.agg(F.collect_set("__key").alias("__keys"))
-    found = texts.crossJoin(F.broadcast(keys)).withColumn("__key", F.explode(F.array_intersect(F.split(x, " "), "__keys"))).drop("__keys")
-    hit = found.join(F.broadcast(keyed), "__key").where(F.contains(x, F.col(needle))).drop("__key")
-    rest = texts.join(F.broadcast(held.where("__key is null").drop("__key")), F.contains(x, F.col(needle)))
-    return hit.unionByName(rest)
+    out = []
+    for block in blocks(held, needle):
+        keyed = block.where("__key is not null")
+        keys = keyed.agg(F.collect_set("__key").alias("__keys"))
+        found = texts.crossJoin(F.broadcast(keys)).withColumn("__key", F.explode(F.array_intersect(F.split(x, " "), "__keys"))).drop("__keys")
+        out.append(found.join(F.broadcast(keyed), "__key").where(F.contains(x, F.col(needle))).drop("__key"))
+        out.append(texts.join(F.broadcast(block.where("__key is null").drop("__key")), F.contains(x, F.col(needle))))
+    return reduce(DataFrame.unionByName, out)
 
 
 def last_by(frame: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

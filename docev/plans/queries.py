@@ -308,14 +308,15 @@ def best_per_left(spark, sf_dir):
     return link.best_right(_pairs(spark, sf_dir).select("c_custkey", "s_suppkey", "score"), ["c_custkey"], F.col("score"), F.col("s_suppkey")).select("c_custkey", "s_suppkey", "best_score")
 
 
-@query("""with w as (select distinct p_name as title from part), k as (select min(p_partkey) as ord, p_name as name from part where p_partkey % 3 = 0 group by p_name),
+@query("""with w as (select p_name as title from part union select p_type || ' ' || p_name from part union select n_name from nation), k as (select min(p_partkey) as ord, p_name as name from part group by p_name),
 e as (select title, min(ord) as ord from w left join k on replace(title, ' ', '') = replace(name, ' ', '') group by title),
 n as (select w.title, min(k.ord) as ord from w left join k on (length(replace(title, ' ', '')) >= 6 and length(replace(name, ' ', '')) >= 6 and (contains(replace(name, ' ', ''), replace(title, ' ', '')[1:6]) or contains(replace(title, ' ', ''), replace(name, ' ', '')[1:6]))) group by w.title)
 select title, coalesce(e.ord, n.ord) as ord, case when e.ord is not null then 'equal' when n.ord is not null then 'contained' else 'none' end as how from e join n using (title)""")
 def title_fallback_join(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    titles = parts.select(F.col("p_name").alias("title")).distinct()
-    known = parts.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    """Names, names after their types and names of nations, looked up among all part names."""
+    parts, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    titles = parts.select(F.explode(F.array("p_name", F.concat("p_type", F.lit(" "), "p_name"))).alias("title")).union(nation.select("n_name")).distinct()
+    known = parts.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
     return link.title_lookup(titles, known, "title", "name", "ord", core=6).select("title", "m.ord", "how")
 
 
@@ -517,7 +518,7 @@ def paired_effect(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     """Seeded resampling of users' click counts by their parity: deterministic, not SQL."""
     rows = _user_pairs(spark, sf_dir).withColumn("arm", F.col("user_id") % 2)
-    return stats.bootstrap(rows, "a", ["arm"], resamples=2000)
+    return stats.bootstrap(rows, "a", ["arm"])
 
 
 @query("select s_suppkey, r_name || '/' || n_name as path from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")

@@ -52,7 +52,8 @@ def approval_records(files: DataFrame) -> DataFrame:
 
 
 def pairs(reports: DataFrame, approvals: DataFrame, matching: config.Matching = config.Matching()) -> DataFrame:
-    """Linked records with pair_status. Reports without a block of their own meet every approval."""
+    """Linked records with pair_status. Reports without a block of their own meet the approvals
+    of companies similar enough to be scored."""
     c = F.col
     left = reports.select(
         "report_id", c("company").alias("report_company"), c("project_name").alias("report_project"), "report_type", c("project_type").alias("report_project_type"), c("town").alias("report_town"),
@@ -63,7 +64,7 @@ def pairs(reports: DataFrame, approvals: DataFrame, matching: config.Matching =
         extract.project_type(c("body"), c("project_name")).alias("approval_project_type"), extract.town(c("body")).alias("approval_town"), "approval_date", c("detected_file_type").alias("approval_kind"),
         "approval_title", c("evidence_text").alias("approval_evidence"), link.block_key(c("company"), matching.block).alias("block"),
     )
-    found = link.scored(link.candidates(left, right, "block"), matching)
+    found = link.scored(link.candidates(left, right, "block", alike=("report_company", "approval_company", matching.least_company)), matching)
     return link.assigned(found, "report_id", "approval_id", [c("report_id"), c("approval_id")], matching)
 
 

@@ -38,3 +38,8 @@ def test_no_python_and_no_product(spark, small, name):
 def test_aggregates_combine_before_the_shuffle(spark, small):
     text = plan(queries.doc_class_counts(spark, small))
     assert text.count("HashAggregate") >= 2 and "partial_count" in text
+
+
+@pytest.mark.parametrize("name", ["title_fallback_join", "mutual_best", "unmatched", "duplicate_sources"])
+def test_lookups_are_equal_joins(spark, small, name):
+    assert "NestedLoop" not in plan(queries.QUERIES[name](spark, small))

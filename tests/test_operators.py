@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docev import config
+from docev.functions import fuzzy
 from docev.operators import aggregate, audit, judge, link, rules, segment, stats
 from docev.sources import readers, sinks
 from docev.streaming import delivery
@@ -107,6 +108,55 @@ def test_containing(spark):
     assert {(r.id, r.k) for r in link.containing(texts, "x", needles, "needle").collect()} == expected
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_names_are_all_found(spark, seed):
+    draw = np.random.default_rng(seed)
+    names = [["".join(draw.choice(list("abcdefgh"), draw.integers(1, 12))) for _ in range(60)] for _ in range(2)]
+    left, right = ([*xs, xs[0], "", None, "a" * 40] for xs in names)
+    frames = spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string")
+    for least in (60.0, 70.0, 100.0):
+        expected = {(x, y) for x in left for y in right if x and y and fuzzy.similar(x, y) >= least}
+        found = [tuple(r) for r in link.similar_names(*frames, "l", "r", least).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+
+
+def test_candidates_by_similar_names(spark):
+    left = spark.createDataFrame([(1, "a", "xx"), (2, "z", "abcdefg"), (3, "z", None), (4, None, "abcdefg")], "l int, k string, mine string")
+    right = spark.createDataFrame([(10, "a", "none"), (11, "b", "abcdef"), (12, "b", "qrst"), (13, "c", "abcdef"), (14, None, "abcdefg")], "r int, k string, theirs string")
+    found = link.candidates(left, right, "k", alike=("mine", "theirs", 70.0))
+    assert sorted((x.l, x.r) for x in found.collect()) == [(1, 10), *((i, r) for i in (2, 4) for r in (11, 13, 14))]
+    assert link.candidates(left.limit(0), right, "k", alike=("mine", "theirs", 70.0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_title_lookup(spark, seed):
+    draw = np.random.default_rng(seed)
+    some = lambda n: ["".join(draw.choice(list("ab "), draw.integers(0, 9))) for _ in range(n)]
+    left, right = [*some(40), "aabb", "aabb", None], [*some(25), None, "a b a", "aba" * 9]
+    found = link.title_lookup(spark.createDataFrame(list(enumerate(left)), "id int, x string"), spark.createDataFrame(list(enumerate(right)), "o int, t string"), "x", "t", "o", core=4)
+
+    def plain(x):
+        bare = lambda s: s.replace(" ", "")
+        known = [(o, bare(t)) for o, t in enumerate(right) if t is not None]
+        if x is None:
+            return None, "none"
+        x = bare(x)
+        if equal := [o for o, t in known if t == x]:
+            return equal[0], "equal"
+        near = [o for o, t in known if len(x) >= 4 and len(t) >= 4 and (x[:4] in t or t[:4] in x)]
+        return (near[0], "contained") if near else (None, "none")
+
+    assert sorted((r.id, r.m.o if r.m else None, r.how) for r in found.collect()) == [(i, *plain(x)) for i, x in enumerate(left)]
+
+
+def test_query_sets_in_blocks(spark):
+    held = spark.createDataFrame([(k, "x" * k) for k in range(50)], "k int, x string")
+    for most in ({"rows": 7}, {"size": 300}, {}):
+        parts = [[r.k for r in b.collect()] for b in link.blocks(held, "x", **most)]
+        assert sorted(k for p in parts for k in p) == list(range(50)) and (len(parts) > 1) == bool(most)
+    assert [b.count() for b in link.blocks(held.limit(0), "x")] == [0]
+
+
 def plain_one_sided(edges):
     """Left rows in order, each over its edges in order; only clean pairs consume."""
     used, out = set(), []
