@@ -166,6 +166,25 @@ def allowed_codes(xs: Column, prefixes: Sequence[str]) -> Column:
     return F.filter(xs, lambda c: match.contains_any(c, prefixes))
 
 
+def library_code(x: Column) -> Column:
+    """The looser spelling of the rule library: no blanks, one kind of dash and slash, a dash before the
+    year only of codes without a slash."""
+    c = F.translate(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), "—－／ \u3000", "--/")
+    return F.regexp_replace(c, r"^([A-Z]{1,3}\d{2,6})(\d{4})$", "$1-$2")
+
+
+def library_valid(c: Column) -> Column:
+    return (F.length(c) >= 6) & c.rlike(r"^(GB|HJ|DB\d{2})")
+
+
+def fitting_codes(element: Column, xs: Column, fitting: Mapping[str, Sequence[str]] = config.ELEMENT_STANDARDS) -> Column:
+    """Codes that hold one of their element's prefixes; all codes of an unknown element."""
+    out = F.when(F.lit(False), xs)
+    for name, prefixes in fitting.items():
+        out = out.when(element == name, allowed_codes(xs, prefixes))
+    return out.otherwise(xs)
+
+
 def element_codes(element: Column, answer: Column, scoped: Mapping[str, Sequence[str]] = config.SCOPED_STANDARDS) -> Column:
     """The answer's codes; elements with a scope keep only codes that begin with its prefixes."""
     found = codes(answer)

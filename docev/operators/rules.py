@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import text
+from ..functions import extract, text
 from . import aggregate
 
 KEYS = ("industry_code", "element", "project_type")
@@ -68,9 +68,9 @@ def merged(candidates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return out.withColumn("limitations", F.when(n < 5, F.array(F.lit("样本有限，需更多项目验证"))).otherwise(F.array().cast("array<string>")))
 
 
-def experience(rules: DataFrame, industries: Sequence[str] | None = None, features: Mapping[str, Sequence[str]] = config.EXPERIENCE_FEATURES) -> DataFrame:
+def experience(rules: DataFrame, industries: Sequence[str] | None = None, features: Mapping[str, Sequence[str]] = config.EXPERIENCE_FEATURES, written: DataFrame | None = None) -> DataFrame:
     """Rules as experience pairs with a ladder of automation, the element's features and the kinds of
-    source that a level rests on."""
+    source that a level rests on; then the pairs ``written`` by hand, which may lack columns."""
     rows = rules if industries is None else rules.where(F.col("industry_code").isin(*industries))
     ladder = F.when((F.col("evidence_level") == "A") & (F.col("confidence") >= 0.8), "auto_rule").when(F.col("evidence_level").isin("A", "B"), "strong_hint").otherwise("human_attention")
     texts = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -79,24 +79,71 @@ def experience(rules: DataFrame, industries: Sequence[str] | None = None, featur
         own = own.when(F.col("element") == element, texts(terms))
     kinds = F.when(F.col("evidence_level") == "A", texts(config.EVIDENCE_SOURCES["A"])).when(F.col("evidence_level") == "B", texts(config.EVIDENCE_SOURCES["B"])).otherwise(texts(config.EVIDENCE_SOURCES["C"]))
     own = F.array_sort(F.array_distinct(F.concat(F.array("industry_code"), F.coalesce(own, F.array().cast("array<string>")))))
-    return rows.withColumn("automation_level", ladder).withColumn("experience_id", F.concat(F.lit("EXP_"), "rule_id")).withColumn("project_features", own).withColumn("evidence_source_type", kinds)
+    out = rows.withColumn("automation_level", ladder).withColumn("experience_id", F.concat(F.lit("EXP_"), "rule_id")).withColumn("project_features", own).withColumn("evidence_source_type", kinds)
+    return out if written is None else out.unionByName(written, allowMissingColumns=True)
+
+
+def _by_element(table: Mapping[str, Sequence[str]], otherwise: Sequence[str]) -> Column:
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    found = F.when(F.lit(False), texts(otherwise))
+    for name, xs in table.items():
+        found = found.when(F.col("element") == name, texts(xs))
+    return found.otherwise(texts(otherwise))
+
+
+def library(rows: DataFrame, order: str, version: int = 2) -> DataFrame:
+    """The library of rules by industry, element and project type (null: "?"), of rows with level (A, B or
+    C), project_id, answer and standards; of equal levels in ``order``, whose values are unique. Version 2
+    cleans the standards and keeps those that fit the element, wants three B rows for a B rule, and rests
+    confidence on projects; version 1 takes standards as they are and adds pollutants, measures and the
+    unrounded support ratio. Lists hold the first 5 answers of different beginnings, 10 standards and rows
+    and 20 projects, the sets sorted; a null or empty project counts for none."""
+    keys, none, new = list(KEYS), F.array().cast("array<string>"), version == 2
+    rows = rows.withColumns({k: F.coalesce(F.col(k), F.lit("?")) for k in keys}).withColumn("project", F.when(F.col("project_id") != "", F.col("project_id")))
+    at = (F.col("level"), F.col(order))
+    codes = F.filter(F.coalesce("standards", none), lambda c: c != "")
+    if new:
+        codes = extract.fitting_codes(F.col("element"), F.filter(F.transform(codes, extract.library_code), extract.library_valid))
+    told = rows.withColumn("answer", F.coalesce("answer", F.lit("")))
+    answers = aggregate.first_by_prefix(told, keys, "answer", *at, prefix=100 if new else 120, longer=30 if new else 20, n=5)
+    lists = {
+        "common_approval_requirement": answers.withColumn("values", F.transform("values", lambda x: F.substring(x, 1, 200 if new else 120))),
+        "common_standards": aggregate.first_list(rows.select(*keys, F.explode(codes).alias("x")).distinct(), keys, F.col("x"), 10, F.col("x")),
+        "source_project_ids": aggregate.first_list(rows.where("project is not null").select(*keys, "project").distinct(), keys, F.col("project"), 20, F.col("project")),
+        "source_qa_ids": aggregate.first_list(rows, keys, F.concat(F.coalesce("project_id", F.lit("")), F.lit("_"), "element"), 10, *at),
+    }
+    n_of = lambda level: F.count_if(F.col("level") == level).alias(level)
+    out = rows.groupBy(*keys).agg(F.struct(n_of("A"), n_of("B"), n_of("C"), F.count("*").alias("total")).alias("sample_counts"), F.count_distinct("project").alias("support_count"))
+    for name, found in lists.items():
+        out = out.join(found.withColumnRenamed("values", name), keys, "left").withColumn(name, F.coalesce(name, none))
+    a, b, c, total, n, element = (F.col(x) for x in ("sample_counts.A", "sample_counts.B", "sample_counts.C", "sample_counts.total", "support_count", "element"))
+    out = out.withColumn("evidence_level", F.when(a >= 3, "A").when(b >= (3 if new else 2), "B").otherwise("C"))
+    is_a, is_c = F.col("evidence_level") == "A", F.col("evidence_level") == "C"
+    sure = F.when(is_a, F.least(F.lit(1.0), n / 5)).otherwise(F.least(F.lit(0.6), n / 5))
+    if not new:
+        sure = F.when(is_a, F.least(F.lit(1.0), a / 5)).when(~is_c, F.least(F.lit(0.7), b / 5)).when(total >= 2, 0.3).otherwise(0.1)
+    few = F.format_string("样本数不足，仅%d个项目" + ("，不能作为行业稳定规律" if new else ""), n)
+    limits = F.array(F.when(n < 3, few), F.when(is_c, "证据等级为C，未通过原文证据审计" if new else "证据等级为C级，未通过原文证据审计"), F.when(c > a + b, "低可信样本占比过高"))
+    out = out.withColumns({
+        "rule_id": F.concat(F.lit("RULE_"), "industry_code", F.lit("_"), F.upper(element), F.lit("_"), F.substring("project_type", 1, 2)), "rule_type": F.concat(element, F.lit("_review_rule" if new else "_review")),
+        "rule_status": F.when((n >= 5) & ((a + b) * 10 >= total * 6), "strong_rule").when(n >= 3, "common_rule").when(n >= 2, "candidate_rule").otherwise("case_observation"), "confidence": sure,
+        "trigger_condition": F.array_compact(F.array(F.concat(F.lit("项目属于 "), "industry_code", F.lit(" 行业")), text.looked_up(element, config.LIBRARY_TRIGGERS[version - 1]))),
+        "review_checkpoints": _by_element(config.LIBRARY_CHECKPOINTS[version - 1], ["满足相关环保要求"]), "expected_report_content": _by_element(config.LIBRARY_CONTENT[version - 1], ["相关环保措施"]),
+        "limitations": F.array_compact(limits), "need_human_review": is_c,
+    })
+    if new:
+        return out
+    return out.withColumns({"common_pollutants": _by_element(config.LIBRARY_POLLUTANTS, []), "common_control_measures": _by_element(config.LIBRARY_MEASURES, []), "support_ratio": n / total})
 
 
 def behavior(rows: DataFrame) -> DataFrame:
     """Question rows (industry_code, element, standards, answer) with a behaviour rule: its trigger,
     checkpoints, expected content, the answer's start and the first standards."""
-    element, texts = F.col("element"), lambda xs: F.array(*[F.lit(x) for x in xs])
-
-    def by_element(table: Mapping[str, Sequence[str]], otherwise: Sequence[str]) -> Column:
-        found = F.when(F.lit(False), texts(otherwise))
-        for name, xs in table.items():
-            found = found.when(element == name, texts(xs))
-        return found.otherwise(texts(otherwise))
-
+    element = F.col("element")
     general = F.concat(F.lit("项目属于"), text.default(F.col("industry_code"), "?"), F.lit("行业"))
     return rows.withColumn("behavior_rule", F.struct(
         F.coalesce(text.looked_up(element, config.BEHAVIOR_TRIGGERS), general).alias("trigger_condition"),
-        by_element(config.BEHAVIOR_CHECKPOINTS, ["是否满足相关环保要求"]).alias("review_checkpoints"), by_element(config.BEHAVIOR_CONTENT, ["相关环保措施"]).alias("expected_report_content"),
+        _by_element(config.BEHAVIOR_CHECKPOINTS, ["是否满足相关环保要求"]).alias("review_checkpoints"), _by_element(config.BEHAVIOR_CONTENT, ["相关环保措施"]).alias("expected_report_content"),
         text.default(F.substring("answer", 1, 150)).alias("common_approval_requirement"), F.slice(F.coalesce("standards", F.array().cast("array<string>")), 1, 5).alias("common_standards"),
     ))
 

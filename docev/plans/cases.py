@@ -303,3 +303,58 @@ def error_taxonomy(spark, sf_dir):
     made = spark.createDataFrame(_ERRORS, "k int, task_level string, element string, industry_code string, error_types array<string>")
     rows = nation.join(F.broadcast(made), (F.col("n_nationkey") + F.col("k")) % 3 > 0).withColumn("sample_id", F.col("n_nationkey") * 10 + F.col("k"))
     return aggregate.error_tallies(rows).withColumn("share", F.round("share", 9)).withColumn("rate", F.round("rate", 9))
+
+
+_LIBRARY = [
+    (0, "C2929", "废水", "新建", "A", ["GB89781996", "DB44/26-2001", " GB 12348—2008"], "生活污水经化粪池预处理达到标准后排入市政管网，生产废水不得外排，冷却水循环使用"), (1, "C2929", "废水", "新建", "B", ["GB8978-1996", "DA001"], "短"),
+    (2, "C2929", "废水", "改扩建", "B", ["HJ/T 91-2002", ""], None), (3, "C3360", "噪声", "新建", "C", ["GB12348-2008", "GB／T34911-2017"], "厂界噪声执行工业企业厂界环境噪声排放标准三类标准，夜间不得生产，设备须减振"),
+    (4, "C3360", "生态", "新建", "C", None, ""), (5, None, "总量", "", "A", ["总量", "GB3096-2008"], "挥发性有机物总量控制指标由所在地镇街分配，不得突破批复给出的总量，并须备案"),
+    (6, "C3360", "危废", "搬迁扩建", "B", ["GB185972001", "GB18597-2023", "HJ2025-2012"], "危险废物须委托有资质的单位处置，暂存间须防风防雨防渗，并执行转移联单制度，台账保存五年"),
+]
+
+
+def _library_sql(version: int) -> str:
+    new = version == 2
+    code = "regexp_replace(translate(trim(c, chr(9) || chr(10) || ' 　'), '—－／ 　', '--/'), '^([A-Z]{1,3}[0-9]{2,6})([0-9]{4})$', '\\1-\\2')" if new else "c"
+    fits = " ".join(f"when '{e}' then " + " or ".join(f"contains(c, '{x}')" for x in xs) for e, xs in config.ELEMENT_STANDARDS.items())
+    kept = f"length(c) >= 6 and regexp_matches(c, '^(GB|HJ|DB[0-9]{{2}})') and case element {fits} else true end" if new else "c <> ''"
+    prefix, longer, cut = (100, 30, 200) if new else (120, 20, 120)
+    checks, content = ("case element " + " ".join(f"when '{e}' then {_quoted(';'.join(xs))}" for e, xs in t[version - 1].items()) + f" else '{other}' end" for t, other in ((config.LIBRARY_CHECKPOINTS, "满足相关环保要求"), (config.LIBRARY_CONTENT, "相关环保措施")))
+    more = " ".join(f"when '{e}' then ';{x}'" for e, x in config.LIBRARY_TRIGGERS[version - 1].items())
+    sure = "case when a >= 3 then least(1.0, n / 5) else least(0.6, n / 5) end" if new else "case when a >= 3 then least(1.0, a / 5) when b >= 2 then least(0.7, b / 5) when total >= 2 then 0.3 else 0.1 end"
+    few, poor = ("，不能作为行业稳定规律", "证据等级为C，未通过原文证据审计") if new else ("", "证据等级为C级，未通过原文证据审计")
+    return f"""with r as (select coalesce(industry, '?') as industry, element, kind, lvl, codes, coalesce(answer, '') as answer, n_nationkey * 10 + k as id, case when n_nationkey % 9 > 0 then 'p' || (n_nationkey % 9) else '' end as project
+  from nation join {_values(_LIBRARY, 'k, industry, element, kind, lvl, codes, answer')} on (n_nationkey + k) % 4 > 0 and (k <> 4 or n_nationkey < 2)),
+g as (select industry, element, kind, count(*) filter (lvl = 'A') as a, count(*) filter (lvl = 'B') as b, count(*) filter (lvl = 'C') as c, count(*) as total, count(distinct nullif(project, '')) as n from r group by all),
+s as (select distinct industry, element, kind, {code} as c from (select *, unnest(codes) as c from r)),
+st as (select industry, element, kind, string_agg(c, ';' order by c) as standards from (select * from s where {kept} qualify row_number() over (partition by industry, element, kind order by c) <= 10) group by all),
+q as (select *, row_number() over (partition by industry, element, kind order by lvl, id) as i from r), qs as (select industry, element, kind, string_agg(project || '_' || element, ';' order by i) as qa from q where i <= 10 group by all),
+w as (select * from q where length(answer) > {longer} qualify row_number() over (partition by industry, element, kind, answer[1:{prefix}] order by i) = 1),
+an as (select industry, element, kind, string_agg(answer[1:{cut}], ';' order by i) as answers from (select * from w qualify row_number() over (partition by industry, element, kind order by i) <= 5) group by all),
+pr as (select industry, element, kind, string_agg(distinct nullif(project, ''), ';' order by nullif(project, '')) as projects from r group by all)
+select 'RULE_' || industry || '_' || element || '_' || kind[1:2] as rule_id, case when n >= 5 and (a + b) * 10 >= total * 6 then 'strong_rule' when n >= 3 then 'common_rule' when n >= 2 then 'candidate_rule' else 'case_observation' end as rule_status,
+  case when a >= 3 then 'A' when b >= {3 if new else 2} then 'B' else 'C' end as lvl, round(({sure})::double, 6) as confidence, a, b, c, total, n, coalesce(standards, '') as standards, qa, coalesce(answers, '') as answers, coalesce(projects, '') as projects,
+  '项目属于 ' || industry || ' 行业' || case element {more} else '' end as triggers, {checks} as checkpoints, {content} as content,
+  concat_ws(';', case when n < 3 then '样本数不足，仅' || n || '个项目{few}' end, case when not (a >= 3 or b >= {3 if new else 2}) then '{poor}' end, case when c > a + b then '低可信样本占比过高' end) as limits
+from g left join st using (industry, element, kind) left join qs using (industry, element, kind) left join an using (industry, element, kind) left join pr using (industry, element, kind)"""
+
+
+def _library(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    made = spark.createDataFrame(_LIBRARY, "k int, industry_code string, element string, project_type string, level string, standards array<string>, answer string")
+    n = F.col("n_nationkey")
+    rows = nation.join(F.broadcast(made), ((n + F.col("k")) % 4 > 0) & ((F.col("k") != 4) | (n < 2)))
+    rows = rows.withColumn("qa", n * 10 + F.col("k")).withColumn("project_id", F.when(n % 9 > 0, F.concat(F.lit("p"), n % 9)).otherwise(""))
+    named = {"standards": "common_standards", "qa": "source_qa_ids", "answers": "common_approval_requirement", "projects": "source_project_ids", "triggers": "trigger_condition", "checkpoints": "review_checkpoints", "content": "expected_report_content", "limits": "limitations"}
+    found = rules.library(rows, "qa", version)
+    return found.select("rule_id", "rule_status", F.col("evidence_level").alias("lvl"), F.round("confidence", 6).alias("confidence"), F.col("sample_counts.A").alias("a"), F.col("sample_counts.B").alias("b"), F.col("sample_counts.C").alias("c"), "sample_counts.total", F.col("support_count").alias("n"), *[F.array_join(x, ";").alias(y) for y, x in named.items()])
+
+
+@query(_library_sql(1))
+def library_first(spark, sf_dir):
+    return _library(spark, sf_dir, 1)
+
+
+@query(_library_sql(2))
+def library_second(spark, sf_dir):
+    return _library(spark, sf_dir, 2)

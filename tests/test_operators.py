@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docev import config
-from docev.functions import fuzzy
+from docev.functions import extract, fuzzy
 from docev.operators import aggregate, audit, judge, link, rules, segment, stats
 from docev.sources import readers, sinks
 from docev.streaming import delivery
@@ -457,3 +457,45 @@ def test_tallies_count_a_sample_once(spark):
     assert got["error_type", "ERR_HAL"] == (3, 2, None, True) and got["severity", "CRITICAL"] == (4, 2, None, False)
     assert got["task_level", "L1"] == (2, 1, 2, False) and got["industry_code", None] == (0, 0, 1, False)
     assert not any(axis in ("error_type", "severity") and value is None for axis, value in got)
+
+
+# --- libraries of rules ---------------------------------------------------------------------
+
+RULE_ROWS = "qa int, industry_code string, element string, project_type string, project_id string, level string, standards array<string>, answer string"
+
+
+def test_library_on_edge_rows(spark):
+    for version in (1, 2):
+        assert rules.library(spark.createDataFrame([], RULE_ROWS), "qa", version).count() == 0
+    rows = [(1, None, None, None, None, None, None, None), (2, None, None, None, "", "C", [], ""), (3, "C1", "废水", "新建", "p", "A", ["GB8978-1996"], "长" * 50_000)]
+    found = {r.industry_code: r for r in rules.library(spark.createDataFrame(rows, RULE_ROWS), "qa").collect()}
+    assert found["?"].support_count == 0 and found["?"].sample_counts.total == 2 and found["?"].common_standards == [] and found["?"].evidence_level == "C"
+    assert found["C1"].common_approval_requirement == ["长" * 200] and found["C1"].rule_id == "RULE_C1_废水_新建"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_library_levels_and_lists(spark, version):
+    rows = [(k, "C1", "噪声", "新建", f"p{k:02d}", "B", ["GB123482008", "GB8978-1996"], f"{k % 7}" + "甲" * 150) for k in range(30)]
+    rows += [(100 + k, "C1", "废气", "新建", "q", "B", ["GB16297-1996"], "x") for k in range(2)]
+    found = {r.element: r for r in rules.library(spark.createDataFrame(rows, RULE_ROWS), "qa", version).collect()}
+    noise, air = found["噪声"], found["废气"]
+    assert noise.rule_status == "strong_rule" and noise.evidence_level == "B" and noise.confidence == (0.6 if version == 2 else 0.7)
+    assert noise.common_standards == (["GB12348-2008"] if version == 2 else ["GB123482008", "GB8978-1996"])
+    assert [x[0] for x in noise.common_approval_requirement] == list("01234") and len(noise.source_project_ids) == 20 and noise.source_qa_ids == [f"p{k:02d}_噪声" for k in range(10)]
+    assert air.evidence_level == ("C" if version == 2 else "B") and air.confidence == (0.2 if version == 2 else 0.4) and air.common_approval_requirement == []
+    edges = {(r.head, r.relation, r.tail) for r in rules.library_triples(rules.library(spark.createDataFrame(rows, RULE_ROWS), "qa", version)).collect()}
+    assert ("RULE_C1_噪声_新建", "SUPPORTED_BY", "p00") in edges and ("RULE_C1_废气_新建", "USES_STANDARD", "GB16297-1996") in edges
+
+
+def test_experience_takes_written_pairs(spark):
+    made = spark.createDataFrame([("R1", "C1", "废水", "A", 0.9)], "rule_id string, industry_code string, element string, evidence_level string, confidence double")
+    written = spark.createDataFrame([("EXP_X", "C1", "strong_hint")], "experience_id string, industry_code string, automation_level string")
+    found = {r.experience_id: r for r in rules.experience(made, written=written).collect()}
+    assert found["EXP_R1"].automation_level == "auto_rule" and found["EXP_X"].automation_level == "strong_hint" and found["EXP_X"].rule_id is None
+
+
+def test_library_codes(spark):
+    said = [" GB 12348—2008\t", "GB123482008", "GB／T34911-2017", "DB44/26-2001", "DA001", "HJ/T912002", "", None]
+    frame = spark.createDataFrame([(x,) for x in said], "x string").select(extract.library_code(F.col("x")).alias("c"))
+    assert [r.c for r in frame.collect()] == ["GB12348-2008", "GB12348-2008", "GB/T34911-2017", "DB44/26-2001", "DA001", "HJ/T912002", "", None]
+    assert [bool(r.v) for r in frame.select(extract.library_valid(F.col("c")).alias("v")).collect()] == [True, True, True, True, False, True, False, False]
