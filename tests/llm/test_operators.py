@@ -636,6 +636,19 @@ def test_leaks_and_paraphrases(spark, none):
     assert decontam.find(none, bench, stage(spark)).count() == 0 and decontam.find(frame, bench.limit(0), stage(spark)).count() == 0
 
 
+def test_short_items_are_found_verbatim(spark):
+    """Against a search for the words themselves, in texts that are full of the benchmark's words."""
+    draw = np.random.default_rng(4)
+    words = [f"v{k}" for k in range(1500)]
+    some = lambda n: " ".join(draw.choice(words, n))
+    items = [(k, some(int(n))) for k, n in enumerate(draw.integers(4, decontam.SHORT + 1, 150))] + [(1000 + k, some(40)) for k in range(60)]
+    docs = [(k, some(int(draw.integers(0, 200))) + f" {items[k % 150][1]} " + some(int(draw.integers(0, 200)))) for k in range(600)] + [(1000 + k, some(200)) for k in range(200)]
+    found = {(r.doc_id, r.item_id) for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), stage(spark)).collect()}
+    verbatim = {(d, i) for d, text in docs for i, item in items if f" {item} " in f" {text} "}
+    assert len(verbatim) >= 600 and len(verbatim & found) >= 0.99 * len(verbatim)
+    assert len({d for d, _ in found} - {d for d, _ in verbatim}) <= 2
+
+
 def test_leaks_beside_clashing_columns(spark):
     item = " ".join(f"q{k * 7 % 40}" for k in range(40))
     frame = spark.createDataFrame([(1, f"a b {item} c", "x", 2), (2, "a b c", "y", 3)], "doc_id long, text string, item_id string, terms int")
