@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, rules, substrings, tokens
+from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, ranking, rules, substrings, tokens
 from .common import documents
 
 
@@ -76,6 +76,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(documents(spark, sf_dir), benchmark, common.Stage(spark, "decontam"))
 
 
+def op12_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_ = spark.read.parquet(f"{sf_dir}/sale_lines.parquet")
+    one = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    group = lambda c: F.when(one, -1).otherwise(c).cast("long")
+    month = 100 * F.year("shipped_at") + F.month("shipped_at")
+    rows = lines_.select(
+        group(F.col("vendor_id")).alias("vendor_id"), group(F.coalesce(F.col("item_id") % 5, F.lit(-1))).alias("part"), group(F.coalesce(month, F.lit(-1))).alias("month"),
+        F.floor(F.col("quantity") / 10).cast("long").alias("tens"), F.floor(100 * F.col("discount") + 0.5).cast("long").alias("percent"),
+        F.col("sale_id").cast("long").alias("sale_id"), F.col("line_no").cast("long").alias("line_no"), F.col("quantity").cast("long").alias("quantity"), F.floor(100 * F.col("amount") + 0.5).cast("long").alias("amount_cents"),
+    )
+    pair = [("tens", "desc", "first"), ("percent", "asc", "first")]
+    rest = [(c, "asc", "last") for c in ("sale_id", "line_no", "quantity", "amount_cents")]
+    return ranking.ranked(rows, ["vendor_id", "part", "month"], pair, rest, 2, common.Stage(spark, "ranking")).drop("tens")
+
+
 _MIX_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -183,6 +198,25 @@ select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::big
 """
 
 
+_RANKING_SQL = """
+with t as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when (c & 1) = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc
+), i as (
+  select sale_id from (select distinct sale_id from sale_lines where sale_id is not null), t
+  where xor(list_reduce(list_transform(string_split(sale_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) % 5 = 0
+), l as (
+  select case when i.sale_id is not null then -1 else vendor_id end as vendor_id, case when i.sale_id is not null then -1 else coalesce(item_id % 5, -1) end as part,
+         case when i.sale_id is not null then -1 else coalesce(100 * year(shipped_at) + month(shipped_at), -1) end as month,
+         floor(quantity / 10) as tens, floor(100 * discount + 0.5)::bigint as percent, s.sale_id, line_no, quantity, floor(100 * amount + 0.5)::bigint as amount_cents
+  from sale_lines s left join i on s.sale_id = i.sale_id
+), r as (
+  select *, row_number() over (partition by vendor_id, part, month order by tens desc nulls first, percent asc nulls first, sale_id asc nulls last, line_no asc nulls last, quantity asc nulls last, amount_cents asc nulls last) as pos,
+         count(*) over (partition by vendor_id, part, month, tens, percent) as tied from l
+)
+select vendor_id::bigint as vendor_id, part::bigint as part, month::bigint as month, pos, pos as place, sale_id, line_no::bigint as line_no, quantity::bigint as quantity, percent, amount_cents, tied from r where pos <= 2
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -195,8 +229,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_score": op9_quality_score,
         "op10_decontaminate": op10_decontaminate,
+        "op12_grouped_ranking": op12_grouped_ranking,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX_SQL, "op2_lm_score": _LM_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL, "op8_substring_dedup": _SUBSTRINGS_SQL}
+    return {"op1_mix_sources": _MIX_SQL, "op2_lm_score": _LM_SQL, "op3_line_dedup": _lines_sql(), "op5_quality_rules": _RULES_SQL, "op8_substring_dedup": _SUBSTRINGS_SQL, "op12_grouped_ranking": _RANKING_SQL}
