@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, ranking, rules, substrings, tokens
+from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, ranking, rules, simhash, substrings, tokens
 from .common import documents
 
 
@@ -76,6 +76,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(documents(spark, sf_dir), benchmark, common.Stage(spark, "decontam"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find(documents(spark, sf_dir).select("doc_id", "text"), common.Stage(spark, "simhash"))
+
+
 def op12_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_ = spark.read.parquet(f"{sf_dir}/sale_lines.parquet")
     one = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -229,6 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_score": op9_quality_score,
         "op10_decontaminate": op10_decontaminate,
+        "op11_simhash": op11_simhash,
         "op12_grouped_ranking": op12_grouped_ranking,
     }
 
