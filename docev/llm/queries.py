@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, ranking, rules, simhash, substrings, tokens
+from . import classifier, common, decontam, jaccard, lines, lm, mixing, pii, ranking, repair, rules, simhash, substrings, tokens
 from .common import documents
 
 
@@ -95,6 +95,11 @@ def op12_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(rows, ["vendor_id", "part", "month"], pair, rest, 2, common.Stage(spark, "ranking")).drop("tens")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, stage = spark.read.parquet(f"{sf_dir}/conversations.parquet"), common.Stage(spark, "repair")
+    return repair.audits(repair.repair(repair.damaged(rows), stage), rows, stage)
+
+
 _MIX_SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -235,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": op10_decontaminate,
         "op11_simhash": op11_simhash,
         "op12_grouped_ranking": op12_grouped_ranking,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
