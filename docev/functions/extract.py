@@ -214,7 +214,7 @@ def without_other_codes(x: Column) -> Column:
 
 def sound_codes(xs: Column, least: int = 5) -> Column:
     """Without empty, bare and outlet codes."""
-    return F.filter(xs, lambda c: ~(c.rlike(r"^(DA00\d|G[1-3]|DB44|DB|HJ)?$")) & (F.length(c) >= least))
+    return F.filter(xs, lambda c: ~c.isin(*config.CHECK_GARBAGE) & (F.length(c) >= least))
 
 
 def with_cited(xs: Column, answer: Column) -> Column:
@@ -237,7 +237,7 @@ def standard_code(x: Column) -> Column:
 
 def loose_codes(x: Column) -> Column:
     """Everything that looks like a dated code, sorted; the class of letters over-matches."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"([GBDHJ][A-Z0-9/.\-]*-\d{4})"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(config.CLAUSE_CODE), F.lit(0))))
 
 
 def routes_differ(answer: Column, evidence: Column, pattern: str = config.DISCHARGE, size: int = 8) -> Column:

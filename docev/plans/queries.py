@@ -436,10 +436,11 @@ def audit_tiers(spark, sf_dir):
     return _issued(spark, sf_dir).withColumn("issues", text.joined(F.col("issues")))
 
 
-@query("select doc_id, 'n_chars' as error_field, 'not_length' as error_reason from documents where n_chars <> length(text) union all select doc_id, 'source', 'not_by_id' from documents where source <> 'src' || (doc_id % 20)")
+@query("select doc_id, 'n_chars' as error_field, 'not_bytes' as error_reason from documents where n_chars <> strlen(text) union all select doc_id, 'lang', 'without_' || lang || '_words' from documents where (lang = 'en' and not contains(text, ' the ')) or (lang = 'fr' and not contains(text, ' la '))")
 def field_issues(spark, sf_dir):
     issue = lambda f, r: F.struct(F.lit(f).alias("error_field"), F.lit(r).alias("error_reason"))
-    found = match.present([F.when(F.col("n_chars") != F.length("text"), issue("n_chars", "not_length")), F.when(F.col("source") != F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")), issue("source", "not_by_id"))])
+    lacking = lambda lang, word: F.when((F.col("lang") == lang) & ~F.contains("text", F.lit(word)), issue("lang", f"without_{lang}_words"))
+    found = match.present([F.when(F.col("n_chars") != F.octet_length("text"), issue("n_chars", "not_bytes")), lacking("en", " the "), lacking("fr", " la ")])
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")
 
 
@@ -586,11 +587,11 @@ def formatted_ids(spark, sf_dir):
     return rows.select("n_nationkey", text.numbered("N%06d", [F.col("n_name")]).alias("id"), text.rendered("about %s (%s)", F.col("n_name"), F.col("r_name")).alias("question"))
 
 
-@query("select doc_id, element, array_to_string(list_filter(string_split(text, '.'), lambda s: case element when 'license' then contains(s, 'License') else contains(s, '@') end), '；')[1:500] as part from documents cross join (select unnest(['contact', 'license']) as element) where contains(text, 'License') and contains(text, '@')")
+@query("select doc_id, element, array_to_string(list_filter(string_split(text, '.'), lambda s: case element when 'license' then contains(s, 'License') else contains(s, '@') end), '；')[1:500] as part from documents cross join (select unnest(['contact', 'license']) as element) where contains(text, 'License') or contains(text, '@')")
 def element_fanout(spark, sf_dir):
     own = {"contact": ["@"], "license": ["License"]}
     x = F.col("text")
-    rows = table(spark, sf_dir, "documents").where(F.contains(x, F.lit("License")) & F.contains(x, F.lit("@"))).select("doc_id", "text")
+    rows = table(spark, sf_dir, "documents").where(F.contains(x, F.lit("License")) | F.contains(x, F.lit("@"))).select("doc_id", "text")
     rows = segment.fanned(rows, list(own))
     sentences = F.split(x, F.lit("\\."))
     part = F.when(F.col("element") == "license", F.filter(sentences, lambda s: F.contains(s, F.lit("License")))).otherwise(F.filter(sentences, lambda s: F.contains(s, F.lit("@"))))
