@@ -173,11 +173,47 @@ def running_until(frame: DataFrame, keys: Sequence[str], size: Column, order: Se
     return frame.withColumn("held", held).withColumn("rank", rank).where((F.col("held") < cap) | (F.col("rank") == 1))
 
 
-def average_rank(value: Column, keys: Sequence[str] = ()) -> Column:
-    """Ranks with ties averaged."""
-    window = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
-    return F.rank().over(window) + (F.count("*").over(ties) - 1) / 2
+def before(frame: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, name: str) -> DataFrame:
+    """The frame with the sum of ``size`` over the rows of its group that come before in a total order. Rows are dealt to
+    ranges, summed within (group, range), and every range adds what the ranges before it hold of its first group: no
+    group goes to one task, and no window lacks a key. One row a range, at most, is broadcast."""
+    by = [*[F.col(k) for k in keys], *order]
+    placed = frame.repartitionByRange(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("__range", F.spark_partition_id())
+    placed = session.checkpointed(placed)
+    sums = placed.groupBy(*keys, "__range").agg(F.sum(size).alias("__sum"))
+    if keys:
+        earlier = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+        carries = sums.withColumn("__carry", earlier).where("__carry is not null")
+    else:
+        held, total = [], 0
+        for r in sorted(sums.collect(), key=lambda r: r["__range"]):  # one row a range
+            held.append((r["__range"], total))
+            total += r["__sum"]
+        carries = frame.sparkSession.createDataFrame(held, "__range int, __carry long")
+    carries = carries.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__at"), "__carry")
+    local = F.sum(size).over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    same = placed["__range"] == F.col("__at")
+    for k in keys:
+        same = same & placed[k].eqNullSafe(F.col(f"__{k}"))
+    joined = placed.withColumn("__local", local).join(F.broadcast(carries), same, "left")
+    return joined.withColumn(name, F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))).drop("__range", "__local", "__at", "__carry", *[f"__{k}" for k in keys])
+
+
+def value_ranks(frame: DataFrame, value: str, keys: Sequence[str] = (), *sums: Column) -> DataFrame:
+    """One row for each group and value: its count n, ``sums`` and the rank that its rows share, ties averaged.
+    Values are counted before anything is ordered."""
+    counted = frame.groupBy(*keys, value).agg(F.count("*").alias("n"), *sums)
+    return before(counted, keys, [F.col(value)], "n", "__before").withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2).drop("__before")
+
+
+def average_ranks(frame: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows with their rank within their group, ties averaged: the values' ranks, joined back."""
+    ranks = value_ranks(frame, value, keys).select(*[F.col(c).alias(f"__{c}") for c in (*keys, value)], F.col("rank").alias(name)).hint("merge")
+    same = None
+    for c in (*keys, value):
+        one = frame[c].eqNullSafe(ranks[f"__{c}"])
+        same = one if same is None else same & one
+    return frame.join(ranks, same).drop(*[f"__{c}" for c in (*keys, value)])
 
 
 def carried(value: Column, keys: Sequence[str], *order: Column) -> Column:

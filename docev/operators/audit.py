@@ -264,24 +264,6 @@ def chain(claims: DataFrame, rows: DataFrame, empty: Sequence[str] = config.EMPT
     return out.withColumn("status", status).withColumn("evidence_score", score).withColumn("trace", trace)
 
 
-def traced(claims: DataFrame, lines: DataFrame, priority: Mapping[str, int], guarded: Sequence[str] = ("report", "approval"), least: int = 2) -> DataFrame:
-    """Each claim with the first line that supports it, by source priority, file and line. A piece that a
-    line holds begins with one of the line's runs of four characters, so claims meet lines by those; the
-    full test follows. A line of another project doesn't support a claim, a line of no project may; a
-    line of a historical case supports it indirectly. Claims under four characters are never supported."""
-    pieces = match.claim_pieces(F.col("claim"))
-    asked = claims.withColumn("run", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.substring(p, 1, 4)))))
-    held = lines.withColumn("order", text.looked_up(F.col("source_type"), {k: str(v) for k, v in priority.items()}).cast("int"))
-    held = held.select("order", "source_type", "source_file", F.col("project_id").alias("line_project"), "line_start", F.col("text").alias("quote"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("quote") - 3, F.lit(1))), lambda i: F.substring("quote", i, 4)))
-    pairs = asked.join(held.withColumn("run", F.explode(runs)), "run").drop("run").distinct()
-    mine, theirs = text.default(F.col("project_id")), text.default(F.col("line_project"))
-    own = ~F.col("source_type").isin(*guarded) | (mine == "") | (theirs == "") | F.contains(mine, theirs) | F.contains(theirs, mine)
-    good = pairs.where(own & match.supported(F.col("claim"), F.col("quote"), least))
-    first = good.groupBy("qa_id", "claim").agg(F.min_by(F.struct("source_type", "source_file", "line_start", "quote"), F.struct("order", "source_file", "line_start")).alias("s"))
-    return claims.join(first, ["qa_id", "claim"], "left").withColumn("support", F.when(F.col("s.source_type") == "historical_case", "indirect").when(F.col("s").isNotNull(), "direct").otherwise("unsupported")).select(*claims.columns, "support", "s.*")
-
-
 def rule_review(rules: DataFrame) -> DataFrame:
     """Rules (support_count, common_standards, trigger_condition, review_checkpoints, n_a, element,
     expected_report_content, rule_status) with review_score, the mean of six sub-scores, review_issues,

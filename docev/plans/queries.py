@@ -498,14 +498,14 @@ _USERS = "u as (select user_id, count(*) filter (event_type = 'click') as a, cou
 
 @query(f"with {_USERS} select user_id, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0::double as r from u")
 def rank_ties(spark, sf_dir):
-    return _user_pairs(spark, sf_dir).select("user_id", aggregate.average_rank(F.col("a")).alias("r"))
+    return aggregate.average_ranks(_user_pairs(spark, sf_dir).select("user_id", "a"), "a", "r").select("user_id", "r")
 
 
 @query(f"""with {_USERS}, d as (select a - b as d from u), k as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0::double as r from d where d <> 0)
 select (select median(d)::double from d) as median_diff, (select count(*) from k) as n, sum(case when d > 0 then r else 0 end)::double as w_plus, sum(case when d < 0 then r else 0 end)::double as w_minus,
   least(sum(case when d > 0 then r else 0 end), sum(case when d < 0 then r else 0 end))::double as w from k""")
 def wilcoxon(spark, sf_dir):
-    return stats.wilcoxon(_user_pairs(spark, sf_dir), "a", "b")
+    return stats.wilcoxon(_user_pairs(spark, sf_dir), "a", "b").drop("p")
 
 
 @query(f"""with {_USERS}, d as (select (a - b)::double as d from u), s as (select count(*) as n, avg(d) as m, stddev_samp(d) as sd from d)

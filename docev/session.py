@@ -23,13 +23,23 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors; a temporary one is made only where none is set
+    and the master is local."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if not path and held.isDefined():
+        return held.get()
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or f"file://{tempfile.mkdtemp(prefix='docev-')}"
+    if not held.isDefined():
+        context.setCheckpointDir(path)
+    return path
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the cluster names; a temporary one is
-    made only where none is set and the master is local."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        path = context.getConf().get("spark.checkpoint.dir")
-        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='docev-')}")
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared(frame.sparkSession)
     return frame.checkpoint()

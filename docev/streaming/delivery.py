@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.state import StateTable
+
 
 def incoming(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet", files: int = 100) -> DataFrame:
     """Files as they arrive, so many a batch."""
@@ -42,3 +44,10 @@ def merged(frame: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ne
         batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), newest).alias("r")).select(*keys, "r.*").write.mode("append").parquet(path)
 
     return frame.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintained(frame: DataFrame, table: StateTable, source: str, checkpoint: str) -> StreamingQuery:
+    """A stream of changes merged into a stored state. A batch's number is committed with its rows, so that a batch
+    that is delivered again after a failure changes nothing."""
+    store = lambda batch, number: table.merge(batch, source, number)
+    return frame.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docev import config
 from docev.functions import extract, fuzzy
-from docev.operators import aggregate, audit, judge, link, rules, segment, stats
+from docev.operators import aggregate, audit, judge, link, rules, segment, stats, tracing
 from docev.sources import readers, sinks
 from docev.streaming import delivery
 
@@ -215,7 +215,7 @@ def test_running_cap_and_ranks(spark):
     frame = spark.createDataFrame([(1, 1, 600), (1, 2, 5), (2, 1, 519), (2, 2, 1), (2, 3, 1)], "g int, k int, n int")
     found = {(r.g, r.k) for r in aggregate.running_until(frame, ["g"], F.col("n"), [F.col("k")], 520).collect()}
     assert found == {(1, 1), (2, 1), (2, 2)}
-    ranks = spark.createDataFrame([(1,), (2,), (2,), (3,)], "v int").select(aggregate.average_rank(F.col("v")).alias("r")).collect()
+    ranks = aggregate.average_ranks(spark.createDataFrame([(1,), (2,), (2,), (3,)], "v int"), "v", "r").select("r").collect()
     assert sorted(r.r for r in ranks) == [1.0, 2.5, 2.5, 4.0]
 
 
@@ -282,12 +282,12 @@ def test_traces(spark):
     claims = spark.createDataFrame([("q1", "废水经隔油处理，排入市政管网", "p1"), ("q2", "没有证据的说法，谁也没说过", "p1")], "qa_id string, claim string, project_id string")
     text = "废水经隔油处理，排入市政管网，达标"
     lines = spark.createDataFrame([("approval", "f2", "p1", 3, text), ("report", "f1", "p1", 9, text), ("report", "f1", "p2", 1, text)], "source_type string, source_file string, project_id string, line_start int, text string")
-    found = {r.qa_id: (r.support, r.source_type, r.line_start) for r in audit.traced(claims, lines, {"report": 1, "approval": 2}).collect()}
+    found = {r.qa_id: (r.support, r.source_type, r.line_start) for r in tracing.traced(claims, lines, {"report": 1, "approval": 2}).collect()}
     assert found == {"q1": ("direct", "report", 9), "q2": ("unsupported", None, None)}
     inside = spark.createDataFrame([("report", "f", "p1", 1, "该项目废水经隔油处理后再排入市政管网中，达标")], lines.schema)
-    assert {r.qa_id: r.support for r in audit.traced(claims, inside, {"report": 1}).collect()} == {"q1": "direct", "q2": "unsupported"}
+    assert {r.qa_id: r.support for r in tracing.traced(claims, inside, {"report": 1}).collect()} == {"q1": "direct", "q2": "unsupported"}
     short = spark.createDataFrame([("q3", "达标", "p1")], claims.schema)
-    assert audit.traced(short, inside, {"report": 1}, least=1).first().support == "unsupported" and audit.traced(short, inside, {"report": 1}).first().support == "unsupported"
+    assert tracing.traced(short, inside, {"report": 1}, least=1).first().support == "unsupported" and tracing.traced(short, inside, {"report": 1}).first().support == "unsupported"
 
 
 def test_scores(spark):
