@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config, session
 from ..functions import fuzzy, match, text
+from . import assign
 
 #: Rows and bytes of a query set that are broadcast at once.
 BLOCK_ROWS, BLOCK_BYTES = 100_000, 64 << 20
@@ -107,26 +109,12 @@ def scored(pairs: DataFrame, matching: config.Matching = config.Matching()) -> D
     return rows.withColumn("match_score", score).withColumn("rejects", rejects)
 
 
-def one_to_one(edges: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
-    """The edges that a greedy pass in a total order takes, each consuming both its ends. An edge that
-    comes first at both ends is taken by any such pass, so rounds of mutual firsts, with the consumed
-    ends removed, give the same set; every round takes at least the first edge left."""
-    rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    open_, taken = session.checkpointed(edges), None
-    while not open_.isEmpty():
-        ranked = open_.withColumn("__l", rank(left)).withColumn("__r", rank(right))
-        firsts = session.checkpointed(ranked.where("__l = 1 and __r = 1").drop("__l", "__r"))
-        taken = firsts if taken is None else session.checkpointed(taken.unionByName(firsts))
-        open_ = session.checkpointed(open_.join(firsts.select(left), left, "left_anti").join(firsts.select(right), right, "left_anti"))
-    return edges.limit(0) if taken is None else taken
-
-
 def assigned(pairs: DataFrame, left: str, right: str, order: Sequence[Column], matching: config.Matching = config.Matching()) -> DataFrame:
     """pair_status: clean pairs one to one; other pairs stay as review or mismatch unless an end was
     consumed by a clean pair that comes before them. ``order`` ends with unique ids."""
     ranked = session.checkpointed(pairs.withColumn("__rank", F.struct(-F.col("match_score"), *order)))
     eligible = (F.col("match_score") >= matching.clean) & (F.size("rejects") == 0)
-    clean = one_to_one(ranked.where(eligible), left, right, [F.col("__rank")])
+    clean = assign.one_to_one(ranked.where(eligible), left, right, [F.col("__rank")])
     mark = lambda key: clean.select(F.col(key), F.col("__rank").alias(f"__{key}"))
     rest = ranked.join(clean.select(left, right), [left, right], "left_anti").join(mark(left), left, "left").join(mark(right), right, "left")
     free = lambda key: F.col(f"__{key}").isNull() | (F.col("__rank") < F.col(f"__{key}"))
@@ -147,34 +135,6 @@ def best_right(pairs: DataFrame, left: Sequence[str], score: Column, tie: Column
     return best.select(*left, "b.*", "best_score")
 
 
-def one_sided(edges: DataFrame, left: str, right: str, left_order: str, right_order: str, score: str, company: str,
-              least: float = 30, clean: float = 90, review: float = 80) -> DataFrame:
-    """Left rows in order each take the best right row still free among their edges (the first of equals
-    by ``right_order``; keys of left rows and orders are one to one). A pair is clean from ``clean`` of the
-    company's or the whole score, and consumes its right row; from ``review`` it is kept for review and
-    leaves the right row free; below, the left row has none.
-
-    The fold is done in rounds. A left row is settled once no earlier open row could still consume its
-    choice, so that the order's result is kept; the earliest open row is always settled, and as many
-    rounds are needed as the longest chain of rows that wait for one another."""
-    c, took = F.col, (F.col(company) >= clean) | (F.col(score) >= clean)
-    open_ = edges.where((c(company) >= least) & (c(score) > 0)).withColumn("__clean", took)
-    open_ = session.checkpointed(open_)
-    pairs = []
-    while not open_.isEmpty():
-        columns = [F.col(x) for x in open_.columns]
-        best = open_.groupBy(left).agg(F.max_by(F.struct(*columns), F.struct(c(score), -c(right_order))).alias("b")).select("b.*")
-        threat = open_.where("__clean").groupBy(right).agg(F.min(left_order).alias("__first"))
-        settled = best.join(threat, right, "left").where(c("__first").isNull() | (c("__first") >= c(left_order))).drop("__first")
-        settled = session.checkpointed(settled)
-        pairs.append(settled.where(c("__clean") | (c(score) >= review)))
-        consumed = settled.where("__clean").select(right, c(left_order).alias("__taken"))
-        open_ = open_.join(settled.select(left), left, "left_anti").join(consumed, right, "left")
-        open_ = session.checkpointed(open_.where("__taken is null or __taken > " + f"`{left_order}`").drop("__taken"))  # earlier rows still see it
-    found = reduce(DataFrame.unionByName, pairs) if pairs else open_
-    return found.withColumn("pair_status", F.when(c("__clean"), "clean").otherwise("needs_review")).drop("__clean").select(*edges.columns, "pair_status")
-
-
 def blocks(frame: DataFrame, *sized: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> list[DataFrame]:
     """A query set in blocks that are small enough to broadcast: counted rows, and counted bytes of the
     ``sized`` columns. Most sets are one block."""
@@ -246,11 +206,21 @@ def last_by(frame: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return frame.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def region_paths(regions: DataFrame, depth: int = 6, by: str = "/") -> DataFrame:
-    """code and the names from the root down, walked at most ``depth`` levels (a cycle ends there)."""
-    held = regions.select(F.col("code").alias("up"), F.col("name").alias("up_name"), F.col("parent_code").alias("next"))
-    rows = regions.select("code", F.array("name").alias("names"), F.col("parent_code").alias("next_code"))
-    for _ in range(depth):
-        rows = rows.join(held, rows["next_code"] == held["up"], "left")
-        rows = rows.select("code", F.when(F.col("up").isNotNull(), F.concat(F.array("up_name"), "names")).otherwise(F.col("names")).alias("names"), F.col("next").alias("next_code"))
-    return rows.select("code", F.array_join("names", by).alias("path"))
+def region_paths(regions: DataFrame, by: str = "/", most: int = 1_000) -> DataFrame:
+    """code and the names from the root down, by a recursive walk from the roots (rows without a parent, or whose parent
+    isn't there), however deep, up to ``most`` levels. Codes on a cycle, or below one, have no root: their path is the walk
+    upwards until a code comes again. Codes are unique."""
+    spark, name = regions.sparkSession, f"regions_{uuid.uuid4().hex}"
+    held = session.checkpointed(regions.select("code", "name", "parent_code"))
+    held.createOrReplaceTempView(name)
+    down = spark.sql(f"""with recursive walk(code, names) max recursion level {most} as (
+  select r.code, array(r.name) from {name} r left anti join {name} u on r.parent_code = u.code
+  union all select r.code, concat(w.names, array(r.name)) from walk w join {name} r on r.parent_code = w.code
+) select code, names from walk""")
+    down = session.checkpointed(down)
+    held.join(down, "code", "left_anti").createOrReplaceTempView(f"{name}_loops")
+    up = spark.sql(f"""with recursive walk(code, names, seen, next_code) max recursion level {most} as (
+  select code, array(name), array(code), parent_code from {name}_loops
+  union all select w.code, concat(array(r.name), w.names), concat(w.seen, array(r.code)), r.parent_code from walk w join {name} r on r.code = w.next_code where not array_contains(w.seen, r.code)
+) select code, max_by(names, size(names)) as names from walk group by code""")
+    return down.unionByName(up).select("code", F.array_join("names", by).alias("path"))

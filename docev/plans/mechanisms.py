@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import aggregate, state, stats, tracing
+from ..operators import aggregate, assign, link, state, stats, tracing
 from .queries import query, table
 
 # --- stored state ----------------------------------------------------------------------------
@@ -96,3 +96,35 @@ def wilcoxon_groups(spark, sf_dir) -> DataFrame:
 def amount_intervals(spark, sf_dir) -> DataFrame:
     """Bootstrap intervals of the lines' amounts by flag, over all lines."""
     return stats.bootstrap(table(spark, sf_dir, "sale_lines"), "amount", ["flag"], resamples=1000)
+
+
+# --- trees -----------------------------------------------------------------------------------
+
+
+@query("""with recursive t as (select client_id::varchar as code, coalesce(name, '?') as name, case when master_id <> client_id then master_id::varchar end as parent_code from clients),
+down as (select code, name as path from t where parent_code is null or parent_code not in (select code from t) union all select t.code, down.path || ' < ' || t.name from down join t on t.parent_code = down.code),
+up as (select code, name as path, [code] as seen, parent_code as next_code from t where code not in (select code from down)
+  union all select up.code, t.name || ' < ' || up.path, list_append(seen, t.code), t.parent_code from up join t on t.code = up.next_code where not list_contains(seen, t.code))
+select code, path from down union all select code, arg_max(path, len(seen)) from up group by code""")
+def client_paths(spark, sf_dir) -> DataFrame:
+    """Every client's names from its first master down."""
+    clients = table(spark, sf_dir, "clients")
+    parent = F.when(F.col("master_id") != F.col("client_id"), F.col("master_id").cast("string"))
+    return link.region_paths(clients.select(F.col("client_id").cast("string").alias("code"), F.coalesce("name", F.lit("?")).alias("name"), parent.alias("parent_code")), " < ")
+
+
+# --- assignment ------------------------------------------------------------------------------
+
+
+def client_vendors(spark, sf_dir) -> DataFrame:
+    """Clients and the vendors that they bought from, with a score by the pieces bought."""
+    sales, lines = table(spark, sf_dir, "sales").select("sale_id", "client_id").distinct(), table(spark, sf_dir, "sale_lines").where("quantity > 0").select("sale_id", "vendor_id", "quantity")
+    pieces = sales.join(lines, "sale_id").where("client_id is not null and vendor_id is not null").groupBy("client_id", "vendor_id").agg(F.sum("quantity").alias("n"))
+    return pieces.select("client_id", "vendor_id", F.least(F.lit(100.0), 60.0 + F.col("n")).alias("score"), F.lit(40.0).alias("company"))
+
+
+@query()
+def vendor_clients(spark, sf_dir) -> DataFrame:
+    """Clients in order of id each take the vendor that they bought most from and that is still free: clean from 90, for
+    review from 80."""
+    return assign.one_sided(client_vendors(spark, sf_dir), "client_id", "vendor_id", "client_id", "vendor_id", "score", "company").select("client_id", "vendor_id", "score", "pair_status")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, fuzzy, match, spans, text
-from ..operators import aggregate, audit, judge, link, rules, segment, stats
+from ..operators import aggregate, assign, audit, judge, link, rules, segment, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -291,7 +291,7 @@ def fuzzy_pairs(spark, sf_dir):
 @query()
 def greedy_pairs(spark, sf_dir):
     """One to one by falling score; ties by ids."""
-    return link.one_to_one(_pairs(spark, sf_dir).select("c_custkey", "s_suppkey", "score"), "c_custkey", "s_suppkey", [F.desc("score"), F.col("c_custkey"), F.col("s_suppkey")])
+    return assign.one_to_one(_pairs(spark, sf_dir).select("c_custkey", "s_suppkey", "score"), "c_custkey", "s_suppkey", [F.desc("score"), F.col("c_custkey"), F.col("s_suppkey")])
 
 
 @query(f"with {_PAIRS}, r as (select *, row_number() over (partition by c_custkey order by score desc, c_custkey, s_suppkey) as a, row_number() over (partition by s_suppkey order by score desc, c_custkey, s_suppkey) as b from p) select c_custkey, s_suppkey, score from r where a = 1 and b = 1")
@@ -528,7 +528,7 @@ def region_path(spark, sf_dir):
     tree = region.select(F.concat(F.lit("R"), "r_regionkey").alias("code"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_code"))
     tree = tree.unionByName(nation.select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("R"), "n_regionkey").alias("parent_code")))
     rows = table(spark, sf_dir, "supplier").withColumn("code", F.concat(F.lit("N"), "s_nationkey"))
-    return rows.join(link.region_paths(tree, 3), "code").select("s_suppkey", "path")
+    return rows.join(link.region_paths(tree), "code").select("s_suppkey", "path")
 
 
 @query("select doc_id, quality from documents join labels using (doc_id) where length(text) > 30 and quality is not null order by doc_id limit 1000")

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docev import session
-from docev.operators import aggregate, state, stats, tracing
+from docev.functions import fuzzy
+from docev.operators import aggregate, assign, components, link, state, stats, tracing
 from docev.plans import mechanisms, queries
 from docev.streaming import delivery
 from tests.test_explain import plan
@@ -205,3 +206,97 @@ def test_intervals_are_those_of_a_plain_bootstrap(spark):
 def test_interval_without_keys(spark):
     row = stats.bootstrap(spark.range(1000).select(F.col("id").cast("double").alias("v")), "v", resamples=500, cell=100).collect()
     assert len(row) == 1 and row[0].low < 499.5 < row[0].high and row[0].n == 1000
+
+
+# --- assignment ------------------------------------------------------------------------------
+
+
+def greedy(edges):
+    lefts, rights, out = set(), set(), set()
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if a not in lefts and b not in rights:
+            lefts.add(a)
+            rights.add(b)
+            out.add((a, b, s))
+    return out
+
+
+def in_turn(edges):
+    used, out = set(), set()
+    for left in sorted({e[0] for e in edges}):
+        best = None
+        for _, right, score in sorted(e for e in edges if e[0] == left):
+            if right not in used and score > 0 and (best is None or score > best[1]):
+                best = (right, score)
+        if best and best[1] >= 80:
+            out.add((left, best[0], "clean" if best[1] >= 90 else "needs_review"))
+            used |= {best[0]} if best[1] >= 90 else set()
+    return out
+
+
+ORDER = lambda: [F.desc("s"), F.col("a"), F.col("b")]
+
+
+@pytest.mark.parametrize("most", [200_000, 40, 7])
+def test_assignments_in_chunks_of_any_size(spark, most):
+    draw = random.Random(most)
+    edges = sorted({(draw.randint(0, 40), draw.randint(0, 40)): 0 for _ in range(300)})
+    edges = [(a, b, float(draw.choice([70, 80, 85, 90, 95]))) for a, b in edges] + [(100 + k, 100 + k + j, 90.0) for k in range(30) for j in (0, 1)]
+    frame = spark.createDataFrame(edges, "a long, b long, s double").repartition(3)
+    assert {tuple(r) for r in assign.one_to_one(frame, "a", "b", ORDER(), most).collect()} == greedy(edges)
+    found = assign.one_sided(frame.withColumn("c", F.lit(40.0)), "a", "b", "a", "b", "s", "c", most=most)
+    assert {(r.a, r.b, r.pair_status) for r in found.collect()} == in_turn(edges)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    n = 5000
+    edges = [(k, k, 2.0 * (n - k)) for k in range(n)] + [(k, k + 1, 2.0 * (n - k) - 1) for k in range(n)]
+    frame = spark.createDataFrame(edges, "a long, b long, s double").repartition(4)
+    group = f"chain-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = {tuple(r) for r in assign.one_to_one(frame, "a", "b", ORDER()).collect()}
+    spark.sparkContext.setJobGroup("none", "none")
+    assert found == greedy(edges) and len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 30
+
+
+def test_vendors_of_clients(spark, small):
+    edges = [(r.client_id, r.vendor_id, r.score) for r in mechanisms.client_vendors(spark, small).collect()]
+    found = {(r.client_id, r.vendor_id, r.pair_status) for r in mechanisms.vendor_clients(spark, small).collect()}
+    assert found == in_turn(edges) and found
+
+
+@pytest.mark.parametrize("local", [1_000_000, 25])
+def test_components(spark, local):
+    draw = random.Random(local)
+    edges = [(draw.randint(0, 200), draw.randint(0, 200)) for _ in range(120)] + [(300 + k, 301 + k) for k in range(50)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    found = components.components(spark.createDataFrame(edges, "u long, v long").repartition(3), local).collect()
+    assert {(r.node, r.root) for r in found} == {(x, root(x)) for x in parent} and len(found) == len(parent)
+
+
+# --- names and trees -------------------------------------------------------------------------
+
+
+def test_similarities_of_many_pairs():
+    draw = random.Random(6)
+    some = lambda low, high: "".join(draw.choices("ab甲乙丙丁戊c\U0001f600", k=draw.randint(low, high)))
+    pairs = [(a, a[: draw.randint(0, len(a))] + some(0, 6) if draw.random() < 0.5 else some(0, 30)) for a in (some(0, 14) for _ in range(5000))]
+    pairs += [(some(40, 150), some(60, 200)) for _ in range(40)] + [("", ""), ("", "a"), ("a", "a"), ("a" * 64, "b" + "a" * 64), ("a" * 65, "a" * 63 + "b")]
+    found = fuzzy.similar_many(*map(list, zip(*pairs, strict=True)))
+    assert found == pytest.approx([fuzzy.similar(a, b) for a, b in pairs])
+
+
+def test_paths_of_deep_trees_cycles_and_orphans(spark):
+    rows = [(f"c{k}", f"n{k}", f"c{k - 1}" if k else None) for k in range(21)] + [("o", "orphan", "nowhere"), ("x", "X", "y"), ("y", "Y", "x"), ("z", "Z", "x"), ("self", "S", "self")]
+    found = {r.code: r.path for r in link.region_paths(spark.createDataFrame(rows, "code string, name string, parent_code string")).collect()}
+    assert found["c20"] == "/".join(f"n{k}" for k in range(21)) and found["o"] == "orphan" and found["c0"] == "n0"
+    assert (found["x"], found["y"], found["z"], found["self"]) == ("Y/X", "X/Y", "Y/X/Z", "S") and len(found) == len(rows)

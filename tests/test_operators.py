@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docev import config
 from docev.functions import extract, fuzzy
-from docev.operators import aggregate, audit, judge, link, rules, segment, stats, tracing
+from docev.operators import aggregate, assign, audit, judge, link, rules, segment, stats, tracing
 from docev.sources import readers, sinks
 from docev.streaming import delivery
 
@@ -67,14 +67,14 @@ def test_one_to_one_is_the_greedy_pass(spark, seed):
     draw = np.random.default_rng(seed)
     edges = list({(int(a), int(b)): (int(a), int(b), int(s)) for a, b, s in zip(draw.integers(0, 12, 60), draw.integers(0, 12, 60), draw.integers(0, 6, 60))}.values())
     frame = spark.createDataFrame(edges, "a long, b long, s long")
-    assert {tuple(r) for r in link.one_to_one(frame, "a", "b", [F.desc("s"), F.col("a"), F.col("b")]).collect()} == _greedy(edges)
+    assert {tuple(r) for r in assign.one_to_one(frame, "a", "b", [F.desc("s"), F.col("a"), F.col("b")]).collect()} == _greedy(edges)
 
 
 def test_chain_of_ties(spark):
     edges = [(k, k, 5) for k in range(6)] + [(k, k + 1, 5) for k in range(6)]
     frame = spark.createDataFrame(edges, "a long, b long, s long")
-    assert {tuple(r) for r in link.one_to_one(frame, "a", "b", [F.desc("s"), F.col("a"), F.col("b")]).collect()} == _greedy(edges)
-    assert link.one_to_one(frame.limit(0), "a", "b", [F.col("a")]).count() == 0
+    assert {tuple(r) for r in assign.one_to_one(frame, "a", "b", [F.desc("s"), F.col("a"), F.col("b")]).collect()} == _greedy(edges)
+    assert assign.one_to_one(frame.limit(0), "a", "b", [F.col("a")]).count() == 0
 
 
 def test_assignment_statuses(spark):
@@ -176,9 +176,9 @@ def plain_one_sided(edges):
 def test_one_sided_takes_in_order(spark, seed):
     draw = np.random.default_rng(seed)
     edges = [(a, b, float(draw.choice([70, 80, 85, 90, 95])), float(draw.choice([20, 30, 60, 90, 100]))) for a in range(12) for b in range(8) if draw.random() < 0.5]
-    found = link.one_sided(spark.createDataFrame(edges, "a long, b long, s double, c double"), "a", "b", "a", "b", "s", "c")
+    found = assign.one_sided(spark.createDataFrame(edges, "a long, b long, s double, c double"), "a", "b", "a", "b", "s", "c")
     assert sorted((r.a, r.b, r.pair_status) for r in found.collect()) == plain_one_sided(edges)
-    assert link.one_sided(spark.createDataFrame([], "a long, b long, s double, c double"), "a", "b", "a", "b", "s", "c").count() == 0
+    assert assign.one_sided(spark.createDataFrame([], "a long, b long, s double, c double"), "a", "b", "a", "b", "s", "c").count() == 0
 
 
 def test_lookups(spark):
@@ -188,7 +188,7 @@ def test_lookups(spark):
     found = {r.id: (r.ord, r.best_score) for r in link.by_certainty(left, right, ways, "id", "ord", F.when(F.contains("rname", F.col("name")), 80.0).otherwise(0.0)).collect()}
     assert found == {"p1": (1, 100.0), "p2": (2, 100.0), "p3": (3, 80.0)}
     regions = spark.createDataFrame([("1", "省", None), ("2", "市", "1"), ("3", "区", "2"), ("8", "甲", "9"), ("9", "乙", "8")], "code string, name string, parent_code string")
-    paths = {r.code: r.path for r in link.region_paths(regions, 4).collect()}
+    paths = {r.code: r.path for r in link.region_paths(regions).collect()}
     assert paths["3"] == "省/市/区" and paths["8"].endswith("甲")
     assert link.last_by(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, o int, v string"), "k", ["o"]).first().v == "b"
 
