@@ -4,12 +4,17 @@ the corpus, with their SQL."""
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
+from ..functions import pages
 from ..operators import aggregate, assign, link, state, stats, tracing
+from ..sources import readers
 from .queries import query, table
 
 # --- stored state ----------------------------------------------------------------------------
@@ -128,3 +133,50 @@ def vendor_clients(spark, sf_dir) -> DataFrame:
     """Clients in order of id each take the vendor that they bought most from and that is still free: clean from 90, for
     review from 80."""
     return assign.one_sided(client_vendors(spark, sf_dir), "client_id", "vendor_id", "client_id", "vendor_id", "score", "company").select("client_id", "vendor_id", "score", "pair_status")
+
+
+# --- page texts ------------------------------------------------------------------------------
+
+
+def as_pdf(sheets: list[list[str]]) -> bytes:
+    """Pages of lines as a file of deflated streams under one tree, in a font of two-byte codes."""
+    n = len(sheets)
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(n)) + b"] /Count %d >>" % n, b"<< /Type /Font /Subtype /Type0 /BaseFont /Any >>"]
+    for k, lines in enumerate(sheets):
+        shown = b"BT /F1 10 Tf 12 TL 40 800 Td\n" + b"\n".join(b"<%s> Tj T*" % line.encode("utf-16-be", "surrogatepass").hex().encode() for line in lines) + b"\nET"
+        held = zlib.compress(shown, 1)
+        parts += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (5 + 2 * k), b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(held) + held + b"\nendstream"]
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, part) for k, part in enumerate(parts)) + b"trailer << /Root 1 0 R >>\n"
+
+
+SHEET = 40
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [(x or "").split("\n") for x in batch.column("text").to_pylist()]
+        files = [as_pdf([x[k : k + SHEET] for k in range(0, len(x), SHEET)]) for x in lines]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+
+@query(f"""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+p as (select doc_id, unnest(range(0, len(lines), {SHEET})) as k, lines from l)
+select doc_id, k // {SHEET} as page, length(t) as n_chars, md5(t) as text_md5 from (select doc_id, k, trim(array_to_string(lines[k + 1:k + {SHEET}], chr(10)), chr(10)) as t from p)""")
+def pdf_pages(spark, sf_dir) -> DataFrame:
+    """The pages of every document, printed and read again."""
+    printed = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_printed, "doc_id long, content binary")
+    read = pages.page_texts(printed).select("doc_id", F.posexplode("pages").alias("page", "t"))
+    return read.select("doc_id", F.col("page").cast("long").alias("page"), F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+# --- dictionaries ----------------------------------------------------------------------------
+
+
+@query("select doc_id::varchar as value, toxic::varchar as label from labels where quality = 1 and doc_id is not null")
+def sql_enabled(spark, sf_dir) -> DataFrame:
+    return readers.enabled(table(spark, sf_dir, "labels"), "doc_id", "toxic", "quality")
+
+
+@query("select doc_id, quality from labels where toxic = 0")
+def sql_undeleted(spark, sf_dir) -> DataFrame:
+    return readers.undeleted(table(spark, sf_dir, "labels"), "toxic").select("doc_id", "quality")

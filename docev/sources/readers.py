@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import pages, text
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,35 +26,26 @@ def files(spark: SparkSession, roots: Sequence[str], kinds: Sequence[str] = ("md
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("path", "kind", "length", "content")
 
 
-def bodies(found: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """``files`` with body and parse_status: texts decoded, JSON written anew or kept raw, PDFs by a
-    given decoder, else empty."""
-    body = text.decoded(F.col("content"))
-    parsed = F.try_parse_json(body)
-    rows = found.withColumn("body", F.when(F.col("kind") == "pdf", F.lit("")).when(F.col("kind") == "json", F.coalesce(F.to_json(parsed), body)).otherwise(body))
-    status = F.when((F.col("kind") == "json") & parsed.isNull(), "json_parse_error").when((F.col("kind") == "pdf") & F.lit(pdf is None), "no_pdf_decoder").otherwise("ok")
-    rows = rows.withColumn("parse_status", status)
-    if pdf is not None:
-        rows = _decoded_pdfs(rows, pdf)
-    return rows.drop("content")
-
+#: Pages that are read to classify a file, to extract its record, and to match it.
+SCAN_PAGES, RECORD_PAGES, MATCH_PAGES = 3, 6, 30
 
-def _decoded_pdfs(rows: DataFrame, pdf: Callable[[bytes], str]) -> DataFrame:
-    schema = rows.schema
-    at, kind, content = (schema.fieldNames().index(n) for n in ("body", "kind", "content"))
 
-    def safe(raw: bytes) -> str:
-        try:
-            return pdf(raw)
-        except Exception:  # a broken file has no text
-            return ""
+def bodies(found: DataFrame, most_pages: int | None = SCAN_PAGES) -> DataFrame:
+    """``files`` with body and parse_status: texts decoded, JSON written anew or kept raw, the first pages of PDFs joined by
+    line ends. A PDF without text, or that can't be read, has none and says so."""
+    held = pages.page_texts(found.withColumn("__pdf", F.when(F.col("kind") == "pdf", F.col("content"))), "__pdf", most_pages)
+    body = text.decoded(F.col("content"))
+    parsed = F.try_parse_json(body)
+    pdf = F.array_join("pages", "\n")
+    rows = held.withColumn("body", F.when(F.col("kind") == "pdf", pdf).when(F.col("kind") == "json", F.coalesce(F.to_json(parsed), body)).otherwise(body))
+    status = F.when((F.col("kind") == "json") & parsed.isNull(), "json_parse_error").when((F.col("kind") == "pdf") & (F.col("body") == ""), "pdf_text_empty").otherwise("ok")
+    return rows.withColumn("parse_status", status).drop("content", "pages")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [safe(c) if k == "pdf" else b for b, k, c in zip(*(batch.column(i).to_pylist() for i in (at, kind, content)), strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
 
-    return rows.mapInArrow(run, schema)
+def whole_pdfs(found: DataFrame, least: int = 100) -> DataFrame:
+    """PDFs of ``files`` with the text of all pages as body, null if it has at most ``least`` characters."""
+    rows = pages.page_texts(found.where("kind = 'pdf'")).withColumn("body", F.array_join("pages", "\n"))
+    return rows.withColumn("body", F.when(F.length("body") > least, F.col("body"))).drop("pages")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -76,9 +66,13 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return read.toDF(*[c.lstrip("\ufeff") for c in read.columns])
 
 
-def pairs(spark: SparkSession, root: str, names: Sequence[str] = ("report.md", "approval.md", "pair_metadata.json")) -> DataFrame:
-    """pair_id and one column a sibling file of each pair folder; null where it is missing."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def pairs(spark: SparkSession, root: str, names: Sequence[str] = ("report.md", "approval.md", "pair_metadata.json"), only: str = "*") -> DataFrame:
+    """pair_id and one column a sibling file of each pair folder; null where it is missing. Only files of these names are
+    listed, and only folders pair_``only``, a glob that file systems prune by."""
+    at = root if only == "*" else f"{root}/pair_{only}"
+    if not _exists(spark, at):
+        return spark.createDataFrame([], "pair_id string, " + ", ".join(f"{n.rsplit('.', 1)[0]} string" for n in names))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}").load(at)
     rows = read.select(F.regexp_extract("path", r"/(pair_[^/]+)/[^/]+$", 1).alias("pair_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), text.decoded(F.col("content")).alias("body"))
     rows = rows.where((F.col("pair_id") != "") & F.col("name").isin(*names))
     found = rows.groupBy("pair_id").pivot("name", list(names)).agg(F.first("body"))
@@ -122,8 +116,24 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return read.select("path", (F.col("length") / (1 << 20)).alias("size_mb"), F.regexp_extract(name, r"(20\d{2})", 1).alias("year"), F.regexp_extract(name, r"([^/]*〔20\d{2}〕\d+号)", 1).alias("doc_no"), F.contains(name, F.lit("批复")).alias("maybe_approval"))
 
 
-def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def database(spark: SparkSession, url: str, query: str, bounds: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A query's rows. ``bounds`` (column, lower, upper, partitions) reads it over as many connections, each a range of the
+    column; rows outside the bounds are in the first and the last."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if bounds is None:
+        return reader.option("query", query).load()
+    column, lower, upper, partitions = bounds
+    return reader.options(dbtable=f"({query}) q", partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions)).load()
+
+
+def enabled(rows: DataFrame, value: str, label: str, flag: str = "is_enabled") -> DataFrame:
+    """A dictionary's enabled entries with a value, as texts."""
+    return rows.where((F.col(flag) == 1) & F.col(value).isNotNull() & (F.col(value).cast("string") != "")).select(F.col(value).cast("string").alias("value"), F.col(label).cast("string").alias("label"))
+
+
+def undeleted(rows: DataFrame, flag: str = "is_delete") -> DataFrame:
+    """Rows that are marked as not deleted."""
+    return rows.where(F.col(flag) == 0)
 
 
 def standards_index(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from docev.plans import cases, mechanisms, queries  # noqa: F401, register their queries
 
 #: Queries with an Arrow step that no built-in function has.
-PYTHON = {"fuzzy_pairs", "greedy_pairs", "vendor_clients", "claim_trace", "wilcoxon", "wilcoxon_groups", "bootstrap_interval", "amount_intervals"}
+PYTHON = {"fuzzy_pairs", "greedy_pairs", "vendor_clients", "pdf_pages", "claim_trace", "wilcoxon", "wilcoxon_groups", "bootstrap_interval", "amount_intervals"}
 
 
 def plan(frame):
