@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import session
 from .components import components
 
-MOST = 200_000
+MOST = 500_000
 _SHARES = [2.0**-k for k in range(25)]
 
 

@@ -1,15 +1,18 @@
 """Claims traced to the lines that support them, by an automaton of all their pieces.
 
 A block of claims (counted, and bounded in rows and bytes) becomes one Aho-Corasick automaton, which is broadcast;
-every line is read once a block, in Arrow batches, and finds all pieces it holds in one pass over its characters.
-Claims of one text are traced once. A task keeps the best line of each text and project, so what leaves it is bounded
-by the block however many lines repeat a boilerplate: no line is joined to a claim.
+every line is read once a block, in Arrow batches, and finds all pieces it holds in one pass over its characters. A claim
+is looked at only where a line holds several of its rarest pieces, which every line that supports it must hold.
+Claims of one text are traced once. A task takes its lines in order of preference, so a claim is done at its first one and
+isn't looked at again; what leaves a task is bounded by the block however many lines repeat a boilerplate: no line is
+joined to a claim.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -42,54 +45,69 @@ class Claims:
                     held.setdefault(piece, Counter())[at[claim]] += times
             self.projects[at[claim]].add(project)
         self.known = sorted(set().union(*self.projects)) if self.projects else []
-        self.postings = [sorted(claims.items()) for claims in held.values()]
+        numbers = {piece: k for k, piece in enumerate(held)}
+        self.pieces: list[list[tuple[int, int]]] = [[] for _ in self.texts]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for number, piece in enumerate(held):
+        for piece, number in numbers.items():
             self.automaton.add_word(piece, number)
         if held:
             self.automaton.make_automaton()
-
-    def supported(self, line: str) -> list[int]:
-        """The texts that have enough of their pieces in a line."""
+        # How common a piece is: in how many of the claims it occurs, within other words too, as it does in lines.
+        common = Counter(number for claim in self.texts for number in {number for _, number in self.automaton.iter(claim)}) if held else Counter()
+        for piece, claims in sorted(held.items(), key=lambda h: (common[numbers[h[0]]], numbers[h[0]])):  # the rarest first
+            for claim, times in claims.items():
+                self.pieces[claim].append((numbers[piece], times))
+        # A line with enough of a claim's pieces has some of its rarest: if all but so many of them are left out, it has
+        # at least the number needed less what is left out.
+        self.postings: dict[int, list[int]] = {}
+        self.least: list[int] = []
+        for claim, mine in enumerate(self.pieces):
+            total, need = sum(times for _, times in mine), self.needs[claim]
+            self.least.append(max(1, need // 3))
+            left = total - need + self.least[claim]
+            for number, times in mine:
+                if left <= 0:
+                    break
+                self.postings.setdefault(number, []).extend([claim] * times)
+                left -= times
+
+    def supported(self, line: str, done: bytearray) -> list[int]:
+        """The texts not yet done that have enough of their pieces in a line."""
         if not self.postings:
             return []
-        found: Counter = Counter()
-        for number in {number for _, number in self.automaton.iter(line)}:
-            for claim, times in self.postings[number]:
-                found[claim] += times
-        return [claim for claim, n in found.items() if n >= self.needs[claim]]
+        found = {number for _, number in self.automaton.iter(line)}
+        near = Counter(chain.from_iterable(self.postings[number] for number in found if number in self.postings))
+        near_enough = [claim for claim, n in near.items() if n >= self.least[claim] and not done[claim]]
+        return [claim for claim in near_enough if sum(times for number, times in self.pieces[claim] if number in found) >= self.needs[claim]]
 
     def fitting(self, project: str) -> list[str]:
         """The projects whose claims a line of this project may support."""
         return [p for p in self.known if p == "" or p in project or project in p]
 
 
-def _key(rank: int | None, file: str | None, line: int | None) -> tuple:
-    """As columns are ordered: nulls first."""
-    return (rank is not None, rank or 0, file is not None, file or "", line is not None, line or 0)
-
-
 def _trace(block, guarded: frozenset[str]):
+    """Lines in order: the first that supports a text, for everyone or for a project, is the task's best, and a text is done
+    once all its projects have one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claims: Claims = block.value
-        best: dict[tuple[int, str | None], tuple] = {}
+        done, missing = bytearray(len(claims.texts)), [set(p) for p in claims.projects]
+        best: list[tuple] = []
         fitting: dict[str, set[str]] = {}
         for batch in batches:
             for rank, kind, file, project, start, quote in zip(*(batch.column(c).to_pylist() for c in ("rank", "source_type", "source_file", "line_project", "line_start", "quote")), strict=True):
-                if quote is None:
-                    continue
-                mine, key = project or "", _key(rank, file, start)
+                mine = project or ""
                 everyone = kind not in guarded or not mine
                 if not everyone and mine not in fitting:
                     fitting[mine] = set(claims.fitting(mine))
-                for claim in claims.supported(quote):
-                    for asked in [None] if everyone else claims.projects[claim] & fitting[mine]:
-                        if (claim, asked) not in best or key < best[claim, asked][0]:
-                            best[claim, asked] = (key, rank, kind, file, start, quote)
-        rows = [(claims.texts[c], asked, *line[1:]) for (c, asked), line in best.items()]
+                for claim in claims.supported(quote, done):
+                    asked = missing[claim] if everyone else missing[claim] & fitting[mine]
+                    best += [(claims.texts[claim], p, rank, kind, file, start, quote) for p in ([None] if everyone else asked)]
+                    missing[claim] = missing[claim] - asked
+                    done[claim] = not missing[claim]
         names = ["claim", "project", "rank", *_LINE]
         types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in best], t) for k, t in enumerate(types)], names)
 
     return run
 
@@ -108,7 +126,7 @@ def traced(claims: DataFrame, lines: DataFrame, priority: Mapping[str, int], gua
     found = None
     for block in link.blocks(asked, "claim", "project", "pieces", rows=block_rows):
         sent = claims.sparkSession.sparkContext.broadcast(Claims([(r.claim, r.project, r.pieces, r.need) for r in block.collect()]))  # a counted block
-        best = held.mapInArrow(_trace(sent, frozenset(guarded)), _BEST)
+        best = held.where("quote is not null").sortWithinPartitions("rank", "source_file", "line_start").mapInArrow(_trace(sent, frozenset(guarded)), _BEST)
         found = best if found is None else found.unionByName(best)
     order = F.struct("rank", "source_file", "line_start")
     first = found.groupBy("claim", "project").agg(F.min_by(F.struct("rank", *_LINE), order).alias("s"))

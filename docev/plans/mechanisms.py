@@ -49,7 +49,7 @@ def client_state(spark, sf_dir) -> DataFrame:
 _TALK = "list_transform(generate_series(1, len(string_split(text, chr(10)))), lambda i: {'i': i, 'line': string_split(text, chr(10))[i]})"
 
 
-@query(f"""with c as (select doc_id as qa_id, string_split(text, chr(10))[1] as claim, source as project from documents),
+@query(f"""with c as (select item_id as qa_id, text as claim, case when item_id % 4 > 0 then 'src' || (item_id % 20) end as project from benchmark),
 p as (select *, trim(claim) as core, list_filter(regexp_split_to_array(trim(claim), '[\\s,，。；;、]'), lambda w: length(w) >= 4) as w from c),
 q as (select *, case when length(core) < 4 then [] when len(w) > 0 then w else [substr(core, 1, 10)] end as pieces from p),
 n as (select *, greatest(2, floor(len(pieces) * 0.6)) as need from q),
@@ -60,9 +60,9 @@ m as (select qa_id, n.claim, arg_min(row(type, file, line_start, md5(line)), row
   and (type = 'historical_case' or l.project = '' or n.project is null or n.project = '' or contains(n.project, l.project) or contains(l.project, n.project)) group by qa_id, n.claim)
 select qa_id, case when s is null then 'unsupported' when s[1] = 'historical_case' then 'indirect' else 'direct' end as support, s[1] as source_type, s[2] as source_file, s[3]::bigint as line_start, s[4] as quote_md5 from n left join m using (qa_id, claim)""")
 def claim_trace(spark, sf_dir) -> DataFrame:
-    """Each document's first line as a claim, traced to the lines of conversations, of documents and of pages."""
-    docs, talk, pages = (table(spark, sf_dir, t) for t in ("documents", "conversations", "pages"))
-    claims = docs.select(F.col("doc_id").alias("qa_id"), F.element_at(F.split("text", "\n"), 1).alias("claim"), F.col("source").alias("project_id"))
+    """Each benchmark item as a claim, traced to the lines of conversations, of documents and of pages."""
+    docs, talk, pages, items = (table(spark, sf_dir, t) for t in ("documents", "conversations", "pages", "benchmark"))
+    claims = items.select(F.col("item_id").alias("qa_id"), F.col("text").alias("claim"), F.when(F.col("item_id") % 4 > 0, F.concat(F.lit("src"), F.col("item_id") % 20)).alias("project_id"))
     line = F.posexplode(F.split("text", "\n")).alias("i", "text")
     said = talk.select(F.lit("report").alias("source_type"), F.concat(F.lit("talk-"), "conv_id", F.lit("-"), "turn").alias("source_file"), F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.concat(F.lit("src"), F.col("conv_id") % 20)).alias("project_id"), line)
     written = docs.select(F.lit("approval").alias("source_type"), F.concat(F.lit("doc-"), "doc_id").alias("source_file"), F.col("source").alias("project_id"), line)
