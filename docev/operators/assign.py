@@ -27,35 +27,39 @@ def in_order(pairs: DataFrame, left: str, right: str, order: Sequence[Column], p
     pass is by left rows. ``run`` gets whole chunks of pairs (place, l, r and the payload) in any order, and returns place
     and took of those it chooses. ``order`` is total; with ``by_left`` it begins with the left rows' order, and a left row's
     pairs stay together."""
-    sorted_ = session.checkpointed(pairs.orderBy(*order))
-    sorted_ = sorted_.withColumn("__place", F.monotonically_increasing_id())  # ascends with the order
+    scratch = session.Scratch(pairs.sparkSession, "assign")
+    sorted_ = session.checkpointed(pairs.orderBy(*order)).withColumn("__place", F.monotonically_increasing_id())  # ascends with the order
     payload = [c.alias(f"p{k}") for k, c in enumerate(payload)]
     ends = sorted_.select(F.col("__place").alias("place"), F.xxhash64(F.lit("l"), left).alias("u"), F.xxhash64(F.lit("r"), right).alias("v"), F.col(left).alias("l"), F.col(right).alias("r"), *payload)
-    open_, chosen = session.checkpointed(ends), []
+    open_, chosen = scratch.table(ends), []
     while True:
-        roots = components(open_)
+        roots = components(open_, scratch=scratch)
         rooted = open_.join(roots.withColumnRenamed("node", "u"), "u")
         if by_left:
-            rooted = rooted.join(rooted.groupBy("u").agg(F.min("place").alias("unit")), "u")
+            rooted = rooted.join(open_.groupBy("u").agg(F.min("place").alias("unit")), "u")
         else:
             rooted = rooted.withColumn("unit", F.col("place"))
-        rooted = session.checkpointed(rooted)
+        rooted = scratch.table(rooted)
+        scratch.drop(roots, open_)
         sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.percentile_approx("unit", _SHARES, 10_000).alias("cuts"))
         step = F.least(F.lit(len(_SHARES) - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / most)).cast("int")))
-        sizes = session.checkpointed(sizes.select("root", "n", F.get("cuts", step).alias("cut")))
+        sizes = scratch.table(sizes.select("root", "n", F.get("cuts", step).alias("cut")))
         total, largest = sizes.agg(F.sum(F.least("n", F.lit(most))), F.max("n")).first()
         if total is None:
             break
-        chunk = rooted if largest <= most else session.checkpointed(rooted.join(sizes, "root").where((F.col("n") <= most) | (F.col("unit") <= F.col("cut"))))
+        split = rooted.join(sizes, "root").withColumn("now", (F.col("n") <= most) | (F.col("unit") <= F.col("cut"))).drop("n", "cut")
+        split = rooted.withColumn("now", F.lit(True)) if largest <= most else split
         bucket = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-int(total) // most))))
-        told = chunk.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "place long, took boolean")
-        told = session.checkpointed(told)
+        told = scratch.table(split.where("now").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "place long, took boolean"))
         chosen.append(told)
         if largest <= most:
+            scratch.drop(rooted, sizes)
             break
-        taken = chunk.join(told.where("took"), "place").select("u", "v")
-        gone = chunk.select("u") if by_left else taken.select("u")
-        open_ = session.checkpointed(open_.join(chunk.select("place"), "place", "left_anti").join(gone.distinct(), "u", "left_anti").join(taken.select("v").distinct(), "v", "left_anti"))
+        taken = rooted.join(told.where("took"), "place").select("u", "v")
+        gone = split.where("now").select("u") if by_left else taken.select("u")
+        rest = split.where("not now").drop("root", "unit", "now")
+        open_ = scratch.table(rest.join(gone.distinct(), "u", "left_anti").join(taken.select("v").distinct(), "v", "left_anti").select(*open_.columns))
+        scratch.drop(rooted, sizes)
     if not chosen:
         return pairs.withColumn("took", F.lit(True)).limit(0)
     every = chosen[0]

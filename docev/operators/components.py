@@ -39,31 +39,36 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(nodes), pa.array(nodes[root])], names=["u", "v"])
 
 
-def _local(edges: DataFrame, groups: int) -> DataFrame:
+def _local(edges: DataFrame, groups: int, scratch: session.Scratch) -> DataFrame:
     dealt = edges.withColumn("g", F.pmod(F.xxhash64(F.greatest("u", "v")), F.lit(groups)))
-    return session.checkpointed(dealt.groupBy("g").applyInArrow(_stars, "u long, v long"))
+    return scratch.table(dealt.groupBy("g").applyInArrow(_stars, "u long, v long"))
 
 
-def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
-    """``node`` and ``root``, its component's smallest node, of every node of the edges (u, v: long)."""
-    held = session.checkpointed(edges.select("u", "v").distinct())
-    n = held.count()
-    groups = max(1, -(-n // local))
-    held = _local(held, groups)
+def components(edges: DataFrame, local: int = LOCAL, scratch: session.Scratch | None = None) -> DataFrame:
+    """``node`` and ``root``, its component's smallest node, of every node of the edges (u, v: long); a table of ``scratch``."""
+    scratch = scratch or session.Scratch(edges.sparkSession, "components")
+    first = scratch.table(edges.select("u", "v").distinct())
+    groups = max(1, -(-first.count() // local))
+    held = _local(first, groups, scratch)
+    scratch.drop(first)
     while groups > 1:
-        pairs = held.where("u != v").distinct()
+        pairs = scratch.table(held.where("u != v").distinct())
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = session.checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = session.checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        near = session.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(near, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        after = session.checkpointed(small.distinct())
+        after = scratch.table(small.distinct())
         state = lambda frame: tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state(after) == state(pairs):
-            held = after
+        same, left = state(after) == state(pairs), after.count()
+        scratch.drop(held, pairs, least, large, near)
+        held = after
+        if same:
             break
-        held, left = after, after.count()
         if left <= local:
-            held, groups = _local(held, 1), 1
+            held, groups = _local(after, 1, scratch), 1
+            scratch.drop(after)
     roots = held.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(held.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    found = scratch.table(roots.union(held.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))
+    scratch.drop(held)
+    return found

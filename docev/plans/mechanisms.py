@@ -125,7 +125,7 @@ def client_vendors(spark, sf_dir) -> DataFrame:
     """Clients and the vendors that they bought from, with a score by the pieces bought."""
     sales, lines = table(spark, sf_dir, "sales").select("sale_id", "client_id").distinct(), table(spark, sf_dir, "sale_lines").where("quantity > 0").select("sale_id", "vendor_id", "quantity")
     pieces = sales.join(lines, "sale_id").where("client_id is not null and vendor_id is not null").groupBy("client_id", "vendor_id").agg(F.sum("quantity").alias("n"))
-    return pieces.select("client_id", "vendor_id", F.least(F.lit(100.0), 60.0 + F.col("n")).alias("score"), F.lit(40.0).alias("company"))
+    return pieces.select("client_id", "vendor_id", F.least(F.lit(100.0), 60.0 + F.col("n")).alias("score"), F.lit(40.0).alias("company")).where("score >= 80")
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,34 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     shared(frame.sparkSession)
     return frame.checkpoint()
+
+
+class Scratch:
+    """Tables in the shared folder that cut lineage and go as soon as no later step reads them, with the shuffles that
+    made them."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, f"{shared(spark)}/docev-{name}-{uuid.uuid4().hex}", 0
+        self.names: dict[int, str] = {}
+
+    def table(self, frame: DataFrame) -> DataFrame:
+        self.count += 1
+        path, before = f"{self.root}/{self.count}", self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
+        held = self.spark.read.schema(frame.schema).parquet(path)
+        self.names[id(held)] = path
+        return held
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.names.pop(id(frame)))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
