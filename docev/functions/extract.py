@@ -223,6 +223,14 @@ def with_cited(xs: Column, answer: Column) -> Column:
     return F.array_distinct(F.concat(xs, cited))
 
 
+def file_guesses(name: Column) -> dict[str, Column]:
+    """What a file's name tells: a year, a company, a document number, and whether it may be a decision."""
+    return {
+        "year_guess": F.regexp_extract(name, config.FILE_YEAR, 1), "company_guess": F.trim(F.regexp_extract(name, config.FILE_COMPANY, 1)), "doc_no_guess": F.regexp_extract(name, config.FILE_DOC_NO, 1),
+        "maybe_approval": match.contains_any(name, config.FILE_DECISIONS),
+    }
+
+
 def project_id(path: Column) -> Column:
     """A pair's name in a path, else a 32-digit or dashed hexadecimal id."""
     found = [F.regexp_extract(path, r"(pair_\d+)", 1), F.regexp_extract(path, r"(?i)([a-f0-9]{32}|[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12})", 1)]

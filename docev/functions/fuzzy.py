@@ -127,8 +127,8 @@ def _windows(short: np.ndarray, n: np.ndarray, long: np.ndarray, m: np.ndarray,
     return best
 
 
-def similar_many(one: list[str], other: list[str]) -> np.ndarray:
-    """``similar`` of many pairs."""
+def similar_many(one: list[str], other: list[str], whole: bool = True) -> np.ndarray:
+    """``similar`` of many pairs; without ``whole`` only ``partial``, and 0 for empty names."""
     out = np.zeros(len(one))
     out[[k for k, (a, b) in enumerate(zip(one, other, strict=True)) if a and a == b]] = 100.0
     pairs = sorted(((a, b, k) if len(a) <= len(b) else (b, a, k) for k, (a, b) in enumerate(zip(one, other, strict=True)) if a and b and a != b), key=lambda p: (len(p[1]), len(p[0])))
@@ -139,8 +139,8 @@ def similar_many(one: list[str], other: list[str]) -> np.ndarray:
             end += 1
         part, at = pairs[at:end], end
         (short, n), (long, m) = _padded([p[0] for p in part], 0xFFFFFFFF), _padded([p[1] for p in part], 0xFFFFFFFE)
-        whole = 200.0 * common_many(short, n, long) / (n + m)
-        out[[p[2] for p in part]] = _windows(short, n, long, m, whole)
+        best = 200.0 * common_many(short, n, long) / (n + m) if whole else np.zeros(len(part))
+        out[[p[2] for p in part]] = _windows(short, n, long, m, best)
     return out
 
 
@@ -152,3 +152,9 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def similarity(a: Column, b: Column) -> Column:
     """0 to 100 between two names, once normalised; 0 if either is empty."""
     return _similarity(text.normalize(a), text.normalize(b))
+
+
+@F.pandas_udf(DoubleType())
+def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """0 to 100: the best ratio of the shorter name, as it stands, with a window of the other; 0 if either is empty."""
+    return pd.Series(similar_many([x or "" for x in a], [y or "" for y in b], whole=False), dtype="float64")

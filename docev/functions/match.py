@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import config
+
 
 def contains_any(x: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in terms if t], F.lit(False))
@@ -47,6 +49,21 @@ def weighted(windows: Sequence[tuple[Column, Sequence[str], int]], least: int, l
     return F.when(total >= least, F.lit(label)).otherwise(otherwise)
 
 
+def scanned_kind(
+    body: Column, path: Column, approval: Sequence[str] = config.SCAN_APPROVAL, report: Sequence[str] = config.SCAN_REPORT, public: Sequence[str] = config.SCAN_PUBLIC,
+    names: Sequence[tuple[Sequence[str], str]] = config.SCAN_NAMES,
+) -> Column:
+    """The type of a scanned file: struct of type and how it was told. Two terms tell it by content, an approval's in
+    the first 500 characters, a report's in 2000, public participation's anywhere in lower case; approval and report
+    need more than the other has. Else the file's name tells it. A null body is unreadable."""
+    told = lambda kind, how: F.struct(F.lit(kind).alias("type"), F.lit(how).alias("how"))
+    a, r, p = hit_count(F.substring(body, 1, 500), approval), hit_count(F.substring(body, 1, 2000), report), hit_count(F.lower(body), public)
+    kind = ladder(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1), names)
+    found = F.when(body.isNull(), told("unknown", "unreadable"))
+    found = found.when((a >= 2) & (a > r), told("approval", "content_matched")).when((r >= 2) & (r > a), told("report", "content_matched")).when(p >= 2, told("public_participation", "content_matched"))
+    return found.when(kind != "", F.struct(kind.alias("type"), F.lit("filename_fallback").alias("how"))).otherwise(told("unknown", "no_match"))
+
+
 def best_label(x: Column, labels: Mapping[str, Sequence[str]], otherwise: str) -> Column:
     """The label with most hits; the first of equals; ``otherwise`` without a hit."""
     scored = F.array(*[F.struct(hit_count(x, terms).alias("n"), F.lit(-k).alias("k"), F.lit(label).alias("label")) for k, (label, terms) in enumerate(labels.items())])

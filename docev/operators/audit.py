@@ -334,6 +334,71 @@ def pair_integrity(pairs: DataFrame, needed: Sequence[str] = ("report", "approva
     return pairs.select("pair_id", missing.alias("missing")).where(F.size("missing") > 0)
 
 
+def pair_errors(pairs: DataFrame, fields: Sequence[str] = ("company", "project_name", "report_source", "approval_source")) -> DataFrame:
+    """What is wrong with pair folders (pair_id, report, approval, pair_metadata: JSON text, null where a file is missing),
+    a row each: pair_id, error_type, field and detail. Missing and empty files; metadata that is no JSON; required fields
+    that are missing, null or blank; and sources of more than one pair, a row for each of the pairs."""
+    meta = F.col("pair_metadata")
+    value = lambda name: F.trim(F.coalesce(F.get_json_object(meta, f"$.{name}"), F.lit("")))
+    source = lambda side: F.coalesce(*[F.nullif(value(f"{side}_{n}"), F.lit("")) for n in ("source", "file_original")])
+    error = lambda check, kind, field, detail="": F.when(check, F.struct(F.lit(kind).alias("error_type"), F.lit(field).alias("field"), F.lit(detail).alias("detail")))
+    formed = meta.isNotNull() & F.try_parse_json(meta).isNotNull()
+    errors = [error(F.coalesce(F.col(name), F.lit("")) == "", "missing_or_empty_file", name) for name in ("report", "approval", "pair_metadata")]
+    errors += [error(meta.isNotNull() & F.try_parse_json(meta).isNull(), "metadata_parse_error", "pair_metadata")]
+    errors += [error(formed & (value(name) == ""), "metadata_required_field_empty", name) for name in fields]
+    out = pairs.select("pair_id", F.explode(match.present(errors)).alias("e")).select("pair_id", "e.*")
+    for side in ("report", "approval"):
+        told = pairs.where(formed).select("pair_id", source(side).alias("detail")).where("detail is not null")
+        repeated = told.groupBy("detail").agg(F.count("*").alias("n")).where("n > 1").select("detail")
+        out = out.unionByName(told.join(repeated, "detail").select("pair_id", F.lit(f"duplicate_{side}_source").alias("error_type"), F.lit(f"{side}_source").alias("field"), "detail"))
+    return out
+
+
+def library_errors(rules: DataFrame, high: DataFrame, key: str = "qa_id") -> DataFrame:
+    """rule_id, error_type, field and detail: ids that rules (rule_id, level, industry_code, source_qa_ids) cite and the
+    high tier doesn't have, as often as they are cited, and rules of level A without an industry."""
+    cited = rules.select("rule_id", F.explode("source_qa_ids").alias(key))
+    lost = cited.join(high.select(key).distinct(), key, "left_anti").select("rule_id", F.lit("source_qa_id_not_in_qa_strict_high").alias("error_type"), F.lit("source_qa_ids").alias("field"), F.col(key).cast("string").alias("detail"))
+    blank = rules.where((F.col("level") == "A") & (F.trim(F.coalesce("industry_code", F.lit(""))) == ""))
+    return lost.unionByName(blank.select("rule_id", F.lit("A_rule_empty_industry_code").alias("error_type"), F.lit("industry_code").alias("field"), F.lit("").alias("detail")))
+
+
+def four_parts(report: Column, approval: Column, codes: Column, issues: Column) -> Column:
+    """25 points each for evidence of the report and of the decision, codes, and a match without issues: struct of score
+    and reasons. The arrays may be null."""
+    held = lambda xs: F.coalesce(F.exists(xs, lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(False))
+    some = lambda xs: F.coalesce(F.size(xs), F.lit(0)) > 0
+    checks = [(held(report), F.lit("no_report_evidence")), (held(approval), F.lit("no_approval_evidence")), (some(codes), F.lit("no_standards")), (~some(issues), F.concat(F.lit("match_issues: "), F.array_join(F.slice(issues, 1, 2), ";")))]
+    return F.struct(added([(check, 25) for check, _ in checks]).alias("score"), match.present([F.when(~check, reason) for check, reason in checks]).alias("reasons"))
+
+
+def lessened(faults: Sequence[tuple[Column, str, int]], base: int = 100, least: int = 10) -> Column:
+    """A base less the points of each fault, and the faults: struct of score and issues."""
+    score = F.lit(base)
+    for check, _, points in faults:
+        score = score - F.when(check, points).otherwise(0)
+    return F.struct(F.greatest(F.lit(least), score).alias("score"), match.reasons([(check, name) for check, name, _ in faults]).alias("issues"))
+
+
+def generated_quality(question: Column, answer: Column, codes: Column, evidence: Column) -> Column:
+    """The score of a row as it is generated; missing texts and arrays are empty."""
+    q, a = (F.coalesce(x, F.lit("")) for x in (question, answer))
+    held = F.coalesce(F.exists(evidence, lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(False))
+    return lessened([
+        (F.length(q) < 30, "question too short", 10), (F.length(a) < 50, "answer too short", 15), (F.coalesce(F.size(codes), F.lit(0)) <= 0, "no standards", 20), (~held, "no evidence", 15),
+        (~F.contains(a, F.lit("标准")) & ~F.contains(a, F.lit("排放")), "answer lacks standards reference", 10),
+    ])
+
+
+def checked_quality(question: Column, answer: Column, codes: Column, evidence: Column, validation: Column) -> Column:
+    """The score of a row that is checked afterwards; missing texts and arrays are empty."""
+    none = lambda xs: F.coalesce(F.size(xs), F.lit(0)) <= 0
+    return lessened([
+        (F.length(F.coalesce(question, F.lit(""))) < 15, "short question", 10), (F.length(F.coalesce(answer, F.lit(""))) < 20, "short answer", 10), (none(codes), "no standards", 20), (none(evidence), "no evidence", 20),
+        (F.coalesce(validation, F.lit("")) != "已验证", "not validated", 10),
+    ])
+
+
 def orphans(rules: DataFrame, sources: DataFrame, array: str, key: str) -> DataFrame:
     """Ids that rules cite and no source has."""
     cited = rules.select("rule_id", F.explode(array).alias(key))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,14 +43,14 @@ def candidates(left: DataFrame, right: DataFrame, key: str, fallback: bool = Tru
     return same.unionByName(met.drop("__a", "__b"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Distinct pairs of names of ``fuzzy.similarity`` from ``least`` (over 0). Such names share, counting
+def similar_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float, form: Callable[[Column], Column] = text.normalize, measure: Callable[[Column, Column], Column] = fuzzy.similarity) -> DataFrame:
+    """Distinct pairs of names whose ``measure`` is from ``least`` (over 0). Such names share, counting
     repeats, a least/(200 - least) of the shorter one's characters, so that one of the shorter's rarest
     characters is among the other's: only names that meet there are compared. Null and empty names
-    have no pair; characters are those of the normalised names."""
+    have no pair; characters are those that ``form``, which the measure applies too, leaves of a name."""
 
     def named(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(F.col(name).alias("name")).distinct().withColumn("told", text.normalize(F.col("name"))).withColumn("n", F.length("told")).where("n > 0")
+        return frame.select(F.col(name).alias("name")).distinct().withColumn("told", form(F.col("name"))).withColumn("n", F.length("told")).where("n > 0")
 
     def characters(names: DataFrame) -> DataFrame:
         each = names.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring("told", i, F.lit(1)))).alias("c"))
@@ -64,7 +64,7 @@ def similar_names(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     mine, theirs = (told(side, to) for side, to in zip(sides, ("__l", "__r"), strict=True))
     met = told(rarest(sides[0]), "__l").join(theirs, "c").where("n___l <= n___r").select("__l", "__r")
     met = met.union(told(rarest(sides[1]), "__r").join(mine, "c").where("n___r < n___l").select("__l", "__r")).distinct()
-    return met.where(fuzzy.similarity(F.col("__l"), F.col("__r")) >= least).select(F.col("__l").alias(a), F.col("__r").alias(b))
+    return met.where(measure(F.col("__l"), F.col("__r")) >= least).select(F.col("__l").alias(a), F.col("__r").alias(b))
 
 
 def equal_or_unknown(a: Column, b: Column) -> Column:

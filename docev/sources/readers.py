@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import pages, text
+from ..functions import extract, pages, text
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -110,10 +110,20 @@ def packages(manifests: DataFrame, texts: DataFrame, comments: DataFrame, most:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """File names as an inventory: size in MB, year, document number and whether it may be a decision."""
+    """PDF files by name: size in MB, year, company and document number guessed from the name, and whether it may be a
+    decision. Other files are left out; contents aren't read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return read.select("path", (F.col("length") / (1 << 20)).alias("size_mb"), F.regexp_extract(name, r"(20\d{2})", 1).alias("year"), F.regexp_extract(name, r"([^/]*〔20\d{2}〕\d+号)", 1).alias("doc_no"), F.contains(name, F.lit("批复")).alias("maybe_approval"))
+    rows = read.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1)).where(F.lower("file_name").endswith(".pdf"))
+    guessed = [g.alias(name) for name, g in extract.file_guesses(F.col("file_name")).items()]
+    return rows.select("path", "file_name", F.round(F.col("length") / (1 << 20), 2).alias("size_mb"), *guessed)
+
+
+def pair_flags(found: DataFrame, metadata: str = "pair_metadata") -> DataFrame:
+    """What ``pairs`` found as one row a folder that has metadata: its fields, and whether each text is there."""
+    field = lambda name: F.coalesce(F.get_json_object(F.col(metadata), f"$.{name}"), F.lit("")).alias(name)
+    score = F.coalesce(F.get_json_object(F.col(metadata), "$.match_score").try_cast("double"), F.lit(0.0)).alias("match_score")
+    there = [F.col(name).isNotNull().alias(f"has_{name}") for name in ("report", "approval")]
+    return found.where(F.col(metadata).isNotNull()).select("pair_id", field("project_name"), field("company"), score, *there, field("approval_date"))
 
 
 def database(spark: SparkSession, url: str, query: str, bounds: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:

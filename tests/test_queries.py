@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from docev.functions import fuzzy
-from docev.plans import cases, mechanisms, queries  # noqa: F401, register their queries
+from docev.plans import cases, lookups, mechanisms, queries  # noqa: F401, register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
