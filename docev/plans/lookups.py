@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import match, text
 from ..operators import aggregate, audit, lookup
-from . import cases
+from . import benchmark, cases
 from .queries import ENGLISH, FRENCH, GERMAN, _sql_hits, query, table
 
 OTHER = "[^a-zà-ÿ]"
@@ -134,3 +135,43 @@ def provenance(spark, sf_dir) -> DataFrame:
     rows = aggregate.numbered(rows, "qa_num", "%d", c("conv_id"), c("turn"), c("role"), c("text"))
     said = text.default(c("text"))
     return rows.select(c("qa_num").cast("long").alias("qa_num"), F.concat(F.lit("conv-"), "conv_id").alias("project_id"), c("role").alias("element"), c("turn").alias("standards"), F.substring(said, 1, 100).alias("question"), F.substring(said, 101, 200).alias("answer_preview"))
+
+
+_QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
+_ASK = lambda pattern, *values: "format(" + _QUOTE(pattern.replace("%s", "{}")) + ", " + ", ".join(values) + ")"
+_FIXED = lambda rows: ", ".join(f"({k}, {_QUOTE(d)}, {_QUOTE(q)})" for k, (d, q) in enumerate(rows))
+_PROJECT, _INDUSTRY = f"coalesce(project_id::varchar, '{config.SAMPLE_PROJECT}')", f"coalesce(industry_code, '{config.SAMPLE_INDUSTRY}')"
+_SAMPLES = f"""p as (select client_id as project_id, city as industry_code from clients), q as (select vendor_id as project_id, 'N' || nation_id as industry_code, coalesce(name, '') as title from vendors),
+i as (select industry_code, row_number() over (order by industry_code) as n from (select distinct industry_code from p where industry_code <> '')),
+r as (select city as industry_code, coalesce(segment, '') as check_point, row_number() over (partition by city order by change_id nulls first, segment nulls first) as n from client_changes where city in (select industry_code from i where n <= 5)),
+s as (select industry_code, substr(string_agg(check_point, '; ' order by n), 1, 500) as told from r where n <= 5 group by industry_code),
+f as (select row_number() over (order by project_id nulls first, {_INDUSTRY}) - 1 as j, * from p qualify j < 3),
+u as (
+  select 0 as kind, 'extraction' as question_type, 'simple' as difficulty, d as task_domain, {_ASK(config.EXTRACTION_QUESTION, "d", _PROJECT)} as question, {_PROJECT} as source_project_id, {_INDUSTRY} as industry_code, project_id as o0, {_INDUSTRY} as o1, j::varchar as o2
+  from p, (values {", ".join(f"({k}, '{d}')" for k, d in enumerate(config.EXTRACTION_DOMAINS))}) t(j, d)
+  union all select 1, 'matching', 'medium', '报告-批复对应', {_ASK(config.MATCHING_QUESTION, "substr(title, 1, 80)", "substr(title, 1, 80)")}, {_PROJECT}, {_INDUSTRY}, project_id, title, title from q
+  union all select 2, 'knowledge', 'simple', '标准引用', {_ASK(config.KNOWLEDGE_QUESTION, "industry_code")}, '{config.SAMPLE_PROJECT}', industry_code, 0, industry_code, '' from i where n <= 10
+  union all select 3, 'reasoning', 'hard', '行业经验归纳', {_ASK(config.REASONING_QUESTION, "industry_code", "told")}, '{config.SAMPLE_PROJECT}', industry_code, 0, industry_code, '' from s
+  union all select 4, 'evaluation', 'hard', d, {_ASK(config.EVALUATION_QUESTION, "x")}, '{config.SAMPLE_PROJECT}', '{config.SAMPLE_INDUSTRY}', j, '', '' from (values {_FIXED(config.EVALUATION_SCENARIOS)}) t(j, d, x)
+  union all select 5, 'calculation', 'medium', d, x, {_PROJECT}, {_INDUSTRY}, j, '', '' from (values {_FIXED(config.CALCULATIONS)}) t(j, d, x) left join f using (j)),
+k as (select *, row_number() over (order by kind, o0 nulls first, o1 nulls first, o2 nulls first) as seq from u)"""
+
+
+def _built(spark, sf_dir) -> dict[str, DataFrame]:
+    c = F.col
+    projects = table(spark, sf_dir, "clients").select(c("client_id").alias("project_id"), c("city").alias("industry_code"))
+    title = F.coalesce("name", F.lit(""))
+    pairs = table(spark, sf_dir, "vendors").select(c("vendor_id").alias("project_id"), F.concat(F.lit("N"), "nation_id").alias("industry_code"), title.alias("approval_title"), title.alias("report_name"))
+    rules = table(spark, sf_dir, "client_changes").select(c("city").alias("industry_code"), c("change_id").alias("rule_id"), c("segment").alias("check_point"))
+    return benchmark.build(projects, pairs, rules)
+
+
+@query(f"with {_SAMPLES} select 'SAMPLE_' || industry_code || '_' || upper(question_type) || '_' || case when seq < 1000 then lpad(seq::varchar, 3, '0') else seq::varchar end as sample_id, seq, question_type, difficulty, task_domain, source_project_id, question from k")
+def benchmark_samples(spark, sf_dir) -> DataFrame:
+    """Samples of all six kinds: clients are projects, vendors pairs, and changes of clients rules of their city."""
+    return _built(spark, sf_dir)["samples"].select("sample_id", "seq", "question_type", "difficulty", "task_domain", "source_project_id", "question")
+
+
+@query(f"with {_SAMPLES} " + " union all ".join(f"select '{name}' as field, {name} as value, count(*) as n from k group by {name}" for name in benchmark.COUNTED) + " union all select 'total', '', count(*) from k")
+def benchmark_statistics(spark, sf_dir) -> DataFrame:
+    return _built(spark, sf_dir)["statistics"]

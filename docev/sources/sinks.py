@@ -59,6 +59,12 @@ def leading(frame: DataFrame, order: Sequence, n: int = 1000) -> DataFrame:
     return frame.orderBy(*order).limit(n)
 
 
+def review_queue(frame: DataFrame, path: str, flag: str = "need_human_review", columns: Sequence[str] | None = None) -> None:
+    """The rows that a person has to look at, as CSV."""
+    rows = frame.where(F.coalesce(F.col(flag), F.lit(False)))
+    csv(rows.select(*columns) if columns else rows, path)
+
+
 def updated(stored: DataFrame, found: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Stored rows with new values where a key was found, the first of equals; the caller writes the
     result beside the old table and swaps."""
