@@ -15,9 +15,9 @@ COUNTED = ["difficulty", "question_type", "task_domain", "industry_code"]
 
 
 def _samples(frame: DataFrame, kind: str, difficulty: str, domain: Column, question: Column, project: Column, industry: Column, *order: Column) -> DataFrame:
-    """Rows of one kind; the order is up to a number and two texts."""
-    padded = [*order, *[F.lit("")] * (3 - len(order))]
-    places = [c.cast(t).alias(f"o{k}") for k, (c, t) in enumerate(zip(padded, ("long", "string", "string"), strict=True))]
+    """Rows of one kind, ordered by columns of which the first is a number, if it is one, and then a text."""
+    padded = [order[0].cast("string").try_cast("long"), *order, *[F.lit("")] * (3 - len(order))]
+    places = [c.cast("string" if k else "long").alias(f"o{k}") for k, c in enumerate(padded)]
     told = [F.lit(kind).alias("question_type"), F.lit(KINDS.index(kind)).alias("kind"), F.lit(difficulty).alias("difficulty"), domain.alias("task_domain"), question.alias("question"), project.cast("string").alias("source_project_id"), industry.alias("industry_code")]
     return frame.select(*told, *places)
 
@@ -34,7 +34,7 @@ def candidates(projects: DataFrame, pairs: DataFrame, rules: DataFrame, kinds: S
     (project_id, industry_code, approval_title, report_name) one; the first ten industries one each; the first five with
     rules (industry_code, rule_id, check_point) one from their first five rules; scenarios three; and calculations three,
     of the first three projects. A task domain leaves extraction, for the domain if it has it, and matching. The numbering
-    is by kind, then by project, pair or industry; ids and texts that are missing are the sample ones or empty."""
+    is by kind, then by project (as a number where its id is one), pair or industry; ids and texts that are missing are the sample ones or empty."""
     spark, c = projects.sparkSession, F.col
     industry = F.coalesce("industry_code", F.lit(config.SAMPLE_INDUSTRY))
     project = F.coalesce(c("project_id").cast("string"), F.lit(config.SAMPLE_PROJECT))
@@ -61,8 +61,9 @@ def candidates(projects: DataFrame, pairs: DataFrame, rules: DataFrame, kinds: S
         made["evaluation"] = _samples(scenes, "evaluation", "hard", c("domain"), c("question"), *fixed, c("at"))
     if "calculation" in kinds and task_domain is None:
         scenes = spark.createDataFrame([(k, d, q) for k, (d, q) in enumerate(config.CALCULATIONS)], "at int, domain string, question string")
-        first = projects.select("project_id", "industry_code").orderBy("project_id", industry).limit(len(config.CALCULATIONS))  # three rows
-        numbered = first.withColumn("at", F.row_number().over(Window.orderBy("project_id", industry)) - 1)
+        order = [c("project_id").cast("string").try_cast("long"), c("project_id"), industry]
+        first = projects.select("project_id", "industry_code").orderBy(*order).limit(len(config.CALCULATIONS))  # three rows
+        numbered = first.withColumn("at", F.row_number().over(Window.orderBy(*order)) - 1)
         made["calculation"] = _samples(scenes.join(numbered, "at", "left"), "calculation", "medium", c("domain"), c("question"), project, industry, c("at"))
     rows = None
     for kind in KINDS:
@@ -70,7 +71,7 @@ def candidates(projects: DataFrame, pairs: DataFrame, rules: DataFrame, kinds: S
             rows = made[kind] if rows is None else rows.unionByName(made[kind])
     if rows is None:
         raise ValueError("no kind of sample is left")
-    rows = aggregate.numbered(rows, "seq", "%d", c("kind"), c("o0"), c("o1"), c("o2")).withColumn("seq", c("seq").cast("long"))
+    rows = aggregate.numbered(rows, "seq", "%d", c("kind"), *[c(f"o{k}") for k in range(4)]).withColumn("seq", c("seq").cast("long"))
     ident = F.format_string("SAMPLE_%s_%s_%03d", "industry_code", F.upper("question_type"), "seq")
     return rows.select(ident.alias("sample_id"), "seq", "question_type", "difficulty", "task_domain", "source_project_id", "industry_code", "question", F.lit(True).alias("need_human_review"))
 

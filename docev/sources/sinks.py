@@ -60,9 +60,8 @@ def leading(frame: DataFrame, order: Sequence, n: int = 1000) -> DataFrame:
 
 
 def review_queue(frame: DataFrame, path: str, flag: str = "need_human_review", columns: Sequence[str] | None = None) -> None:
-    """The rows that a person has to look at, as CSV."""
-    rows = frame.where(F.coalesce(F.col(flag), F.lit(False)))
-    csv(rows.select(*columns) if columns else rows, path)
+    """The rows that a person has to look at, as CSV with the given columns in order."""
+    csv(frame.where(F.coalesce(F.col(flag), F.lit(False))), path, columns)
 
 
 def updated(stored: DataFrame, found: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
