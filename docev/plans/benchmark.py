@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import config, session
+from .. import config
 from ..operators import aggregate, judge
 
 KINDS = ["extraction", "matching", "knowledge", "reasoning", "evaluation", "calculation"]
@@ -90,5 +90,5 @@ def build(projects: DataFrame, pairs: DataFrame, rules: DataFrame, industry: str
     if most is not None:
         pairs = pairs.orderBy("project_id", "approval_title", "report_name").limit(most)
     samples = candidates(projects, pairs, rules, KINDS if kind is None else [kind], task_domain)
-    samples = session.checkpointed(judge.selected(samples, most, difficulty=difficulty))
+    samples = judge.selected(samples, most, difficulty=difficulty)
     return {"samples": samples, "statistics": statistics(samples)}
