@@ -59,3 +59,10 @@ def test_best_by_class_is_the_best_of_all_pairs(spark):
     found = {(x.c, x.s, x.best_score) for x in link.best_by_class(left, right, "n", "l", "r", score(F.col("l"), F.col("r")), "s").collect()}
     of = lambda c: [(-score(c % 7, s % 7), s) for s in range(40) if s % 2 == c % 3]
     assert found == {(c, min(of(c))[1], -min(of(c))[0]) for c in range(60) if of(c)}
+
+
+def test_mutual_best_of_one_class(spark, alike, odd):
+    assert [tuple(r) for r in queries.mutual_best(spark, alike).collect()] == [(0, 0, 0)]
+    pairs = {(r.score, r.c_custkey, r.s_suppkey) for r in queries._pairs(spark, odd).collect() if r.c_custkey is not None}
+    best = lambda at: {p[at]: min((q for q in pairs if q[at] == p[at]), key=lambda q: (-q[0], q[1], q[2])) for p in pairs}
+    assert {(r.score, r.c_custkey, r.s_suppkey) for r in queries.mutual_best(spark, odd).collect()} == set(best(1).values()) & set(best(2).values())
