@@ -66,3 +66,12 @@ def test_mutual_best_of_one_class(spark, alike, odd):
     pairs = {(r.score, r.c_custkey, r.s_suppkey) for r in queries._pairs(spark, odd).collect() if r.c_custkey is not None}
     best = lambda at: {p[at]: min((q for q in pairs if q[at] == p[at]), key=lambda q: (-q[0], q[1], q[2])) for p in pairs}
     assert {(r.score, r.c_custkey, r.s_suppkey) for r in queries.mutual_best(spark, odd).collect()} == set(best(1).values()) & set(best(2).values())
+
+
+def test_all_pairs_are_dealt_evenly(spark, odd, tmp_path):
+    """A nation's 12 million pairs, of one file each, in tasks of about 5 million."""
+    folder = tables(spark, tmp_path, [(k, 1, float(k % 3 - 1)) for k in range(4_000)], [(k, 1, float(k % 5 - 1)) for k in range(3_000)])
+    each = queries.pair_score(spark, folder).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in each) == 12_000_000 and max(r["count"] for r in each) < 6_000_000
+    rows = [(k * 37 - 400, k % 4, -1.0 if k % 3 else None) for k in range(120)]
+    same(spark, tables(spark, tmp_path / "signs", rows, rows), "pair_score")
