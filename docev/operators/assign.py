@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import session
@@ -85,6 +86,50 @@ def one_to_one(edges: DataFrame, left: str, right: str, order: Sequence[Column],
     return in_order(edges, left, right, order, [], False, _greedy, most).select(*edges.columns)
 
 
+def _by_level(score: Callable):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """A block's classes, by falling score of their pairs: each pair of classes takes the first free rows of both, in order."""
+        side, told, n = (table.column(c).to_numpy() for c in ("side", "told", "n"))
+        (mine, left), (theirs, right) = ((told[side == k], n[side == k].copy()) for k in (0, 1))
+        first, second = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        scores = score(mine[:, None], theirs[None, :]).reshape(-1)
+        order = np.argsort(-scores, kind="stable")
+        out = [np.zeros((0, 6), np.int64)]
+        for level in np.split(order, np.flatnonzero(np.diff(scores[order])) + 1) if len(order) else []:
+            a, b = level // len(right), level % len(right)
+            if len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b):
+                raise ValueError("pairs of a class have equal scores")
+            took = np.minimum(left[a] - first[a], right[b] - second[b])
+            a, b, took, at = a[took > 0], b[took > 0], took[took > 0], scores[level[took > 0]]
+            out.append(np.stack([mine[a], theirs[b], first[a], second[b], took, at], 1))
+            first[a] += took
+            second[b] += took
+        rows = np.concatenate(out)
+        block = pa.array([key[0].as_py()] * len(rows), table.schema.field("block").type)
+        return pa.Table.from_arrays([block, *[pa.array(c) for c in rows.T]], names=["block", "l", "r", "from_l", "from_r", "n", "score"])
+
+    return run
+
+
+def one_to_one_by_class(left: DataFrame, right: DataFrame, block: str, ends: tuple[str, str], classes: tuple[str, str], score: Callable) -> DataFrame:
+    """The pairs (both ends and ``score``, a long) that ``one_to_one`` takes of all pairs of each block by falling score, then left
+    end, then right end, where ``score`` (a function of numpy arrays) depends on the rows' classes alone, and no class has the same
+    score with two others. Among equal scores two classes then meet nothing but each other, and their free rows pair off in
+    order: counts of rows by class decide who takes how many, and rows are looked up by their place in their class. Ends are
+    whole, distinct and in one block; a task holds a block's classes, never its rows or pairs."""
+    (one, two), (mine, theirs) = ends, classes
+    # Groups' tasks are as many as blocks, and the pass holds classes times classes numbers.
+    count = lambda frame, told, k: frame.groupBy(F.col(block).alias("block"), F.col(told).alias("told")).agg(F.count("*").alias("n")).withColumn("side", F.lit(k))
+    counts = count(left, mine, 0).unionByName(count(right, theirs, 1))
+    kind = left.schema[block].dataType.simpleString()
+    took = counts.groupBy("block").applyInArrow(_by_level(score), f"block {kind}, l long, r long, from_l long, from_r long, n long, score long")
+    took = took.select("block", "l", "r", "from_l", "from_r", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("__k"))
+    placed = lambda frame, told, end, as_, k: frame.select(F.col(block).alias("block"), F.col(told).alias(as_), end, F.row_number().over(Window.partitionBy(block, told).orderBy(end)).cast("long").alias(k))
+    took = took.withColumn("kl", F.col("from_l") + F.col("__k")).withColumn("kr", F.col("from_r") + F.col("__k"))
+    found = took.join(placed(left, mine, one, "l", "kl"), ["block", "l", "kl"]).join(placed(right, theirs, two, "r", "kr"), ["block", "r", "kr"])
+    return found.select(one, two, "score")
+
+
 def _each_left(review: float):
     def run(table: pa.Table) -> pa.Table:
         """Left rows in order, each taking its best free right row; only clean pairs consume."""

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from docev.operators import link
+from docev.operators import assign, link
 from docev.plans import queries
 
 N = 30_000
@@ -75,3 +75,28 @@ def test_all_pairs_are_dealt_evenly(spark, odd, tmp_path):
     assert sum(r["count"] for r in each) == 12_000_000 and max(r["count"] for r in each) < 6_000_000
     rows = [(k * 37 - 400, k % 4, -1.0 if k % 3 else None) for k in range(120)]
     same(spark, tables(spark, tmp_path / "signs", rows, rows), "pair_score")
+
+
+def greedy(pairs):
+    left, right, out = set(), set(), set()
+    for score, c, s in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        if c not in left and s not in right:
+            left.add(c)
+            right.add(s)
+            out.add((c, s, score))
+    return out
+
+
+def test_greedy_pairs_of_one_class(spark, alike, odd, tmp_path):
+    found = queries.greedy_pairs(spark, alike).agg(F.count("*"), F.sum((F.col("c_custkey") == F.col("s_suppkey")).cast("int"))).first()
+    assert tuple(found) == (N, N)
+    rows = [r for r in queries._pairs(spark, odd).collect() if r.c_custkey is not None]
+    named = spark.read.parquet(f"{odd}/customer.parquet").where("c_custkey is not null").collect()
+    folder = tables(spark, tmp_path, named, spark.read.parquet(f"{odd}/supplier.parquet").collect())
+    assert {tuple(r) for r in queries.greedy_pairs(spark, folder).collect()} == greedy({(r.score, r.c_custkey, r.s_suppkey) for r in rows})
+
+
+def test_a_class_of_equal_scores_is_refused(spark):
+    rows = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "k long, n long, t long")
+    with pytest.raises(Exception, match="equal scores"):
+        assign.one_to_one_by_class(rows, rows.select(F.col("k").alias("o"), "n", F.col("t").alias("u")), "n", ("k", "o"), ("t", "u"), lambda a, b: 0 * a * b).collect()
