@@ -100,3 +100,11 @@ def test_a_class_of_equal_scores_is_refused(spark):
     rows = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "k long, n long, t long")
     with pytest.raises(Exception, match="equal scores"):
         assign.one_to_one_by_class(rows, rows.select(F.col("k").alias("o"), "n", F.col("t").alias("u")), "n", ("k", "o"), ("t", "u"), lambda a, b: 0 * a * b).collect()
+
+
+def test_blocks_are_counted_without_pairs(spark, alike, odd, tmp_path):
+    assert [tuple(r) for r in queries.block_candidates(spark, alike).select("c_nationkey", "n", "first_customer", "last_supplier").collect()] == [(1, N * N, 0, 1009 * (N - 1))]
+    same(spark, odd, "block_candidates")
+    rows = [(k, None if k == 3 else k % 2, 1.0) for k in range(4)]
+    same(spark, tables(spark, tmp_path, [(k, k % 5, 1.0) for k in range(20)], rows), "block_candidates")
+    same(spark, tables(spark, tmp_path / "empty", rows, []), "block_candidates")
