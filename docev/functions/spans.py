@@ -71,8 +71,8 @@ def places(x: Column, term: Column) -> Column:
 def best_window(x: Column, own: Sequence[str], others: Column, excluded: Sequence[str] = (), before: int = 260, after: int = 520, most: int = 780,
                 code: str = "^(GB|HJ|DB)") -> Column:
     """The window with the highest score among those at every place of every term: 3 a keyword of its
-    own, 4 a code and 2 any other of the given terms; the leftmost of equals; none with an excluded
-    marker. Null without any."""
+    own, 4 a code and 2 any other of the given terms; the leftmost of equals, and of those that begin at
+    the same place the first by term and place; none with an excluded marker. Null without any."""
     terms = F.array_distinct(F.concat(F.array(*[F.lit(t) for t in own]), others))
     at = F.flatten(F.transform(F.filter(terms, lambda t: t != ""), lambda t: places(x, t)))
     window = lambda p: F.struct(F.greatest(F.lit(0), p - before).alias("left"), F.least(F.length(x), p + after).alias("right"))
@@ -81,7 +81,7 @@ def best_window(x: Column, own: Sequence[str], others: Column, excluded: Sequenc
     among = lambda w, ts: F.size(F.filter(ts, lambda t: F.contains(w, t)))
     score = lambda w: match.hit_count(w, own) * 3 + among(w, codes) * 4 + among(w, plain) * 2
     spans = F.filter(spans, lambda w: ~match.contains_any(w["text"], excluded))
-    scored = F.transform(spans, lambda w: F.struct(score(w["text"]).alias("score"), (-w["left"]).alias("order"), w["right"].alias("right"), w["text"].alias("text")))
+    scored = F.transform(spans, lambda w, k: F.struct(score(w["text"]).alias("score"), (-w["left"]).alias("order"), (-k).alias("rank"), w["right"].alias("right"), w["text"].alias("text")))
     best = F.array_max(F.filter(scored, lambda w: w["score"] > 0))
     left = -best["order"]
     return F.when(best.isNotNull(), F.struct(F.substring(best["text"], 1, most).alias("text"), left.alias("char_start"), F.least(best["right"], left + most).alias("char_end"), best["score"].alias("score")))

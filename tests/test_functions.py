@@ -135,6 +135,12 @@ def test_best_window_prefers_the_leftmost_of_equals(value):
     assert value(spans.places(X, F.lit("aa")), "aaaa.aa") == [0, 2, 5]
 
 
+def test_best_window_takes_the_first_term_of_those_at_the_start(value):
+    body = "k" + "x" * 24 + "mk" + "x" * 1000
+    assert value(spans.best_window(X, ["m", "k"], F.array().cast("array<string>"), excluded=["none"]), body).char_end == 25 + 520
+    assert value(spans.best_window(X, ["k", "m"], F.array().cast("array<string>")), body).char_end == 520
+
+
 def test_focus_and_caps(value):
     body = "前" * 200 + "要点" + "后" * 300
     cut = value(spans.focus(X, ["要点"]), body)
