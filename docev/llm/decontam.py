@@ -9,9 +9,9 @@ passage holds ``LCS`` of the item's terms and, as a check of its answer, ``ANSWE
 are there: paraphrases that keep the order of most words are found, chance runs of common words not. Items
 of at most ``SHORT`` terms would be lost among a passage's other words, and meet shorter passages too.
 
-The SVD's range is found distributedly, A'(AX) summed over tasks, twice; it is fitted on the benchmark
-and on a bounded sample: texts with the smallest hash of id and terms, about ``SAMPLE_DOCS`` and never more
-than twice that. Frequencies, search and checks cover all texts. The benchmark is a query set, taken in blocks of ``BLOCK_ITEMS``.
+The SVD's range is found distributedly, A'(AX) summed over tasks, twice, over the passages of all texts and the
+benchmark; frequencies, search and checks cover all texts too. The benchmark is a query set, taken in blocks of
+``BLOCK_ITEMS``.
 
 Defined results: null or empty texts hold nothing; items without a term are never found; repeated rows
 give their pairs each; a null doc_id stays null; empty tables give no rows; an item of few terms is
@@ -38,9 +38,8 @@ SHORT, FINE = 12, 8
 RANK, OVERSAMPLE = 128, 16
 COSINE = 0.5
 LCS, ANSWER = 0.7, 0.5
-SAMPLE_DOCS = 20_000
-#: Partitions of the sample.
-SAMPLE_PARTS = 12
+#: Terms that the range finder takes as columns of a dense matrix.
+DENSE_TERMS = 256
 BLOCK_ITEMS = 2_000
 MARKS = ".,;:!?|*#$%&()[]{}<>\"'-"
 #: Words projected at a time.
@@ -136,6 +135,21 @@ def _texts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[
             yield doc_id, np.frombuffer(terms.as_buffer(), kind).astype(np.int64)
 
 
+def _passages(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The terms of a batch's texts and the number of each one's passage, about ``CHUNK_WORDS`` terms at a time."""
+    held = [np.frombuffer(t.as_buffer(), kind) for t in batch.column("terms")]
+    lengths = np.array([len(t) for t in held], np.int64)
+    terms = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
+    first = np.cumsum(-(-lengths // PASSAGE)) - -(-lengths // PASSAGE)
+    passage = common.ranges(np.zeros(len(lengths), np.int64), lengths) // PASSAGE + np.repeat(first, lengths)
+    ends = np.append(np.flatnonzero(passage[1:] != passage[:-1]) + 1, len(terms))
+    at = 0
+    while at < len(terms):
+        end = int(ends[min(np.searchsorted(ends, at + CHUNK_WORDS), len(ends) - 1)])
+        yield terms[at:end], passage[at:end]
+        at = end
+
+
 def _frequencies(kind: np.dtype, size: int):
     """(term, blocks of STEP words that have it); term 0 counts the blocks."""
 
@@ -169,30 +183,40 @@ def passages_of(blocks: np.ndarray) -> np.ndarray:
 
 
 def _gathered(kind: np.dtype, idf: np.ndarray, against: np.ndarray):
-    """A'(A X) over the rows of a task, packed by segments of terms; A: unit passages, not overlapping."""
+    """A'(A X) over the rows of a task, packed by segments of terms; A: unit passages, not overlapping. The commonest
+    terms, which are most of a passage, go through a matrix product, the others one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(against.shape, np.float64)
-        weighted = idf[:, None] * against
-        for _, terms in _texts(batches, kind):
-            if not len(terms):
-                continue
-            n = -(-len(terms) // PASSAGE)
-            passage = np.arange(len(terms)) // PASSAGE
-            keys, counts = common.unique_counts((passage * len(idf) + terms).astype(np.uint64))
-            term, of = (keys % np.uint64(len(idf))).astype(np.int64), (keys // np.uint64(len(idf))).astype(np.int64)
-            weights = counts * idf[term]
-            norm = np.sqrt(np.bincount(of, weights**2, n))
-            scale = 1 / np.maximum(norm, 1e-9)
-            product = np.zeros((n, against.shape[1]))
-            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            product[of[starts]] = np.add.reduceat(weighted[term] * counts[:, None], starts)
-            back = product * (scale**2)[:, None]
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-            total[term[order][first]] += np.add.reduceat(back[of[order]] * weights[order][:, None], first)
-        for s in range(0, len(total), 512):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total[s : s + 512].tobytes()], pa.binary())], ["segment", "sums"])
+        most = np.argsort(idf[1:], kind="stable")[:DENSE_TERMS] + 1
+        slot = np.full(len(idf), -1)
+        slot[most] = np.arange(len(most))
+        for batch in batches:
+            for terms, passage in _passages(batch, kind):
+                there = terms > 0
+                keys, counts = common.unique_counts((passage[there] * len(idf) + terms[there]).astype(np.uint64))
+                if not len(keys):
+                    continue
+                of, term = (x.astype(np.int64) for x in np.divmod(keys, np.uint64(len(idf))))
+                of = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
+                weights = counts.astype(np.float32) * idf[term]
+                weights *= (1 / np.maximum(np.sqrt(np.bincount(of, weights**2)), 1e-9)).astype(np.float32)[of]
+                few = slot[term] < 0
+                dense = np.zeros((of[-1] + 1, len(most)), np.float32)
+                dense[of[~few], slot[term[~few]]] = weights[~few]
+                product = dense @ against[most]
+                term, of, weights = term[few], of[few], weights[few, None]
+                if len(term):
+                    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                    product[of[first]] += np.add.reduceat(against[term] * weights, first)
+                    order = np.argsort(term, kind="stable")
+                    term, of, weights = term[order], of[order], weights[order]
+                    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                    total[term[first]] += np.add.reduceat(product[of] * weights, first)
+                total[most] += dense.T @ product
+        if total.any():
+            for s in range(0, len(total), 512):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total[s : s + 512].tobytes()], pa.binary())], ["segment", "sums"])
 
     return run
 
@@ -202,9 +226,9 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("segment")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["segment", "sums"])
 
 
-def singular(sample: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The leading right singular vectors of sample passages and items, by a randomised range finder
-    with one power step. Items weigh together as much as the sample, so their directions are kept.
+def singular(terms: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """The leading right singular vectors of all texts' passages and the items, by a randomised range finder
+    with one power step. Items weigh together as much as the texts, so their directions are kept.
     What comes to the driver is one row a term of the benchmark's block."""
     schema = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("sums", T.BinaryType())])
     rows, _ = items.pieces()
@@ -212,7 +236,7 @@ def singular(sample: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -
     width = min(size, rank + OVERSAMPLE)
 
     def gram(x: np.ndarray) -> np.ndarray:
-        partial = common.mapped(sample, _gathered(items.type, items.idf, x.astype(np.float32)), schema)
+        partial = common.mapped(terms, _gathered(items.type, items.idf, x.astype(np.float32)), schema)
         out = np.zeros(x.shape)
         for row in partial.groupBy("segment").applyInArrow(_summed, schema).collect():
             part = np.frombuffer(row["sums"], np.float64).reshape(-1, x.shape[1])
@@ -297,12 +321,7 @@ def find(docs: DataFrame, benchmark: DataFrame, stage: common.Stage, cosine: flo
         for r in counted:
             frequency[r["term"]] = r["n"]
         items.weigh(frequency[1:], int(frequency[0]))
-        spread = 1 << 20
-        most = min(spread, max(1, int(SAMPLE_DOCS / max(1, terms.count()) * spread)))
-        sample = terms.where(F.pmod(F.xxhash64("doc_id", "terms"), F.lit(spread)) < most).limit(2 * SAMPLE_DOCS).repartition(SAMPLE_PARTS)
-        sample = stage.table(f"sample{k}", sample)
-        items.settle(singular(sample, items))
-        stage.drop(f"sample{k}")
+        items.settle(singular(terms, items))
         found = common.mapped(terms, _search(items, cosine, lcs, answer), found_of(key))
         out = found if parts == 1 else out.unionByName(found)
     return out
