@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docev.llm import common, decontam
 
 
@@ -14,3 +15,11 @@ def test_latent_vectors_are_fitted_on_all_texts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "singular", lambda terms, *rest: seen.append(terms.count()) or singular(terms, *rest))
     assert decontam.find(docs, items, common.Stage(spark, "whole")).count() == 0
     assert seen == [45_000]
+
+
+def test_the_pipeline_fits_on_all_texts(spark, monkeypatch, small):
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the of and "), F.col("id").cast("string")).alias("text"))
+    seen, singular = [], decontam.singular
+    monkeypatch.setattr(decontam, "singular", lambda terms, *rest: seen.append(terms.count()) or singular(terms, *rest))
+    assert corpus_pipeline.decontamination(spark, docs, small).count() == 45_000
+    assert seen == [45_000]
