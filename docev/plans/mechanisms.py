@@ -153,10 +153,11 @@ SHEET = 40
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [(x or "").split("\n") for x in batch.column("text").to_pylist()]
-        files = [as_pdf([x[k : k + SHEET] for k in range(0, len(x), SHEET)]) for x in lines]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+    for whole in batches:
+        for batch in pages.parts(whole, "text"):
+            lines = [(x or "").split("\n") for x in batch.column("text").to_pylist()]
+            files = [as_pdf([x[k : k + SHEET] for k in range(0, len(x), SHEET)]) for x in lines]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
 
 
 @query(f"""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),

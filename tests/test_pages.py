@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from docev.functions import pages
@@ -66,3 +67,15 @@ def test_files_are_read_by_page(spark, tmp_path):
     assert readers.bodies(found, readers.RECORD_PAGES).where("path like '%long%'").first().body.count("\n") == 5
     whole = {name(r): r.body for r in readers.whole_pdfs(found).collect()}
     assert whole == {"long.pdf": "\n".join(s[0] for s in sheets), "short.pdf": None, "bad.pdf": None}
+
+
+def test_a_batch_of_files_is_read_in_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"x" * n if n is not None else None for n in (5, 5, 5, 30, None, 2)])], ["k", "content"])
+    assert [p.column("k").to_pylist() for p in pages.parts(batch, "content", 10)] == [[0, 1], [2], [3], [4, 5]]
+    assert [p.num_rows for p in pages.parts(batch.slice(0, 0), "content", 10)] == []
+
+
+def test_batches_of_files_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    held = pages.page_texts(spark.createDataFrame([(1, bytearray(as_pdf([["a"], ["b"]])))], "id long, content binary"))
+    assert held.first().pages == ["a", "b"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(pages.BATCH_BYTES)
