@@ -27,10 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the row with the smallest id, one without an id only if none has
-    one. Texts without words are classes of their own."""
+    one. Texts without words are classes of their own. Prefixes have the length that finds a pair at the
+    threshold by itself, not one estimated from the links found."""
     stage = common.Stage(spark, "near")
     rows = stage.table("rows", held(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    classes = jaccard.join(rows.select("row", "text"), stage, doc_id="row").select(F.col("doc_id").alias("row"), "class_id")
+    classes = jaccard.join(rows.select("row", "text"), stage, doc_id="row", depth=jaccard.certain()).select(F.col("doc_id").alias("row"), "class_id")
     told = stage.table("classes", rows.select("row", "doc_id").join(classes, "row"))
     first = told.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     return rows.join(first.select("first.row").hint("merge"), "row", "left_semi").select("whole_row.*")

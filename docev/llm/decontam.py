@@ -9,8 +9,8 @@ passage holds ``LCS`` of the item's terms and, as a check of its answer, ``ANSWE
 are there: paraphrases that keep the order of most words are found, chance runs of common words not. Items
 of at most ``SHORT`` terms would be lost among a passage's other words, and meet shorter passages too.
 
-The SVD's range is found distributedly, A'(AX) summed over tasks, twice, over the passages of all texts and the
-benchmark; frequencies, search and checks cover all texts too. The benchmark is a query set, taken in blocks of
+The SVD's range is found distributedly, A'(AX) summed over tasks, twice, over all these passages of all texts and
+the benchmark; frequencies, search and checks cover all texts too. The benchmark is a query set, taken in blocks of
 ``BLOCK_ITEMS``.
 
 Defined results: null or empty texts hold nothing; items without a term are never found; repeated rows
@@ -135,19 +135,27 @@ def _texts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[
             yield doc_id, np.frombuffer(terms.as_buffer(), kind).astype(np.int64)
 
 
-def _passages(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The terms of a batch's texts and the number of each one's passage, about ``CHUNK_WORDS`` terms at a time."""
+def _blocks(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About ``CHUNK_WORDS`` terms of a batch's texts at a time, the block of each, and the last block of the passage that
+    each block begins: the next one, itself if it is its text's only one, none (-1) at the end of a text."""
     held = [np.frombuffer(t.as_buffer(), kind) for t in batch.column("terms")]
     lengths = np.array([len(t) for t in held], np.int64)
     terms = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
-    first = np.cumsum(-(-lengths // PASSAGE)) - -(-lengths // PASSAGE)
-    passage = common.ranges(np.zeros(len(lengths), np.int64), lengths) // PASSAGE + np.repeat(first, lengths)
-    ends = np.append(np.flatnonzero(passage[1:] != passage[:-1]) + 1, len(terms))
-    at = 0
-    while at < len(terms):
-        end = int(ends[min(np.searchsorted(ends, at + CHUNK_WORDS), len(ends) - 1)])
-        yield terms[at:end], passage[at:end]
-        at = end
+    blocks = -(-lengths // STEP)
+    total = int(blocks.sum())
+    ends = np.cumsum(blocks)
+    last = np.arange(1, total + 1)
+    last[ends[blocks > 0] - 1] = -1
+    last[ends[blocks == 1] - 1] = ends[blocks == 1] - 1
+    starts = np.repeat(np.cumsum(lengths) - lengths, blocks) + common.ranges(np.zeros(len(blocks), np.int64), blocks) * STEP
+    starts = np.append(starts, len(terms))
+    block = np.repeat(np.arange(total), np.diff(starts))
+    width = max(1, CHUNK_WORDS // STEP)
+    for a in range(0, total, width):
+        b = min(a + width, total)
+        end = b + int(last[b - 1] == b)  # the other half of the last passage
+        begun = np.append(last[a:b], np.full(end - b, -1))
+        yield terms[starts[a] : starts[end]], block[starts[a] : starts[end]] - a, np.where(begun < 0, -1, begun - a)
 
 
 def _frequencies(kind: np.dtype, size: int):
@@ -183,8 +191,9 @@ def passages_of(blocks: np.ndarray) -> np.ndarray:
 
 
 def _gathered(kind: np.dtype, idf: np.ndarray, against: np.ndarray):
-    """A'(A X) over the rows of a task, packed by segments of terms; A: unit passages, not overlapping. The commonest
-    terms, which are most of a passage, go through a matrix product, the others one by one."""
+    """A'(A X) over the rows of a task, packed by segments of terms; A: unit passages, the same that the search projects.
+    Terms are multiplied by block, passages are sums of two. The commonest terms, which are most of a passage, go through
+    a matrix product, the others one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(against.shape, np.float64)
@@ -192,28 +201,39 @@ def _gathered(kind: np.dtype, idf: np.ndarray, against: np.ndarray):
         slot = np.full(len(idf), -1)
         slot[most] = np.arange(len(most))
         for batch in batches:
-            for terms, passage in _passages(batch, kind):
+            for terms, block, last in _blocks(batch, kind):
                 there = terms > 0
-                keys, counts = common.unique_counts((passage[there] * len(idf) + terms[there]).astype(np.uint64))
+                keys, counts = common.unique_counts((block[there] * len(idf) + terms[there]).astype(np.uint64))
                 if not len(keys):
                     continue
                 of, term = (x.astype(np.int64) for x in np.divmod(keys, np.uint64(len(idf))))
-                of = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
                 weights = counts.astype(np.float32) * idf[term]
-                weights *= (1 / np.maximum(np.sqrt(np.bincount(of, weights**2)), 1e-9)).astype(np.float32)[of]
+                begins = np.flatnonzero(last > np.arange(len(last)))
+                alone = np.flatnonzero(last == np.arange(len(last)))
+                square = np.bincount(of, weights**2, minlength=len(last))
+                after = np.minimum(np.searchsorted(keys, keys + np.uint64(len(idf))), len(keys) - 1)
+                both = keys[after] == keys + np.uint64(len(idf))  # the term stands in the next block too
+                shared = np.bincount(of[both], weights[both] * weights[after[both]], minlength=len(last))
                 few = slot[term] < 0
-                dense = np.zeros((of[-1] + 1, len(most)), np.float32)
+                dense = np.zeros((len(last), len(most)), np.float32)
                 dense[of[~few], slot[term[~few]]] = weights[~few]
                 product = dense @ against[most]
                 term, of, weights = term[few], of[few], weights[few, None]
                 if len(term):
                     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                     product[of[first]] += np.add.reduceat(against[term] * weights, first)
+                image = np.zeros_like(product)
+                length = square[begins] + square[begins + 1] + 2 * shared[begins]
+                of_two = (product[begins] + product[begins + 1]) / np.maximum(length, 1e-18).astype(np.float32)[:, None]
+                image[begins] += of_two
+                image[begins + 1] += of_two
+                image[alone] += product[alone] / np.maximum(square[alone], 1e-18).astype(np.float32)[:, None]
+                if len(term):
                     order = np.argsort(term, kind="stable")
                     term, of, weights = term[order], of[order], weights[order]
                     first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                    total[term[first]] += np.add.reduceat(product[of] * weights, first)
-                total[most] += dense.T @ product
+                    total[term[first]] += np.add.reduceat(image[of] * weights, first)
+                total[most] += dense.T @ image
         if total.any():
             for s in range(0, len(total), 512):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total[s : s + 512].tobytes()], pa.binary())], ["segment", "sums"])
@@ -227,7 +247,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def singular(terms: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The leading right singular vectors of all texts' passages and the items, by a randomised range finder
+    """The leading right singular vectors of all passages of all texts and of the items, by a randomised range finder
     with one power step. Items weigh together as much as the texts, so their directions are kept.
     What comes to the driver is one row a term of the benchmark's block."""
     schema = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("sums", T.BinaryType())])

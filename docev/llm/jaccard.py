@@ -65,6 +65,12 @@ def shortened(found: np.ndarray, depth: int, threshold: float = THRESHOLD, trees
     return share[-1], next((k for k in range(depth, 0, -1) if share[k - 1] >= recall), 1)
 
 
+def certain(threshold: float = THRESHOLD, depth: int = DEPTH, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix of at most ``depth`` by which every pair at the threshold is found with a chance of ``recall``,
+    whatever else is linked. A search that begins there takes no depth from the links that it finds."""
+    return shortened(np.zeros(BINS), depth, threshold, trees, recall)[1]
+
+
 def shingle_batch(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Shingle hashes of a batch (with repeats), the offsets of the texts, and the texts' digests."""
     codes, distinct, offsets = common.coded_words(texts)
@@ -303,7 +309,7 @@ def _classes(docs: DataFrame, stage: common.Stage, threshold: float = THRESHOLD,
     nodes = stage.table("nodes", copies.withColumn("rid", F.col("first.doc_id")))
 
     # Without any link found, this depth meets the target: prefixes shorter than it are rarely needed.
-    _, shortest = shortened(np.zeros(BINS), depth, threshold, trees, recall)
+    shortest = certain(threshold, depth, trees, recall)
     entries = nodes.select(F.explode("paths").alias("path"), "node").repartitionByRange("path", "node").sortWithinPartitions("path", "node")
     forest = stage.table("forest", common.mapped(entries, _grow(depth, shortest), ENTRY))
     candidates = _components(forest, depth, stage)
