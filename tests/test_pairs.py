@@ -77,6 +77,27 @@ def test_all_pairs_are_dealt_evenly(spark, odd, tmp_path):
     same(spark, tables(spark, tmp_path / "signs", rows, rows), "pair_score")
 
 
+def test_all_pairs_stand_in_runs_and_take_little_disk(spark, tmp_path):
+    """Six million pairs take a fraction of a byte each as Parquet; suppliers in one long row for each customer take more."""
+    folder = tables(spark, tmp_path / "in", [(k, 1, float(k % 3 - 1)) for k in range(300)], [(k, 1, float(k % 5 - 1)) for k in range(20_000)])
+    queries.pair_score(spark, folder).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 6_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * 6_000_000
+
+
+def test_scored_by_class_makes_each_pair_once(spark):
+    """Wide classes in pieces and lists, rows that are equal or have no value, blocks of one side only."""
+    left = spark.createDataFrame([(None if k % 7 == 0 else k // 2, 1 if k < 700 else k % 4, k % 2) for k in range(900)], "c long, n int, l int")
+    right = spark.createDataFrame([(None if k % 5 == 0 else k // 3, 1 if k < 500 else k % 3 + 1, 0 if k < 400 else k % 3) for k in range(600)], "s long, n int, r int")
+    scores = spark.createDataFrame([(a, b, a * 3 + b) for a in range(2) for b in range(3)], "l int, r int, score int")
+    found = link.scored_by_class(left, right, "n", "l", "r", scores, 10_000)
+    counted = lambda frame: {tuple(x) for x in frame.groupBy("n", "l", "r", "c", "s", "score").count().collect()}
+    assert counted(found) == counted(left.join(right, "n").join(scores, ["l", "r"]))
+    assert max(x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()) < 40_000
+    for a, b in ((left.limit(0), right), (left, right.limit(0)), (left.where("n = 0"), right)):
+        assert link.scored_by_class(a, b, "n", "l", "r", scores).isEmpty()
+
+
 def greedy(pairs):
     left, right, out = set(), set(), set()
     for score, c, s in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
